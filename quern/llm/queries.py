@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quern.llm import exact_dedup, langid, matroska, mixing, quality, repeats, simhash, token_counts
+from quern.llm import exact_dedup, langid, lm, matroska, mixing, quality, repeats, simhash, token_counts
 from quern.llm.tables import documents
 
 QUERIES = {
     "op1_exact_dedup": lambda spark, d: exact_dedup.exact_dedup(documents(spark, d)),
     "op2_mixing": lambda spark, d: mixing.mix(documents(spark, d)).select("doc_id", "size", "source_size", F.round("target", 3).alias("target"), "taken"),
     "op3_quality": lambda spark, d: quality.quality(documents(spark, d), spark.read.parquet(f"{d}/labels.parquet")),
+    "op4_lm": lambda spark, d: lm.score(documents(spark, d)),
     "op5_langid": lambda spark, d: langid.languages(documents(spark, d)),
     "op7_repeats": lambda spark, d: repeats.remove_repeats(documents(spark, d)),
     "op8_token_counts": lambda spark, d: token_counts.edited_counts(documents(spark, d)),
