@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quern.llm import exact_dedup, langid, lm, matroska, mixing, quality, repeats, simhash, token_counts
+from quern.llm import exact_dedup, langid, lm, matroska, mixing, pieces, quality, repeats, simhash, token_counts
 from quern.llm.tables import documents
 
 QUERIES = {
@@ -13,6 +13,7 @@ QUERIES = {
     "op3_quality": lambda spark, d: quality.quality(documents(spark, d), spark.read.parquet(f"{d}/labels.parquet")),
     "op4_lm": lambda spark, d: lm.score(documents(spark, d)),
     "op5_langid": lambda spark, d: langid.languages(documents(spark, d)),
+    "op6_pieces": lambda spark, d: pieces.encode(documents(spark, d)),
     "op7_repeats": lambda spark, d: repeats.remove_repeats(documents(spark, d)),
     "op8_token_counts": lambda spark, d: token_counts.edited_counts(documents(spark, d)),
     "op9_simhash": lambda spark, d: simhash.near_duplicates(documents(spark, d)),
