@@ -25,6 +25,8 @@ from quern.llm.blocks import bundle, pack_numbers, pack_sorted, unpack_numbers,
 from quern.llm.tables import LOWER, fold_of, staged
 
 ORDER = 2
+#: Bytes of text in a block.
+SIZE = 8 << 20
 FOLDS, HELD, TUNING = 10, 0, 1
 #: Contexts are bucketed by the binary logarithm of their count, probabilities for tuning by steps of 1/GRID of it.
 LEVELS, GRID, FLOOR = 24, 4, 48
@@ -48,20 +50,77 @@ def mixed(h: np.ndarray) -> np.ndarray:
 END_KEY = tagged(np.array([END], np.uint64), 1)[0]
 
 
+def unique_places(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``np.unique`` with the inverse, by sorting the keys' high bits with the index below them: several times faster.
+
+    Where two keys agree in the high bits and that leaves them out of order, the plain way is taken.
+    """
+    n, low = len(keys), max(1, int(len(keys)).bit_length())
+    if n < 2:
+        return np.unique(keys, return_inverse=True)
+    mask = np.uint64((1 << low) - 1)
+    order = (np.sort((keys & ~mask) | np.arange(n, dtype=np.uint64)) & mask).astype(np.int64)
+    ordered = keys[order]
+    if (ordered[1:] < ordered[:-1]).any():
+        return np.unique(keys, return_inverse=True)
+    new = np.empty(n, bool)
+    new[0] = True
+    np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
+    places = np.empty(n, np.int64)
+    places[order] = np.cumsum(new) - 1
+    return ordered[new], places
+
+
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_LETTER = np.random.default_rng(4).integers(0, 1 << 64, 256, np.uint64)[np.frombuffer(LOWER, np.uint8)]
+_BASE = 0x9FB21C651E98DF25
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of every word, number of words of each text), over whole arrays of bytes: a word's hash is a polynomial over
+    random letters, so no word becomes a Python object."""
+    buffer = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+    inside = ~_SPACE[buffer]
+    edge = np.flatnonzero(np.diff(inside.view(np.int8), prepend=np.int8(0)))
+    starts, ends = edge[::2], edge[1::2]
+    sizes = ends - starts
+    longest = int(sizes.max(initial=1))
+    powers = np.cumprod(np.full(longest, _BASE, np.uint64))
+    at = np.flatnonzero(inside)
+    before = np.cumsum(sizes) - sizes
+    term = _LETTER[buffer[at]] * powers[np.arange(len(at)) - np.repeat(before, sizes)]
+    h = np.add.reduceat(term, before) if len(before) else np.zeros(0, np.uint64)
+    ends_of = np.cumsum([len(t) + 1 for t in texts])
+    counts = np.diff(np.searchsorted(starts, ends_of), prepend=0)
+    return mixed(h + sizes.astype(np.uint64)), counts
+
+
+def _pieces(texts: list[bytes], size: int = 1 << 20):
+    held, n = [], 0
+    for t in texts:
+        held.append(t)
+        n += len(t)
+        if n >= size:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held
+
+
 class Grams:
     """The n-grams of a block's texts, all tokens in a row; ``keys`` are its distinct ones in order."""
 
     def __init__(self, texts: list[bytes], order: int):
-        known: dict[bytes, int] = {}
-        ids, sizes = [], []
-        for t in texts:
-            words = t.translate(LOWER).split()
-            sizes.append(len(words) + 1)
-            ids.append(np.fromiter((known.setdefault(w, len(known)) for w in words), np.int32, len(words)))
-            ids.append(np.array([-1], np.int32))
-        table = np.fromiter((xxhash.xxh64_intdigest(w) for w in known), np.uint64, len(known))
-        h = np.append(table, np.uint64(END))[np.concatenate(ids)] if ids else np.zeros(0, np.uint64)
-        self.sizes = np.array(sizes, np.int64)
+        got = [word_hashes(p) for p in _pieces(texts)]
+        words = np.concatenate([x for x, _ in got]) if got else np.zeros(0, np.uint64)
+        n_words = np.concatenate([x for _, x in got]).astype(np.int64) if got else np.zeros(0, np.int64)
+        self.sizes = n_words + 1
+        h = np.full(len(words) + len(texts), END, np.uint64)
+        last = np.zeros(len(h), bool)
+        last[np.cumsum(self.sizes) - 1] = True
+        h[~last] = words
+        sizes = self.sizes
         first = np.zeros(len(h), bool)
         first[np.cumsum(self.sizes) - self.sizes] = True
         self.of = np.repeat(np.arange(len(sizes)), self.sizes)
@@ -77,7 +136,7 @@ class Grams:
             for r, x in zip(_R, history):
                 mix = mixed(mix + x * r)
             by_order.append(tagged(mix, n))
-        self.keys, places = np.unique(np.concatenate(by_order), return_inverse=True)
+        self.keys, places = unique_places(np.concatenate(by_order))
         self.places = places.reshape(order, -1)
         self.contexts = []
         end = int(np.searchsorted(self.keys, END_KEY)) if len(self.keys) else 0
@@ -117,7 +176,7 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def settle():
         keys = [unpack_sorted(r[3]) for r in held]
         counts = [unpack_numbers(r[4]) for r in held]
-        every, places = np.unique(np.concatenate(keys), return_inverse=True)
+        every, places = unique_places(np.concatenate(keys))
         total, tuning = np.zeros(len(every), np.uint64), np.zeros(len(every), np.uint64)
         at = 0
         for r, k, c in zip(held, keys, counts):
@@ -204,7 +263,7 @@ def score(docs: DataFrame, order: int = ORDER, doc_id: str = "doc_id", text: str
     """
     fold = fold_of(doc_id, FOLDS)
     part = F.when(fold == HELD, TEST).when(fold == TUNING, TUNE).otherwise(TRAIN)
-    blocks = staged(bundle(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), part.alias("_part")), part="_part"), "blocks")
+    blocks = staged(bundle(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), part.alias("_part")), SIZE, "_part"), "blocks")
     buckets = max(1, blocks.count())
     asked = blocks.mapInArrow(_ask(order, buckets), "bucket long, block long, part int, keys binary, counts binary")
     answers = asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_answer, "block long, bucket long, total binary, tuning binary, n_words long, n_tokens long, n_tuning long")

@@ -9,7 +9,8 @@ windows mostly share their anchor; such a run of windows with the bytes that it
    whole: all their windows occur elsewhere.
 3. Where a gram belongs to several different spans, windows can still agree, which happens at the ends of repeated
    passages. The windows of a gram's different spans are compared in one task, which gets at most GROUP spans with their
-   bytes; the spans of a more frequent gram list the digests of their windows, and those are counted across tasks.
+   bytes. For a more frequent gram the digests of blocks of windows are counted across tasks, and windows one by one only
+   in blocks that this leaves open.
 4. The covered bytes are removed; texts travel compressed and only for steps 3 and 4.
 
 Counts are combined before each shuffle, no step meets two members of a group, and hot grams or digests are plain
@@ -34,6 +35,8 @@ from quern.llm.tables import staged, text_or_empty
 LENGTH, GRAM = 400, 128
 #: A gram with more different spans is compared by counting window digests across tasks, others within one task.
 GROUP = 256
+#: Windows that are settled together in frequent grams.
+BLOCK = 16
 #: Bytes that are hashed at once; longer texts are cut with an overlap of LENGTH - 1.
 PART = 1 << 20
 _TABLE = np.random.default_rng(400).integers(0, 1 << 64, 256, np.uint64)
@@ -151,15 +154,41 @@ def _digests(bytes_: bytes, n: int) -> list[bytes]:
     return [digest(bytes_[k : k + LENGTH]) for k in range(n)]
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spans with their bytes to one row per window: doc_id, t, pos, single, w1, w2."""
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans with their bytes to one row per block of windows: doc_id, t, pos, block, single, c1, c2, u1, u2.
+
+    Blocks take BLOCK windows each by their distance to the anchor, so that equal windows of two spans are in blocks of the
+    same number. ``block`` is the block's first window and size, coded as ``pos`` is; c is the digest of the bytes that all
+    its windows share, u of those that any covers, null for a block that the span cuts.
+    """
+    names = ["doc_id", "t", "pos", "block", "single", "c1", "c2", "u1", "u2"]
+    digest = xxhash.xxh3_128_digest
     for b in batches:
-        for row in range(len(b)):
-            pos, single = b.column(2)[row].as_py(), b.column(4)[row].as_py()
+        out = []
+        for doc, t, pos, gram, single, _, data in zip(*(b.column(k).to_pylist() for k in range(7))):
             n = (pos & 511) + 1
-            w = np.frombuffer(b"".join(_digests(b.column(6)[row].as_py(), n)), "<i8").reshape(-1, 2)
-            at = ((pos >> 9) + np.arange(n)) * 512
-            yield pa.RecordBatch.from_arrays([pa.array([b.column(0)[row].as_py()] * n, pa.int64()), pa.array([b.column(1)[row].as_py()] * n, pa.int64()), pa.array(at), pa.array([single] * n), pa.array(np.ascontiguousarray(w[:, 0])), pa.array(np.ascontiguousarray(w[:, 1]))], ["doc_id", "t", "pos", "single", "w1", "w2"])
+            at = int(np.argmax(gram_hashes(np.frombuffer(data, np.uint8)).view(np.int64) == gram))
+            for q in range((at - n + 1) // BLOCK, at // BLOCK + 1):
+                core = at - BLOCK * q  # the last window of the whole block starts here
+                low, high = max(0, core - BLOCK + 1), min(n - 1, core)
+                c = digest(data[core : core - BLOCK + 1 + LENGTH])
+                u = digest(data[low : high + LENGTH]) if high - low + 1 == BLOCK else None
+                out.append((doc, t, pos, ((pos >> 9) + low) * 512 + high - low, single, c, u))
+        cut = lambda k, side: [None if r[k] is None else int.from_bytes(r[k][8 * side : 8 * side + 8], "little", signed=True) for r in out]
+        cols = [[r[k] for r in out] for k in range(5)] + [cut(5, 0), cut(5, 1), cut(6, 0), cut(6, 1)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.bool_() if k == 4 else pa.int64()) for k, c in enumerate(cols)], names)
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans with their bytes and a list of blocks to one row per window of those: doc_id, t, pos, single, w1, w2."""
+    digest = xxhash.xxh3_128_digest
+    for b in batches:
+        for doc, t, pos, single, data, blocks in zip(*(b.column(k).to_pylist() for k in range(6))):
+            at = np.concatenate([np.arange(x >> 9, (x >> 9) + (x & 511) + 1) for x in blocks])
+            base = pos >> 9
+            w = np.frombuffer(b"".join([digest(data[k : k + LENGTH]) for k in (at - base).tolist()]), "<i8").reshape(-1, 2)
+            n = len(at)
+            yield pa.RecordBatch.from_arrays([pa.array([doc] * n, pa.int64()), pa.array([t] * n, pa.int64()), pa.array(at * 512), pa.array([single] * n), pa.array(np.ascontiguousarray(w[:, 0])), pa.array(np.ascontiguousarray(w[:, 1]))], ["doc_id", "t", "pos", "single", "w1", "w2"])
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,6 +247,23 @@ def _same(a: DataFrame, b: DataFrame):
     return a.doc_id.eqNullSafe(b.doc_id) & (a.t == b.t)
 
 
+def _frequent(hot: DataFrame) -> DataFrame:
+    """(doc_id, t, pos): windows of frequent grams' spans that another span has too. Whole blocks are settled by their
+    digests: repeated if what they cover is, single if what their windows share is. Only blocks whose shared bytes also
+    occur where a block is not settled list their windows."""
+    blocks = staged(hot.mapInArrow(_blocks, "doc_id long, t long, pos long, block long, single boolean, c1 long, c2 long, u1 long, u2 long"), "span-blocks")
+    covers = staged(blocks.filter("u1 is not null").groupBy("u1", "u2").count().filter("count > 1").select("u1", "u2", F.lit(True).alias("whole")), "block-covers")
+    blocks = staged(blocks.join(covers, ["u1", "u2"], "left").withColumn("whole", F.coalesce("whole", F.lit(False))).drop("u1", "u2"), "span-blocks")
+    cores = blocks.groupBy("c1", "c2").agg(F.count("*").alias("n"), F.sum((~F.col("whole")).cast("int")).alias("open")).filter("n > 1 and open > 0")
+    cores = staged(cores.select("c1", "c2"), "block-cores")
+    listed = staged(blocks.join(cores, ["c1", "c2"], "left_semi").groupBy("doc_id", "t", "pos").agg(F.collect_set("block").alias("blocks")), "open-blocks")
+    pairs = hot.join(listed, _same(hot, listed) & (hot.pos == listed.pos)).select(hot.doc_id, hot.t, hot.pos, "single", "bytes", "blocks")
+    windows = staged(pairs.mapInArrow(_windows, "doc_id long, t long, pos long, single boolean, w1 long, w2 long"), "windows")
+    twice = staged(windows.groupBy("w1", "w2").count().filter("count > 1").select("w1", "w2"), "twice")
+    single = windows.filter("single").join(twice, ["w1", "w2"], "left_semi").select("doc_id", "t", "pos")
+    return single.union(blocks.filter("whole and single").select("doc_id", "t", F.col("block").alias("pos")))
+
+
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
@@ -242,9 +288,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     joined = packed.join(fine, _same(packed, fine)).select(packed.doc_id, packed.t, "z", "fine")
     contexts = staged(joined.mapInArrow(_contexts, "doc_id long, t long, pos long, gram long, single boolean, hot boolean, bytes binary"), "contexts")
     near = contexts.filter("not hot").repartition("gram").sortWithinPartitions("gram").mapInArrow(_compare, "doc_id long, t long, pos long")
-    windows = staged(contexts.filter("hot").mapInArrow(_windows, "doc_id long, t long, pos long, single boolean, w1 long, w2 long"), "windows")
-    twice = staged(windows.groupBy("w1", "w2").count().filter("count > 1").select("w1", "w2"), "twice")
-    found = windows.filter("single").join(twice, ["w1", "w2"], "left_semi").select("doc_id", "t", "pos").union(near)
+    found = _frequent(contexts.filter("hot")).union(near)
     covered = staged(whole.select("doc_id", "t", "pos").union(found).groupBy("doc_id", "t").agg(F.collect_set("pos").alias("covered")), "covered")
     joined = packed.join(covered, _same(packed, covered)).select(packed.doc_id, packed.t, "z", "covered")
     cleaned = joined.mapInArrow(_remove, "doc_id long, t long, n_removed long, n_spans long, kept_sha256 string").dropDuplicates(["doc_id", "t"])

@@ -161,7 +161,7 @@ class Access:
             raise PermissionError_("name the subjects: a negation, attribute or rule holds for every subject there is")
         of = [self.tuples.select("entity_type", "entity_id")] + ([self.attributes.select("entity_type", "entity_id")] if self.attributes is not None else [])
         e = reduce(lambda a, b: a.union(b), of).filter(F.col("entity_type") == entity).select(F.col("entity_id").alias("entity")).distinct()
-        return e.select("entity", F.explode(F.array(*map(F.lit, self._asked))).cast("bigint").alias("subject"))
+        return e.select("entity", F.explode(F.array(*(F.lit(x).cast("bigint") for x in self._asked))).alias("subject"))
 
     def _rule(self, entity: str, call: tuple) -> DataFrame:
         _, name, args = call
