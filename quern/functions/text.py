@@ -61,8 +61,8 @@ def occurrences(toks: Column, term: Term) -> Column:
         return F.size(F.filter(toks, lambda t: t.startswith(term.words[0])))
     if len(term.words) == 1:
         return F.size(F.filter(toks, lambda t: t == term.words[0]))
-    first = lambda t, i: F.array_compact(F.array(t == term.words[0], *(F.coalesce(F.get(toks, i + k) == w, F.lit(False)) for k, w in enumerate(term.words) if k)))
-    return F.size(F.filter(toks, lambda t, i: F.forall(first(t, i), lambda x: x)))
+    joined = F.concat(F.lit(" "), F.array_join(toks, " "), F.lit(" "))  # one pass; the lookahead counts overlapping places too
+    return F.regexp_count(joined, F.lit(f"(?= {' '.join(term.words)} )"))
 
 
 def matches(toks: Column, terms: list[Term], every: bool) -> Column:
