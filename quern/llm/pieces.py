@@ -1,8 +1,8 @@
 """SentencePiece encoding and decoding by a relational lattice.
 
-Blanks become U+2581, with one put in front. Pieces never reach across the start of a run of U+2581 nor over a line
-feed or tab that no piece contains, so a text falls into words whose encodings do not depend on each other, and each
-different word is encoded once:
+Blanks become U+2581, with one put in front. Pieces never reach across the start of a run of U+2581, over a line feed or
+tab that no piece contains, nor from a letter to a mark that follows no letter in any piece. So a text falls into words
+whose encodings do not depend on each other, and each different word is encoded once:
 
 1. Blocks of documents send their distinct words, packed, to buckets by hash; a bucket merges them and remembers which
    blocks asked.
@@ -10,8 +10,10 @@ different word is encoded once:
    The matches are the edges of the word's lattice and are grouped by word where they arose.
 3. A fold with ``aggregate`` finds the word's segmentation. For a unigram model that is Viterbi: the best score of
    every end over its incoming edges. For a byte-pair model the scores are merge priorities and the best path has another
-   meaning -- Viterbi over them gives other pieces than the model's own encoder -- so the fold applies merges: in each
-   step the edge of the highest score, leftmost of equals, that joins two neighbouring symbols.
+   meaning -- Viterbi over them gives other pieces than the model's own encoder -- so the fold applies merges: it goes
+   through the edges from the highest score down, leftmost first, and takes those that join two neighbouring symbols.
+   The symbols' bounds are the bits of a long. A merge that makes an edge possible which was passed before would have
+   to be followed by that edge; the fold notices, and such a word goes through the edges anew after every merge.
 4. Answers go back to the asking blocks, in the order asked, and the documents' ids are joined there; they are decoded
    again to prove the round trip.
 
@@ -43,6 +45,8 @@ BLANK = "▁"
 LONG = 48
 #: Documents of a bucket: sizes the buckets so that each holds a bounded share of the words.
 PER_BUCKET = 1500
+#: A run of blanks and what follows up to the next, in marked text.
+FIELD = re.compile(f"(?:{BLANK})+(?:(?!{BLANK}).)*+".encode(), re.DOTALL)
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -114,7 +118,14 @@ class Pieces:
     def words(self) -> re.Pattern:
         inside = set().union(*self.ids) if self.ids else set()
         cuts = "".join(c for c in "\n\t" if c not in inside)
-        return re.compile(f"{BLANK}+[^{BLANK}{cuts}]*|[^{BLANK}{cuts}]+" + (f"|[{cuts}]" if cuts else ""))
+        letter = re.compile(r"[^\W\d_]").match
+        after = {b for p in self.ids for a, b in zip(p, p[1:]) if letter(a)}
+        marks = "".join(re.escape(c) for c in map(chr, range(33, 127)) if not letter(c) and c not in after)
+        if not marks:
+            return re.compile(f"{BLANK}+[^{BLANK}{cuts}]*|[^{BLANK}{cuts}]+" + (f"|[{cuts}]" if cuts else ""))
+        letters, others = r"[^\W\d_]++", rf"(?:[\W\d_](?<![{BLANK}{cuts}]))++"
+        run = f"(?:{others}|{letters}(?![{marks}]))"
+        return re.compile(f"{BLANK}++{run}*+(?:{letters})?|{run}++(?:{letters})?|{letters}" + (f"|[{cuts}]" if cuts else ""))
 
     def bounds_to_ids(self, word: str, bounds: list[int]) -> list[int]:
         out = []
@@ -198,23 +209,31 @@ def lattice(words: DataFrame, table: Pieces, keys: tuple[str, ...] = (), also: t
     cut = at.withColumn("_l", F.explode(F.sequence(F.when(F.col("_s") < 0, 0).otherwise(shortest), longest)))
     cut = cut.withColumn("piece", F.expr("if(_s < 0, '', substring(word, _s + 1, _l))"))
     edge = F.when(F.col("_s") >= 0, F.struct((-F.col("score")).alias("cost"), F.col("_s").alias("s"), (F.col("_s") + F.col("_l")).alias("e")))
-    grouped = cut.join(pieces, "piece").groupBy("_h", *keys, "word").agg(F.array_sort(F.collect_list(edge)).alias("edges"), *(F.first(c).alias(c) for c in also))
+    grouped = cut.join(pieces, "piece").groupBy("_h", *keys, "word").agg(F.sort_array(F.collect_list(edge)).alias("edges"), *(F.first(c).alias(c) for c in also))
     n = F.char_length("word")
-    fold = merge_fold(F.col("edges"), n) if table.bpe else viterbi_fold(F.col("edges"), n, low)
+    if table.bpe:
+        return merge_fold(grouped.select(*keys, "word", *also, "edges")).drop("edges")
+    fold = viterbi_fold(F.col("edges"), n, low)
     return grouped.select(*keys, "word", *also, fold.alias("bounds"))
 
 
-def merge_fold(edges: Column, n: Column) -> Column:
-    """Merges in the order of the edges, which are sorted by cost and place: each step joins the first edge that spans two symbols."""
+def merge_fold(grouped: DataFrame) -> DataFrame:
+    """``bounds`` from ``word`` (at most 60 characters) and ``edges``, which are sorted by cost and place.
 
-    def step(bounds, _):
-        free = F.filter(edges, lambda x: (F.array_position(bounds, x.e) - F.array_position(bounds, x.s) == 2) & (F.array_position(bounds, x.s) > 0))
-        best = F.transform(F.array(F.get(free, F.lit(0))), lambda b: F.when(b.isNull(), bounds).otherwise(F.filter(bounds, lambda p: (p <= b.s) | (p >= b.e))))
-        return F.get(best, F.lit(0))
-
-    start = F.sequence(F.lit(0), n)
-    steps = F.when(F.size(edges) > 0, F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1)))).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(steps, start, step)
+    Bit k of the state is a symbol's bound at k; an edge joins two symbols if its ends and one bit between are set.
+    """
+    masks = "transform(edges, x -> struct(shiftleft(2L, x.e) - shiftleft(1L, x.s) AS span, shiftleft(1L, x.s) | shiftleft(1L, x.e) AS ends))"
+    joins = lambda state, x: f"bit_count({state} & {x}.span) = 3 AND ({state} & {x}.ends) = {x}.ends"
+    start = "shiftleft(2L, char_length(word)) - 1"
+    taken = "((z.at & ~x.span) | x.ends)"
+    once = f"""aggregate(edges, struct({start} AS at, false AS again, 0 AS n), (z, x) -> if({joins("z.at", "x")},
+        struct({taken} AS at, z.again OR exists(slice(edges, 1, z.n), y -> {joins(taken, "y")}) AS again, z.n + 1 AS n),
+        struct(z.at AS at, z.again AS again, z.n + 1 AS n)))"""
+    anew = f"""aggregate(sequence(1, char_length(word)), {start}, (a, k) ->
+        coalesce(get(transform(slice(filter(edges, x -> {joins("a", "x")}), 1, 1), x -> (a & ~x.span) | x.ends), 0), a))"""
+    found = grouped.withColumn("edges", F.expr(masks)).withColumn("once", F.expr(once))
+    bounds = F.expr("filter(sequence(0, char_length(word)), k -> (shiftright(at, k) & 1) = 1)")
+    return found.withColumn("at", F.expr(f"if(once.again, {anew}, once.at)")).withColumn("bounds", bounds).drop("once", "at")
 
 
 def viterbi_fold(edges: Column, n: Column, low: float) -> Column:
@@ -238,13 +257,30 @@ class _Splitter:
     def __getstate__(self):
         return {"pattern": self.pattern, "buckets": self.buckets}
 
-    def words(self, texts: list[bytes]) -> list[list[str]]:
-        return [self.pattern.findall(marked(t.decode())) for t in texts]
-
-    def by_bucket(self, docs: list[list[str]]) -> dict[int, list[str]]:
-        """The distinct words that are not too long, in order, by bucket."""
+    def fields(self, text: bytes) -> list[bytes]:
+        """The text's runs between blanks, cheaply; each stands for one or more words, see :meth:`words`."""
+        if not text:
+            return []
+        if b"  " in text or text[:1] == b" " or BLANK.encode() in text:
+            return [x[len(BLANK.encode()) :] for x in FIELD.findall(marked(text.decode()).encode())]
+        return text.split(b" ")
+
+    def words(self, field: bytes) -> list[str]:
+        if field.isalpha():  # ASCII letters only
+            return [BLANK + field.decode()]
+        return self.pattern.findall(marked(field.decode()) or BLANK)
+
+    def distinct(self, texts: list[bytes]) -> dict[bytes, list[str]]:
+        """Every different field with its words."""
+        seen: set[bytes] = set()
+        for t in texts:
+            seen.update(self.fields(t))
+        return {f: self.words(f) for f in seen}
+
+    def by_bucket(self, words: set[str]) -> dict[int, list[str]]:
+        """The words that are not too long, in order, by bucket."""
         out: dict[int, list[str]] = {}
-        for w in sorted(set().union(*docs)) if docs else []:
+        for w in sorted(words):
             if len(w) <= LONG:
                 out.setdefault(xxhash.xxh64_intdigest(w) % self.buckets, []).append(w)
         return out
@@ -258,7 +294,7 @@ def _ask(split: _Splitter):
     def run(batches):
         for b in batches:
             for block, blob in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
-                rows = [(k, block, pack_texts([None] * len(w), [x.encode() for x in w])) for k, w in split.by_bucket(split.words(unpack_texts(blob)[1])).items()]
+                rows = [(k, block, pack_texts([None] * len(w), [x.encode() for x in w])) for k, w in split.by_bucket(set().union(*split.distinct(unpack_texts(blob)[1]).values())).items()]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["bucket", "block", "words"])
 
     return run
@@ -322,26 +358,29 @@ def _join(table: Pieces, split: _Splitter, want_ids: bool):
         for b in batches:
             for row in range(len(b)):
                 doc_ids, texts = unpack_texts(b.column(1)[row].as_py())
-                docs = split.words(texts)
+                fields = split.distinct(texts)
+                every = set().union(*fields.values())
                 code: dict[str, bytes] = {}
                 answers = {a["bucket"]: a for a in b.column(2)[row].as_py() or ()}
-                for bucket, words in split.by_bucket(docs).items():
+                for bucket, words in split.by_bucket(every).items():
                     a = answers.get(bucket)
                     if a and a["check"] == _check(words):
                         flat, cuts = unpack_numbers(a["ids"]).astype("<u4"), np.r_[0, np.cumsum(unpack_numbers(a["sizes"]))].astype(np.int64)
                         data, cuts = flat.tobytes(), (cuts * 4).tolist()
                         code.update(zip(words, (data[x:y] for x, y in zip(cuts, cuts[1:]))))
-                for w in set().union(*docs) if docs else ():
+                for w in every:
                     if w not in code:
                         code[w] = np.array(table.encode_word(w), "<u4").tobytes()
-                surface = {w: b"".join([table.surface[k] for k in np.frombuffer(c, "<u4").tolist()]) for w, c in code.items()}
+                coded = {f: b"".join(map(code.__getitem__, w)) for f, w in fields.items()}
+                surface = {f: b"".join([table.surface[k] for k in np.frombuffer(c, "<u4").tolist()]) for f, c in coded.items()}
                 blank = BLANK.encode()
                 at = 0
-                while at < len(docs):  # rows of bounded size
+                while at < len(texts):  # rows of bounded size
                     rows, size = [], 0
-                    while at < len(docs) and size < 4 << 20:
-                        ids = b"".join(map(code.__getitem__, docs[at]))
-                        back = b"".join(map(surface.__getitem__, docs[at])).replace(blank, b" ")[1:]
+                    while at < len(texts) and size < 4 << 20:
+                        parts = split.fields(texts[at])
+                        ids = b"".join(map(coded.__getitem__, parts))
+                        back = b"".join(map(surface.__getitem__, parts)).replace(blank, b" ")[1:]
                         digest = hashlib.sha256(ids).hexdigest()
                         rows.append((doc_ids[at], len(ids) // 4, digest, hashlib.sha256(back).hexdigest(), back == texts[at], np.frombuffer(ids, "<u4").astype(np.int32) if want_ids else None))
                         size, at = size + len(ids), at + 1
