@@ -35,31 +35,36 @@ def unpack_sorted(data: bytes) -> np.ndarray:
     return np.cumsum(unpack_numbers(data), dtype=np.uint64)
 
 
+def blocks_of(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[int, int, list, list[bytes]]]:
+    """(block, part, ids, texts) from rows (doc_id, text, part) of a task, as :func:`bundle` numbers them."""
+    task, made = TaskContext.get().partitionId(), 0
+    held: dict[int, list] = {}
+    full: dict[int, int] = {}
+
+    def out(p):
+        nonlocal made
+        made += 1
+        full.pop(p)
+        ids, texts = zip(*held.pop(p))
+        return task * (1 << 24) + made - 1, p, ids, texts
+
+    for b in batches:
+        for k, t, p in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), b.column(2).to_pylist()):
+            held.setdefault(p, []).append((k, t or b""))
+            full[p] = full.get(p, 0) + len(t or b"") + 64
+            if full[p] >= size:
+                yield out(p)
+    for p in sorted(held):
+        yield out(p)
+
+
 def bundle(docs: DataFrame, size: int = SIZE, part: str = "0") -> DataFrame:
     """(block, part, blob) from docs (doc_id, text): every task bundles its rows up to ``size`` bytes, apart for each value
     of ``part``, an SQL expression of few values. Ids follow the task's number, so write the table before reading it twice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, made = TaskContext.get().partitionId(), 0
-        held: dict[int, list] = {}
-        full: dict[int, int] = {}
-
-        def out(p):
-            nonlocal made
-            block = task * (1 << 24) + made
-            made += 1
-            ids, texts = zip(*held.pop(p))
-            full.pop(p)
-            return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([p], pa.int32()), pa.array([pack_texts(ids, texts)], pa.binary())], ["block", "part", "blob"])
-
-        for b in batches:
-            for k, t, p in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), b.column(2).to_pylist()):
-                held.setdefault(p, []).append((k, t or b""))
-                full[p] = full.get(p, 0) + len(t or b"") + 64
-                if full[p] >= size:
-                    yield out(p)
-        for p in sorted(held):
-            yield out(p)
+        for block, p, ids, texts in blocks_of(batches, size):
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([p], pa.int32()), pa.array([pack_texts(ids, texts)], pa.binary())], ["block", "part", "blob"])
 
     return docs.select(F.col("doc_id").cast("long"), "text", F.expr(part).cast("int").alias("part")).mapInArrow(run, "block long, part int, blob binary")
 

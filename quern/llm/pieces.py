@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.blocks import SIZE, bundle, pack_numbers, pack_texts, unpack_numbers, unpack_texts
+from quern.llm.blocks import SIZE, blocks_of, bundle, pack_numbers, pack_texts, unpack_numbers, unpack_texts
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
@@ -118,15 +118,19 @@ class Pieces:
     def words(self) -> re.Pattern:
         inside = set().union(*self.ids) if self.ids else set()
         cuts = "".join(c for c in "\n\t" if c not in inside)
-        letter = re.compile(r"[^\W\d_]").match
-        after = {b for p in self.ids for a, b in zip(p, p[1:]) if letter(a)}
-        marks = "".join(re.escape(c) for c in map(chr, range(33, 127)) if not letter(c) and c not in after)
+        marks = re.escape(self.marks())
         if not marks:
             return re.compile(f"{BLANK}+[^{BLANK}{cuts}]*|[^{BLANK}{cuts}]+" + (f"|[{cuts}]" if cuts else ""))
         letters, others = r"[^\W\d_]++", rf"(?:[\W\d_](?<![{BLANK}{cuts}]))++"
         run = f"(?:{others}|{letters}(?![{marks}]))"
         return re.compile(f"{BLANK}++{run}*+(?:{letters})?|{run}++(?:{letters})?|{letters}" + (f"|[{cuts}]" if cuts else ""))
 
+    def marks(self) -> str:
+        """ASCII characters but letters that follow no letter in any piece."""
+        letter = re.compile(r"[^\W\d_]").match
+        after = {b for p in self.ids for a, b in zip(p, p[1:]) if letter(a)}
+        return "".join(c for c in map(chr, range(33, 127)) if not letter(c) and c not in after)
+
     def bounds_to_ids(self, word: str, bounds: list[int]) -> list[int]:
         out = []
         for a, b in zip(bounds, bounds[1:]):
@@ -191,38 +195,42 @@ def marked(text: str) -> str:
     return BLANK + text.replace(" ", BLANK) if text else ""
 
 
-def lattice(words: DataFrame, table: Pieces, keys: tuple[str, ...] = (), also: tuple[str, ...] = ()) -> DataFrame:
-    """``words`` (distinct in keys + word) with ``bounds``: the places where the word is cut, 0 and its length included.
+def lattice(words: DataFrame, table: Pieces, keys: tuple[str, ...] = ("word",), also: tuple[str, ...] = ()) -> DataFrame:
+    """``words`` (one row for each value of ``keys``) with ``bounds``: the places where the word is cut, 0 and its length included.
 
     Substrings are exploded and joined to the broadcast piece table; every word also matches one empty entry, so that
-    words without any edge stay. If ``words`` is partitioned by ``keys``, the grouping needs no further exchange.
+    words without any edge stay. Only that row carries the word and the columns ``also``, the edges' rows are numbers. If
+    ``words`` is partitioned by one of the keys, the grouping needs no further exchange.
     """
     spark = words.sparkSession
     low = min(table.scores.values(), default=0.0) - 10
-    rows = [(p, float(s)) for p, s in table.scores.items() if len(p) > 1 or not table.bpe] + [("", 0.0)]
-    pieces = F.broadcast(spark.createDataFrame(rows, "piece string, score double"))
+    ranks = {x: k for k, x in enumerate(sorted({-x for x in table.scores.values()}))}
+    rows = [(p, float(-x), ranks[-x]) for p, x in table.scores.items() if len(p) > 1 or not table.bpe] + [("", 0.0, 0)]
+    pieces = F.broadcast(spark.createDataFrame(rows, "piece string, cost double, rank long"))
     shortest = 2 if table.bpe else 1
-    n = F.char_length("word")
-    w = words.withColumn("_n", n).withColumn("_h", F.xxhash64("word"))
+    w = words.withColumns({"_word": F.col("word"), "_n": F.char_length("word")})
     at = w.withColumn("_s", F.explode(F.sequence(F.lit(-1), F.greatest(F.col("_n") - shortest, F.lit(-1)))))
     longest = F.when(F.col("_s") < 0, 0).otherwise(F.least(F.lit(table.longest), F.col("_n") - F.col("_s")))
     cut = at.withColumn("_l", F.explode(F.sequence(F.when(F.col("_s") < 0, 0).otherwise(shortest), longest)))
-    cut = cut.withColumn("piece", F.expr("if(_s < 0, '', substring(word, _s + 1, _l))"))
-    edge = F.when(F.col("_s") >= 0, F.struct((-F.col("score")).alias("cost"), F.col("_s").alias("s"), (F.col("_s") + F.col("_l")).alias("e")))
-    grouped = cut.join(pieces, "piece").groupBy("_h", *keys, "word").agg(F.sort_array(F.collect_list(edge)).alias("edges"), *(F.first(c).alias(c) for c in also))
-    n = F.char_length("word")
+    cut = cut.withColumn("piece", F.expr("if(_s < 0, '', substring(_word, _s + 1, _l))"))
+    end = F.col("_s") + F.col("_l")
+    code = F.shiftleft("rank", 12) + F.shiftleft("_s", 6) + end  # sorted by cost, then place
+    edge = F.when(F.col("_s") >= 0, code if table.bpe else F.struct("cost", F.col("_s").alias("s"), end.alias("e")))
+    rest = [c for c in dict.fromkeys(("word", *also)) if c not in keys]
+    carried = [F.when(F.col("_s") < 0, F.col(c)).alias(c) for c in rest]
+    matched = cut.join(pieces, "piece").select(*keys, *carried, edge.alias("edge"))
+    grouped = matched.groupBy(*keys).agg(F.sort_array(F.collect_list("edge")).alias("edges"), *(F.first(c, ignorenulls=True).alias(c) for c in rest))
     if table.bpe:
-        return merge_fold(grouped.select(*keys, "word", *also, "edges")).drop("edges")
-    fold = viterbi_fold(F.col("edges"), n, low)
-    return grouped.select(*keys, "word", *also, fold.alias("bounds"))
+        return merge_fold(grouped).select(*keys, *rest, "bounds")
+    return grouped.select(*keys, *rest, viterbi_fold(F.col("edges"), F.char_length("word"), low).alias("bounds"))
 
 
 def merge_fold(grouped: DataFrame) -> DataFrame:
-    """``bounds`` from ``word`` (at most 60 characters) and ``edges``, which are sorted by cost and place.
+    """``bounds`` from ``word`` (at most 60 characters) and ``edges``: rank, start and end of each in a long, sorted.
 
     Bit k of the state is a symbol's bound at k; an edge joins two symbols if its ends and one bit between are set.
     """
-    masks = "transform(edges, x -> struct(shiftleft(2L, x.e) - shiftleft(1L, x.s) AS span, shiftleft(1L, x.s) | shiftleft(1L, x.e) AS ends))"
+    masks = "transform(edges, x -> struct(shiftleft(2L, int(x & 63)) - shiftleft(1L, int(shiftright(x, 6) & 63)) AS span, shiftleft(1L, int(shiftright(x, 6) & 63)) | shiftleft(1L, int(x & 63)) AS ends))"
     joins = lambda state, x: f"bit_count({state} & {x}.span) = 3 AND ({state} & {x}.ends) = {x}.ends"
     start = "shiftleft(2L, char_length(word)) - 1"
     taken = "((z.at & ~x.span) | x.ends)"
@@ -252,10 +260,7 @@ def viterbi_fold(edges: Column, n: Column, low: float) -> Column:
 
 class _Splitter:
     def __init__(self, table: Pieces, buckets: int):
-        self.pattern, self.buckets = table.words(), buckets
-
-    def __getstate__(self):
-        return {"pattern": self.pattern, "buckets": self.buckets}
+        self.pattern, self.marks, self.buckets = table.words(), table.marks(), buckets
 
     def fields(self, text: bytes) -> list[bytes]:
         """The text's runs between blanks, cheaply; each stands for one or more words, see :meth:`words`."""
@@ -266,9 +271,13 @@ class _Splitter:
         return text.split(b" ")
 
     def words(self, field: bytes) -> list[str]:
-        if field.isalpha():  # ASCII letters only
-            return [BLANK + field.decode()]
-        return self.pattern.findall(marked(field.decode()) or BLANK)
+        w = field.decode()
+        if w.isalpha() or not w:
+            return [BLANK + w]
+        stem = w.rstrip(self.marks)
+        if stem.isalpha() and stem != w:
+            return [BLANK + stem, w[len(stem) :]]
+        return self.pattern.findall(marked(w))
 
     def distinct(self, texts: list[bytes]) -> dict[bytes, list[str]]:
         """Every different field with its words."""
@@ -290,18 +299,17 @@ def _check(words: list[str]) -> int:
     return xxhash.xxh64_intdigest("\0".join(words)) >> 1
 
 
-def _ask(split: _Splitter):
+def _ask(split: _Splitter, size: int):
     def run(batches):
-        for b in batches:
-            for block, blob in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
-                rows = [(k, block, pack_texts([None] * len(w), [x.encode() for x in w])) for k, w in split.by_bucket(set().union(*split.distinct(unpack_texts(blob)[1]).values())).items()]
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["bucket", "block", "words"])
+        for block, _, _, texts in blocks_of(batches, size):
+            rows = [(k, block, pack_texts([None] * len(w), [x.encode() for x in w])) for k, w in split.by_bucket(set().union(*split.distinct(texts).values())).items()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["bucket", "block", "words"])
 
     return run
 
 
 def _merge_asked(batches):
-    """Rows in the order of bucket to (bucket, word, blocks): every different word once with the blocks that asked for it."""
+    """Rows in the order of bucket to (bucket, k, word, blocks): every different word once, numbered, with the blocks that asked for it."""
     held: list[tuple] = []
 
     def settle():
@@ -311,7 +319,7 @@ def _merge_asked(batches):
                 asked.setdefault(w, []).append(block)
         n = len(asked)
         blocks = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(x) for x in asked.values()])].astype(np.int32)), pa.array([x for v in asked.values() for x in v], pa.int64()))
-        return pa.RecordBatch.from_arrays([pa.array([held[0][0]] * n, pa.int64()), pa.array([w.decode() for w in asked], pa.string()), blocks], ["bucket", "word", "blocks"])
+        return pa.RecordBatch.from_arrays([pa.array([held[0][0]] * n, pa.int64()), pa.array(range(n), pa.int64()), pa.array([w.decode() for w in asked], pa.string()), blocks], ["bucket", "k", "word", "blocks"])
 
     for b in batches:
         for r in zip(*(b.column(k).to_pylist() for k in range(3))):
@@ -354,6 +362,8 @@ def _answer(table: Pieces):
 
 
 def _join(table: Pieces, split: _Splitter, want_ids: bool):
+    surfaces = table.surface
+
     def run(batches):
         for b in batches:
             for row in range(len(b)):
@@ -361,18 +371,23 @@ def _join(table: Pieces, split: _Splitter, want_ids: bool):
                 fields = split.distinct(texts)
                 every = set().union(*fields.values())
                 code: dict[str, bytes] = {}
+                shown: dict[str, bytes] = {}
                 answers = {a["bucket"]: a for a in b.column(2)[row].as_py() or ()}
                 for bucket, words in split.by_bucket(every).items():
                     a = answers.get(bucket)
                     if a and a["check"] == _check(words):
-                        flat, cuts = unpack_numbers(a["ids"]).astype("<u4"), np.r_[0, np.cumsum(unpack_numbers(a["sizes"]))].astype(np.int64)
-                        data, cuts = flat.tobytes(), (cuts * 4).tolist()
-                        code.update(zip(words, (data[x:y] for x, y in zip(cuts, cuts[1:]))))
+                        flat, cuts = unpack_numbers(a["ids"]).astype("<u4"), np.r_[0, np.cumsum(unpack_numbers(a["sizes"]))].astype(np.int64).tolist()
+                        data, seen = flat.tobytes(), list(map(surfaces.__getitem__, flat.tolist()))
+                        for w, x, y in zip(words, cuts, cuts[1:]):
+                            code[w], shown[w] = data[4 * x : 4 * y], b"".join(seen[x:y])
+                answers = None
                 for w in every:
                     if w not in code:
-                        code[w] = np.array(table.encode_word(w), "<u4").tobytes()
+                        found = table.encode_word(w)
+                        code[w], shown[w] = np.array(found, "<u4").tobytes(), b"".join([surfaces[k] for k in found])
                 coded = {f: b"".join(map(code.__getitem__, w)) for f, w in fields.items()}
-                surface = {f: b"".join([table.surface[k] for k in np.frombuffer(c, "<u4").tolist()]) for f, c in coded.items()}
+                surface = {f: b"".join(map(shown.__getitem__, w)) for f, w in fields.items()}
+                code, shown, fields, every = {}, {}, {}, set()
                 blank = BLANK.encode()
                 at = 0
                 while at < len(texts):  # rows of bounded size
@@ -406,10 +421,9 @@ def encode(docs: DataFrame, table: Pieces | None = None, ids: bool = False, doc_
     table = table or load()
     pairs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     split = _Splitter(table, max(8, pairs.count() // PER_BUCKET))
-    blocks = bundle(pairs, size)
-    asked = blocks.mapInArrow(_ask(split), "bucket long, block long, words binary")
-    merged = asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_merge_asked, "bucket long, word string, blocks array<long>")
-    cut = lattice(merged.repartition("bucket"), table, keys=("bucket",), also=("blocks",))
+    asked = pairs.select(F.col("doc_id").cast("long"), "text", F.lit(0).alias("part")).mapInArrow(_ask(split, size), "bucket long, block long, words binary")
+    merged = asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_merge_asked, "bucket long, k long, word string, blocks array<long>")
+    cut = lattice(merged.repartition("bucket"), table, keys=("k", "bucket"), also=("blocks",))
     answers = cut.select("bucket", "word", "blocks", "bounds").sortWithinPartitions("bucket", F.col("word").cast("binary")).mapInArrow(_answer(table), "block long, bucket long, check long, sizes binary, ids binary")
     answers = answers.groupBy(F.col("block").alias("_block")).agg(F.collect_list(F.struct("bucket", "check", "sizes", "ids")).alias("answers"))
     joined = bundle(pairs, size).join(answers, F.col("block") == F.col("_block"), "left").select("block", "blob", "answers")
