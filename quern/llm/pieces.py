@@ -4,8 +4,8 @@ Blanks become U+2581, with one put in front. Pieces never reach across the start
 tab that no piece contains, nor from a letter to a mark that follows no letter in any piece. So a text falls into words
 whose encodings do not depend on each other, and each different word is encoded once:
 
-1. Blocks of documents send their distinct words, packed, to buckets by hash; a bucket merges them and remembers which
-   blocks asked.
+1. Blocks of documents send their distinct fields (what stands between blanks: a word or a few), packed, to buckets by
+   the hash of the field without closing marks; a bucket takes the distinct words of all of them.
 2. A word's substrings of bounded length are exploded and equi-joined to the piece table (a broadcast of fixed size).
    The matches are the edges of the word's lattice and are grouped by word where they arose.
 3. A fold with ``aggregate`` finds the word's segmentation. For a unigram model that is Viterbi: the best score of
@@ -14,11 +14,11 @@ whose encodings do not depend on each other, and each different word is encoded
    through the edges from the highest score down, leftmost first, and takes those that join two neighbouring symbols.
    The symbols' bounds are the bits of a long. A merge that makes an edge possible which was passed before would have
    to be followed by that edge; the fold notices, and such a word goes through the edges anew after every merge.
-4. Answers go back to the asking blocks, in the order asked, and the documents' ids are joined there; they are decoded
-   again to prove the round trip.
+4. Each bucket puts its fields together from the words and answers the blocks, in the order asked. The documents' ids are
+   joined there and decoded again to prove the round trip.
 
 Characters without a piece become byte pieces (or the unknown id). Words over ``LONG`` characters are encoded within
-their task by the same rule with a heap, as the fold's cost grows with the square of a word's length; so are words of a
+their task by the same rule with a heap, as the fold's cost grows with the square of a word's length; so are fields of a
 block whose answer does not fit, which can only happen if a re-read dealt the rows to tasks in another way.
 """
 
@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.llm.blocks import SIZE, blocks_of, bundle, pack_numbers, pack_texts, unpack_numbers, unpack_texts
+from quern.llm.tables import staged
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
@@ -279,84 +280,80 @@ class _Splitter:
             return [BLANK + stem, w[len(stem) :]]
         return self.pattern.findall(marked(w))
 
-    def distinct(self, texts: list[bytes]) -> dict[bytes, list[str]]:
-        """Every different field with its words."""
+    def distinct(self, texts: list[bytes]) -> set[bytes]:
         seen: set[bytes] = set()
         for t in texts:
             seen.update(self.fields(t))
-        return {f: self.words(f) for f in seen}
-
-    def by_bucket(self, words: set[str]) -> dict[int, list[str]]:
-        """The words that are not too long, in order, by bucket."""
-        out: dict[int, list[str]] = {}
-        for w in sorted(words):
-            if len(w) <= LONG:
-                out.setdefault(xxhash.xxh64_intdigest(w) % self.buckets, []).append(w)
+        return seen
+
+    def by_bucket(self, fields: set[bytes]) -> dict[int, list[bytes]]:
+        """The fields in order by bucket; those that differ in closing marks only share one."""
+        out: dict[int, list[bytes]] = {}
+        marks, n, digest = self.marks.encode(), self.buckets, xxhash.xxh64_intdigest
+        for f in sorted(fields):
+            out.setdefault(digest(f.rstrip(marks) if marks else f) % n, []).append(f)
         return out
 
 
-def _check(words: list[str]) -> int:
-    return xxhash.xxh64_intdigest("\0".join(words)) >> 1
+def _check(fields: list[bytes]) -> int:
+    return xxhash.xxh64_intdigest(b"\0".join(fields)) >> 1
 
 
 def _ask(split: _Splitter, size: int):
     def run(batches):
         for block, _, _, texts in blocks_of(batches, size):
-            rows = [(k, block, pack_texts([None] * len(w), [x.encode() for x in w])) for k, w in split.by_bucket(set().union(*split.distinct(texts).values())).items()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["bucket", "block", "words"])
+            rows = [(k, block, pack_texts([None] * len(f), f)) for k, f in split.by_bucket(split.distinct(texts)).items()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["bucket", "block", "fields"])
 
     return run
 
 
-def _merge_asked(batches):
-    """Rows in the order of bucket to (bucket, k, word, blocks): every different word once, numbered, with the blocks that asked for it."""
-    held: list[tuple] = []
+def _merge_asked(split: _Splitter):
+    """Rows in the order of bucket to (bucket, k, word): every different word that is not too long once, numbered."""
 
-    def settle():
-        asked: dict[bytes, list[int]] = {}
-        for _, block, words in held:
-            for w in unpack_texts(words)[1]:
-                asked.setdefault(w, []).append(block)
-        n = len(asked)
-        blocks = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(x) for x in asked.values()])].astype(np.int32)), pa.array([x for v in asked.values() for x in v], pa.int64()))
-        return pa.RecordBatch.from_arrays([pa.array([held[0][0]] * n, pa.int64()), pa.array(range(n), pa.int64()), pa.array([w.decode() for w in asked], pa.string()), blocks], ["bucket", "k", "word", "blocks"])
+    def run(batches):
+        held: list[tuple] = []
 
-    for b in batches:
-        for r in zip(*(b.column(k).to_pylist() for k in range(3))):
-            if held and held[-1][0] != r[0]:
-                yield settle()
-                held = []
-            held.append(r)
-    if held:
-        yield settle()
+        def settle():
+            fields = set().union(*(unpack_texts(r[2])[1] for r in held))
+            words = sorted({w for f in fields for w in split.words(f) if len(w) <= LONG})
+            n = len(words)
+            return pa.RecordBatch.from_arrays([pa.array([held[0][0]] * n, pa.int64()), pa.array(range(n), pa.int64()), pa.array(words, pa.string())], ["bucket", "k", "word"])
 
+        for b in batches:
+            for r in zip(*(b.column(k).to_pylist() for k in range(3))):
+                if held and held[-1][0] != r[0]:
+                    yield settle()
+                    held = []
+                held.append(r)
+        if held:
+            yield settle()
 
-def _answer(table: Pieces):
-    """Words in the order of (bucket, word) to (block, bucket, check, sizes, ids) for every block that asked."""
+    return run
 
-    def run(batches):
-        now, by_block = None, {}
 
-        def settle():
-            rows = []
-            for block, (words, ids) in by_block.items():
-                flat = np.fromiter((k for x in ids for k in x), np.uint64)
-                rows.append((block, now, _check(words), pack_numbers(np.array([len(x) for x in ids], np.uint64)), pack_numbers(flat)))
-            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["block", "bucket", "check", "sizes", "ids"])
+def _answer(table: Pieces, split: _Splitter):
+    """Each bucket's words (bucket, word, bounds), then the requests of its blocks (bucket, block, fields), to (block, bucket, check, sizes, ids)."""
 
+    def run(batches):
+        now, ids, known = None, {}, {}
         for b in batches:
-            for bucket, word, blocks, bounds in zip(*(b.column(k).to_pylist() for k in range(4))):
+            out = []
+            for bucket, word, bounds, block, fields in zip(*(b.column(k).to_pylist() for k in range(5))):
                 if bucket != now:
-                    if by_block:
-                        yield settle()
-                    now, by_block = bucket, {}
-                ids = table.bounds_to_ids(word, bounds)
-                for k in blocks:
-                    got = by_block.setdefault(k, ([], []))
-                    got[0].append(word)
-                    got[1].append(ids)
-        if by_block:
-            yield settle()
+                    now, ids, known = bucket, {}, {}
+                if word is not None:
+                    ids[word] = table.bounds_to_ids(word, bounds)
+                    continue
+                asked, flat, sizes = unpack_texts(fields)[1], [], []
+                for f in asked:
+                    got = known.get(f)
+                    if got is None:
+                        got = known[f] = [k for w in split.words(f) for k in (ids[w] if w in ids else table.encode_word(w))]
+                    flat += got
+                    sizes.append(len(got))
+                out.append((block, bucket, _check(asked), pack_numbers(np.array(sizes, np.uint64)), pack_numbers(np.array(flat, np.uint64))))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["block", "bucket", "check", "sizes", "ids"])
 
     return run
 
@@ -368,26 +365,22 @@ def _join(table: Pieces, split: _Splitter, want_ids: bool):
         for b in batches:
             for row in range(len(b)):
                 doc_ids, texts = unpack_texts(b.column(1)[row].as_py())
-                fields = split.distinct(texts)
-                every = set().union(*fields.values())
-                code: dict[str, bytes] = {}
-                shown: dict[str, bytes] = {}
+                every = split.distinct(texts)
+                coded: dict[bytes, bytes] = {}
+                surface: dict[bytes, bytes] = {}
                 answers = {a["bucket"]: a for a in b.column(2)[row].as_py() or ()}
-                for bucket, words in split.by_bucket(every).items():
-                    a = answers.get(bucket)
-                    if a and a["check"] == _check(words):
+                for bucket, fields in split.by_bucket(every).items():
+                    a = answers.pop(bucket, None)
+                    if a and a["check"] == _check(fields):
                         flat, cuts = unpack_numbers(a["ids"]).astype("<u4"), np.r_[0, np.cumsum(unpack_numbers(a["sizes"]))].astype(np.int64).tolist()
                         data, seen = flat.tobytes(), list(map(surfaces.__getitem__, flat.tolist()))
-                        for w, x, y in zip(words, cuts, cuts[1:]):
-                            code[w], shown[w] = data[4 * x : 4 * y], b"".join(seen[x:y])
-                answers = None
-                for w in every:
-                    if w not in code:
-                        found = table.encode_word(w)
-                        code[w], shown[w] = np.array(found, "<u4").tobytes(), b"".join([surfaces[k] for k in found])
-                coded = {f: b"".join(map(code.__getitem__, w)) for f, w in fields.items()}
-                surface = {f: b"".join(map(shown.__getitem__, w)) for f, w in fields.items()}
-                code, shown, fields, every = {}, {}, {}, set()
+                        for f, x, y in zip(fields, cuts, cuts[1:]):
+                            coded[f], surface[f] = data[4 * x : 4 * y], b"".join(seen[x:y])
+                for f in every:
+                    if f not in coded:
+                        found = [k for w in split.words(f) for k in table.encode_word(w)]
+                        coded[f], surface[f] = np.array(found, "<u4").tobytes(), b"".join([surfaces[k] for k in found])
+                every = set()
                 blank = BLANK.encode()
                 at = 0
                 while at < len(texts):  # rows of bounded size
@@ -421,10 +414,12 @@ def encode(docs: DataFrame, table: Pieces | None = None, ids: bool = False, doc_
     table = table or load()
     pairs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     split = _Splitter(table, max(8, pairs.count() // PER_BUCKET))
-    asked = pairs.select(F.col("doc_id").cast("long"), "text", F.lit(0).alias("part")).mapInArrow(_ask(split, size), "bucket long, block long, words binary")
-    merged = asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_merge_asked, "bucket long, k long, word string, blocks array<long>")
-    cut = lattice(merged.repartition("bucket"), table, keys=("k", "bucket"), also=("blocks",))
-    answers = cut.select("bucket", "word", "blocks", "bounds").sortWithinPartitions("bucket", F.col("word").cast("binary")).mapInArrow(_answer(table), "block long, bucket long, check long, sizes binary, ids binary")
+    asked = pairs.select(F.col("doc_id").cast("long"), "text", F.lit(0).alias("part")).mapInArrow(_ask(split, size), "bucket long, block long, fields binary")
+    asked = staged(asked, "asked")
+    merged = asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_merge_asked(split), "bucket long, k long, word string")
+    cut = lattice(merged.repartition("bucket"), table, keys=("k", "bucket")).select("bucket", "word", "bounds", F.lit(None).cast("long").alias("block"), F.lit(None).cast("binary").alias("fields"))
+    both = cut.union(asked.select("bucket", F.lit(None).cast("string"), F.lit(None).cast("array<int>"), "block", "fields")).repartition("bucket")
+    answers = both.sortWithinPartitions("bucket", F.col("block").asc_nulls_first()).mapInArrow(_answer(table, split), "block long, bucket long, check long, sizes binary, ids binary")
     answers = answers.groupBy(F.col("block").alias("_block")).agg(F.collect_list(F.struct("bucket", "check", "sizes", "ids")).alias("answers"))
     joined = bundle(pairs, size).join(answers, F.col("block") == F.col("_block"), "left").select("block", "blob", "answers")
     schema = "doc_id long, n_pieces long, ids_sha256 string, decoded_sha256 string, round_trip boolean" + ", ids array<int>" * ids
