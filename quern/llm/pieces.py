@@ -30,16 +30,17 @@ import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.blocks import SIZE, blocks_of, bundle, pack_numbers, pack_texts, unpack_numbers, unpack_texts
-from quern.llm.tables import staged
+from quern.llm.blocks import SIZE, blocks_of, bundle, pack_numbers, unpack_numbers, unpack_texts
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
@@ -197,11 +198,18 @@ def marked(text: str) -> str:
 
 
 def lattice(words: DataFrame, table: Pieces, keys: tuple[str, ...] = ("word",), also: tuple[str, ...] = ()) -> DataFrame:
-    """``words`` (one row for each value of ``keys``) with ``bounds``: the places where the word is cut, 0 and its length included.
+    """``keys``, ``also`` and ``bounds``: the places where the word is cut, 0 and its length included; null for a null word."""
+    cut = lattice_bits(words, table, keys, also)
+    return cut.withColumn("bounds", F.expr("filter(sequence(0, 63), k -> (shiftright(at, k) & 1) = 1)")).drop("at")
+
+
+def lattice_bits(words: DataFrame, table: Pieces, keys: tuple[str, ...] = ("word",), also: tuple[str, ...] = ()) -> DataFrame:
+    """From ``words`` (one row of at most 60 characters for each value of ``keys``) ``keys``, ``also`` and ``at``: a long
+    with the bit of every place where the word is cut, 0 and its length included.
 
     Substrings are exploded and joined to the broadcast piece table; every word also matches one empty entry, so that
-    words without any edge stay. Only that row carries the word and the columns ``also``, the edges' rows are numbers. If
-    ``words`` is partitioned by one of the keys, the grouping needs no further exchange.
+    words without any edge stay. Only that row carries the columns ``also``, the edges' rows are numbers. If ``words`` is
+    partitioned by one of the keys, the grouping needs no further exchange.
     """
     spark = words.sparkSession
     low = min(table.scores.values(), default=0.0) - 10
@@ -217,32 +225,32 @@ def lattice(words: DataFrame, table: Pieces, keys: tuple[str, ...] = ("word",),
     end = F.col("_s") + F.col("_l")
     code = F.shiftleft("rank", 12) + F.shiftleft("_s", 6) + end  # sorted by cost, then place
     edge = F.when(F.col("_s") >= 0, code if table.bpe else F.struct("cost", F.col("_s").alias("s"), end.alias("e")))
-    rest = [c for c in dict.fromkeys(("word", *also)) if c not in keys]
+    rest = ["_n", *also]
     carried = [F.when(F.col("_s") < 0, F.col(c)).alias(c) for c in rest]
     matched = cut.join(pieces, "piece").select(*keys, *carried, edge.alias("edge"))
     grouped = matched.groupBy(*keys).agg(F.sort_array(F.collect_list("edge")).alias("edges"), *(F.first(c, ignorenulls=True).alias(c) for c in rest))
     if table.bpe:
-        return merge_fold(grouped).select(*keys, *rest, "bounds")
-    return grouped.select(*keys, *rest, viterbi_fold(F.col("edges"), F.char_length("word"), low).alias("bounds"))
+        return merge_fold(grouped).select(*keys, *also, "at")
+    cuts = grouped.withColumn("_cuts", viterbi_fold(F.col("edges"), F.col("_n"), low))
+    return cuts.select(*keys, *also, F.expr("aggregate(_cuts, 0L, (a, k) -> a | shiftleft(1L, k))").alias("at"))
 
 
 def merge_fold(grouped: DataFrame) -> DataFrame:
-    """``bounds`` from ``word`` (at most 60 characters) and ``edges``: rank, start and end of each in a long, sorted.
+    """``at`` from the word's length ``_n`` and ``edges``: rank, start and end of each in a long, sorted.
 
     Bit k of the state is a symbol's bound at k; an edge joins two symbols if its ends and one bit between are set.
     """
     masks = "transform(edges, x -> struct(shiftleft(2L, int(x & 63)) - shiftleft(1L, int(shiftright(x, 6) & 63)) AS span, shiftleft(1L, int(shiftright(x, 6) & 63)) | shiftleft(1L, int(x & 63)) AS ends))"
     joins = lambda state, x: f"bit_count({state} & {x}.span) = 3 AND ({state} & {x}.ends) = {x}.ends"
-    start = "shiftleft(2L, char_length(word)) - 1"
+    start = "shiftleft(2L, _n) - 1"
     taken = "((z.at & ~x.span) | x.ends)"
     once = f"""aggregate(edges, struct({start} AS at, false AS again, 0 AS n), (z, x) -> if({joins("z.at", "x")},
         struct({taken} AS at, z.again OR exists(slice(edges, 1, z.n), y -> {joins(taken, "y")}) AS again, z.n + 1 AS n),
         struct(z.at AS at, z.again AS again, z.n + 1 AS n)))"""
-    anew = f"""aggregate(sequence(1, char_length(word)), {start}, (a, k) ->
+    anew = f"""aggregate(sequence(1, _n), {start}, (a, k) ->
         coalesce(get(transform(slice(filter(edges, x -> {joins("a", "x")}), 1, 1), x -> (a & ~x.span) | x.ends), 0), a))"""
     found = grouped.withColumn("edges", F.expr(masks)).withColumn("once", F.expr(once))
-    bounds = F.expr("filter(sequence(0, char_length(word)), k -> (shiftright(at, k) & 1) = 1)")
-    return found.withColumn("at", F.expr(f"if(once.again, {anew}, once.at)")).withColumn("bounds", bounds).drop("once", "at")
+    return found.withColumn("at", F.expr(f"if(once.again, {anew}, once.at)")).drop("once", "edges")
 
 
 def viterbi_fold(edges: Column, n: Column, low: float) -> Column:
@@ -299,26 +307,40 @@ def _check(fields: list[bytes]) -> int:
     return xxhash.xxh64_intdigest(b"\0".join(fields)) >> 1
 
 
+def pack_fields(fields: list[bytes]) -> bytes:
+    return zstandard.ZstdCompressor(level=6).compress(b" ".join(fields))
+
+
+def unpack_fields(data: bytes) -> list[bytes]:
+    return zstandard.ZstdDecompressor().decompress(data).split(b" ")
+
+
 def _ask(split: _Splitter, size: int):
     def run(batches):
         for block, _, _, texts in blocks_of(batches, size):
-            rows = [(k, block, pack_texts([None] * len(f), f)) for k, f in split.by_bucket(split.distinct(texts)).items()]
+            rows = [(k, block, pack_fields(f)) for k, f in split.by_bucket(split.distinct(texts)).items()]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["bucket", "block", "fields"])
 
     return run
 
 
+def _words(split: _Splitter, fields) -> list[str]:
+    """The different words of the fields that are not too long, in order."""
+    return sorted({w for f in fields for w in split.words(f) if len(w) <= LONG})
+
+
 def _merge_asked(split: _Splitter):
-    """Rows in the order of bucket to (bucket, k, word): every different word that is not too long once, numbered."""
+    """Rows in the order of bucket to (bucket, k, word, block, fields): every different word once, and the requests, which
+    have numbers before the words' and travel along."""
 
     def run(batches):
         held: list[tuple] = []
 
         def settle():
-            fields = set().union(*(unpack_texts(r[2])[1] for r in held))
-            words = sorted({w for f in fields for w in split.words(f) if len(w) <= LONG})
-            n = len(words)
-            return pa.RecordBatch.from_arrays([pa.array([held[0][0]] * n, pa.int64()), pa.array(range(n), pa.int64()), pa.array(words, pa.string())], ["bucket", "k", "word"])
+            words = _words(split, set().union(*(unpack_fields(r[2]) for r in held)))
+            n, m = len(held), len(words)
+            cols = [held[0][0]] * (n + m), range(-n, m), [None] * n + words, [r[1] for r in held] + [None] * m, [r[2] for r in held] + [None] * m
+            return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.binary()))], ["bucket", "k", "word", "block", "fields"])
 
         for b in batches:
             for r in zip(*(b.column(k).to_pylist() for k in range(3))):
@@ -333,27 +355,33 @@ def _merge_asked(split: _Splitter):
 
 
 def _answer(table: Pieces, split: _Splitter):
-    """Each bucket's words (bucket, word, bounds), then the requests of its blocks (bucket, block, fields), to (block, bucket, check, sizes, ids)."""
+    """Rows (bucket, k, at, block, fields) in the order of bucket and k to (block, bucket, check, sizes, ids)."""
 
     def run(batches):
-        now, ids, known = None, {}, {}
-        for b in batches:
+        now, asked, cuts = None, [], []
+
+        def settle():
+            fields = {f for _, x in asked for f in x}
+            ids = {w: table.bounds_to_ids(w, [k for k in range(at.bit_length()) if at >> k & 1]) for w, at in zip(_words(split, fields), cuts)}
+            known = {f: [k for w in split.words(f) for k in (ids[w] if w in ids else table.encode_word(w))] for f in fields}
             out = []
-            for bucket, word, bounds, block, fields in zip(*(b.column(k).to_pylist() for k in range(5))):
+            for block, x in asked:
+                got = [known[f] for f in x]
+                out.append((block, now, _check(x), pack_numbers(np.array([len(g) for g in got], np.uint64)), pack_numbers(np.fromiter(chain.from_iterable(got), np.uint64))))
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["block", "bucket", "check", "sizes", "ids"])
+
+        for b in batches:
+            for bucket, k, at, block, fields in zip(*(b.column(c).to_pylist() for c in range(5))):
                 if bucket != now:
-                    now, ids, known = bucket, {}, {}
-                if word is not None:
-                    ids[word] = table.bounds_to_ids(word, bounds)
-                    continue
-                asked, flat, sizes = unpack_texts(fields)[1], [], []
-                for f in asked:
-                    got = known.get(f)
-                    if got is None:
-                        got = known[f] = [k for w in split.words(f) for k in (ids[w] if w in ids else table.encode_word(w))]
-                    flat += got
-                    sizes.append(len(got))
-                out.append((block, bucket, _check(asked), pack_numbers(np.array(sizes, np.uint64)), pack_numbers(np.array(flat, np.uint64))))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["block", "bucket", "check", "sizes", "ids"])
+                    if asked:
+                        yield settle()
+                    now, asked, cuts = bucket, [], []
+                if k < 0:
+                    asked.append((block, unpack_fields(fields)))
+                else:
+                    cuts.append(at)
+        if asked:
+            yield settle()
 
     return run
 
@@ -415,11 +443,9 @@ def encode(docs: DataFrame, table: Pieces | None = None, ids: bool = False, doc_
     pairs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     split = _Splitter(table, max(8, pairs.count() // PER_BUCKET))
     asked = pairs.select(F.col("doc_id").cast("long"), "text", F.lit(0).alias("part")).mapInArrow(_ask(split, size), "bucket long, block long, fields binary")
-    asked = staged(asked, "asked")
-    merged = asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_merge_asked(split), "bucket long, k long, word string")
-    cut = lattice(merged.repartition("bucket"), table, keys=("k", "bucket")).select("bucket", "word", "bounds", F.lit(None).cast("long").alias("block"), F.lit(None).cast("binary").alias("fields"))
-    both = cut.union(asked.select("bucket", F.lit(None).cast("string"), F.lit(None).cast("array<int>"), "block", "fields")).repartition("bucket")
-    answers = both.sortWithinPartitions("bucket", F.col("block").asc_nulls_first()).mapInArrow(_answer(table, split), "block long, bucket long, check long, sizes binary, ids binary")
+    merged = asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_merge_asked(split), "bucket long, k long, word string, block long, fields binary")
+    cut = lattice_bits(merged.repartition(split.buckets, "bucket"), table, keys=("k", "bucket"), also=("block", "fields"))
+    answers = cut.select("bucket", "k", "at", "block", "fields").sortWithinPartitions("bucket", "k").mapInArrow(_answer(table, split), "block long, bucket long, check long, sizes binary, ids binary")
     answers = answers.groupBy(F.col("block").alias("_block")).agg(F.collect_list(F.struct("bucket", "check", "sizes", "ids")).alias("answers"))
     joined = bundle(pairs, size).join(answers, F.col("block") == F.col("_block"), "left").select("block", "blob", "answers")
     schema = "doc_id long, n_pieces long, ids_sha256 string, decoded_sha256 string, round_trip boolean" + ", ids array<int>" * ids
