@@ -58,22 +58,22 @@ def blocks_of(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[in
         yield out(p)
 
 
-def bundle(docs: DataFrame, size: int = SIZE, part: str = "0") -> DataFrame:
+def bundle(docs: DataFrame, size: int = SIZE, part: str = "0", level: int = 3) -> DataFrame:
     """(block, part, blob) from docs (doc_id, text): every task bundles its rows up to ``size`` bytes, apart for each value
     of ``part``, an SQL expression of few values. Ids follow the task's number, so write the table before reading it twice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, p, ids, texts in blocks_of(batches, size):
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([p], pa.int32()), pa.array([pack_texts(ids, texts)], pa.binary())], ["block", "part", "blob"])
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([p], pa.int32()), pa.array([pack_texts(ids, texts, level)], pa.binary())], ["block", "part", "blob"])
 
     return docs.select(F.col("doc_id").cast("long"), "text", F.expr(part).cast("int").alias("part")).mapInArrow(run, "block long, part int, blob binary")
 
 
-def pack_texts(ids, texts: list[bytes]) -> bytes:
+def pack_texts(ids, texts: list[bytes], level: int = 3) -> bytes:
     """Ids (None allowed) and texts."""
     n = len(ids)
     head = struct.pack("<q", n) + np.array([k is None for k in ids], np.uint8).tobytes() + np.array([k or 0 for k in ids], "<i8").tobytes() + np.array([len(t) for t in texts], "<i8").tobytes()
-    return zstandard.ZstdCompressor(level=3).compress(head + b"".join(texts))
+    return zstandard.ZstdCompressor(level=level).compress(head + b"".join(texts))
 
 
 def unpack_texts(blob: bytes) -> tuple[list, list[bytes]]:

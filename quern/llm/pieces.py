@@ -1,8 +1,9 @@
 """SentencePiece encoding and decoding by a relational lattice.
 
 Blanks become U+2581, with one put in front. Pieces never reach across the start of a run of U+2581, over a line feed or
-tab that no piece contains, nor from a letter to a mark that follows no letter in any piece. So a text falls into words
-whose encodings do not depend on each other, and each different word is encoded once:
+tab that no piece contains, from a letter to a mark that follows no letter in any piece, nor between two characters, one
+of them beyond ASCII, that are neighbours in no piece. So a text falls into words whose encodings do not depend on each
+other, and each different word is encoded once:
 
 1. Blocks of documents send their distinct fields (what stands between blanks: a word or a few), packed, to buckets by
    the hash of the field without closing marks; a bucket takes the distinct words of all of them.
@@ -30,7 +31,7 @@ import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -270,6 +271,7 @@ def viterbi_fold(edges: Column, n: Column, low: float) -> Column:
 class _Splitter:
     def __init__(self, table: Pieces, buckets: int):
         self.pattern, self.marks, self.buckets = table.words(), table.marks(), buckets
+        self.pairs = {p[k : k + 2] for p in table.ids for k in range(len(p) - 1)}
 
     def fields(self, text: bytes) -> list[bytes]:
         """The text's runs between blanks, cheaply; each stands for one or more words, see :meth:`words`."""
@@ -282,11 +284,18 @@ class _Splitter:
     def words(self, field: bytes) -> list[str]:
         w = field.decode()
         if w.isalpha() or not w:
-            return [BLANK + w]
-        stem = w.rstrip(self.marks)
-        if stem.isalpha() and stem != w:
-            return [BLANK + stem, w[len(stem) :]]
-        return self.pattern.findall(marked(w))
+            found = [BLANK + w]
+        elif (stem := w.rstrip(self.marks)).isalpha() and stem != w:
+            found = [BLANK + stem, w[len(stem) :]]
+        else:
+            found = self.pattern.findall(marked(w))
+        return found if w.isascii() else [x for w in found for x in self.apart(w)]
+
+    def apart(self, word: str) -> list[str]:
+        """The word cut where two characters meet that are neighbours in no piece."""
+        pairs = self.pairs
+        cuts = [k for k, (a, b) in enumerate(pairwise(word), 1) if a + b not in pairs and (a > "\x7f" or b > "\x7f") and not a == b == BLANK]
+        return [word[a:b] for a, b in pairwise([0, *cuts, len(word)])] if cuts else [word]
 
     def distinct(self, texts: list[bytes]) -> set[bytes]:
         seen: set[bytes] = set()
@@ -371,15 +380,16 @@ def _answer(table: Pieces, split: _Splitter):
             return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["block", "bucket", "check", "sizes", "ids"])
 
         for b in batches:
-            for bucket, k, at, block, fields in zip(*(b.column(c).to_pylist() for c in range(5))):
-                if bucket != now:
+            bucket, k, at = (b.column(c).to_numpy(zero_copy_only=False) for c in range(3))
+            starts = np.r_[0, np.flatnonzero(np.diff(bucket)) + 1, len(bucket)] if len(bucket) else [0]
+            for x, y in pairwise(np.asarray(starts).tolist()):
+                if bucket[x] != now:
                     if asked:
                         yield settle()
-                    now, asked, cuts = bucket, [], []
-                if k < 0:
-                    asked.append((block, unpack_fields(fields)))
-                else:
-                    cuts.append(at)
+                    now, asked, cuts = int(bucket[x]), [], []
+                first = x + int(np.count_nonzero(k[x:y] < 0))
+                asked += zip(b.column(3).slice(x, first - x).to_pylist(), map(unpack_fields, b.column(4).slice(x, first - x).to_pylist()))
+                cuts += at[first:y].astype(np.int64).tolist()
         if asked:
             yield settle()
 
@@ -387,7 +397,7 @@ def _answer(table: Pieces, split: _Splitter):
 
 
 def _join(table: Pieces, split: _Splitter, want_ids: bool):
-    surfaces = table.surface
+    surfaces, blank = table.surface, BLANK.encode()
 
     def run(batches):
         for b in batches:
@@ -395,28 +405,33 @@ def _join(table: Pieces, split: _Splitter, want_ids: bool):
                 doc_ids, texts = unpack_texts(b.column(1)[row].as_py())
                 every = split.distinct(texts)
                 coded: dict[bytes, bytes] = {}
-                surface: dict[bytes, bytes] = {}
+                other: dict[bytes, bytes] = {}  # fields that decode to something else
                 answers = {a["bucket"]: a for a in b.column(2)[row].as_py() or ()}
+
+                def put(f, ids, seen):
+                    coded[f] = ids
+                    if (back := b"".join(seen).replace(blank, b" ")) != b" " + f:
+                        other[f] = back
+
                 for bucket, fields in split.by_bucket(every).items():
                     a = answers.pop(bucket, None)
                     if a and a["check"] == _check(fields):
                         flat, cuts = unpack_numbers(a["ids"]).astype("<u4"), np.r_[0, np.cumsum(unpack_numbers(a["sizes"]))].astype(np.int64).tolist()
                         data, seen = flat.tobytes(), list(map(surfaces.__getitem__, flat.tolist()))
                         for f, x, y in zip(fields, cuts, cuts[1:]):
-                            coded[f], surface[f] = data[4 * x : 4 * y], b"".join(seen[x:y])
+                            put(f, data[4 * x : 4 * y], seen[x:y])
                 for f in every:
                     if f not in coded:
                         found = [k for w in split.words(f) for k in table.encode_word(w)]
-                        coded[f], surface[f] = np.array(found, "<u4").tobytes(), b"".join([surfaces[k] for k in found])
+                        put(f, np.array(found, "<u4").tobytes(), [surfaces[k] for k in found])
                 every = set()
-                blank = BLANK.encode()
                 at = 0
                 while at < len(texts):  # rows of bounded size
                     rows, size = [], 0
                     while at < len(texts) and size < 4 << 20:
                         parts = split.fields(texts[at])
                         ids = b"".join(map(coded.__getitem__, parts))
-                        back = b"".join(map(surface.__getitem__, parts)).replace(blank, b" ")[1:]
+                        back = b"".join([other[f] if f in other else b" " + f for f in parts])[1:] if other else b" ".join(parts)
                         digest = hashlib.sha256(ids).hexdigest()
                         rows.append((doc_ids[at], len(ids) // 4, digest, hashlib.sha256(back).hexdigest(), back == texts[at], np.frombuffer(ids, "<u4").astype(np.int32) if want_ids else None))
                         size, at = size + len(ids), at + 1
@@ -447,7 +462,7 @@ def encode(docs: DataFrame, table: Pieces | None = None, ids: bool = False, doc_
     cut = lattice_bits(merged.repartition(split.buckets, "bucket"), table, keys=("k", "bucket"), also=("block", "fields"))
     answers = cut.select("bucket", "k", "at", "block", "fields").sortWithinPartitions("bucket", "k").mapInArrow(_answer(table, split), "block long, bucket long, check long, sizes binary, ids binary")
     answers = answers.groupBy(F.col("block").alias("_block")).agg(F.collect_list(F.struct("bucket", "check", "sizes", "ids")).alias("answers"))
-    joined = bundle(pairs, size).join(answers, F.col("block") == F.col("_block"), "left").select("block", "blob", "answers")
+    joined = bundle(pairs, size, level=5).join(answers, F.col("block") == F.col("_block"), "left").select("block", "blob", "answers")
     schema = "doc_id long, n_pieces long, ids_sha256 string, decoded_sha256 string, round_trip boolean" + ", ids array<int>" * ids
     return joined.mapInArrow(_join(table, split, ids), schema)
 
