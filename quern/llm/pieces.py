@@ -294,7 +294,7 @@ class _Splitter:
     def apart(self, word: str) -> list[str]:
         """The word cut where two characters meet that are neighbours in no piece."""
         pairs = self.pairs
-        cuts = [k for k, (a, b) in enumerate(pairwise(word), 1) if a + b not in pairs and (a > "\x7f" or b > "\x7f") and not a == b == BLANK]
+        cuts = [k for k in range(1, len(word)) if word[k - 1 : k + 1] not in pairs and not word[k - 1 : k + 1].isascii() and word[k - 1 : k + 1] != BLANK + BLANK]
         return [word[a:b] for a, b in pairwise([0, *cuts, len(word)])] if cuts else [word]
 
     def distinct(self, texts: list[bytes]) -> set[bytes]:
@@ -407,23 +407,21 @@ def _join(table: Pieces, split: _Splitter, want_ids: bool):
                 coded: dict[bytes, bytes] = {}
                 other: dict[bytes, bytes] = {}  # fields that decode to something else
                 answers = {a["bucket"]: a for a in b.column(2)[row].as_py() or ()}
-
-                def put(f, ids, seen):
-                    coded[f] = ids
-                    if (back := b"".join(seen).replace(blank, b" ")) != b" " + f:
-                        other[f] = back
-
                 for bucket, fields in split.by_bucket(every).items():
                     a = answers.pop(bucket, None)
                     if a and a["check"] == _check(fields):
                         flat, cuts = unpack_numbers(a["ids"]).astype("<u4"), np.r_[0, np.cumsum(unpack_numbers(a["sizes"]))].astype(np.int64).tolist()
                         data, seen = flat.tobytes(), list(map(surfaces.__getitem__, flat.tolist()))
                         for f, x, y in zip(fields, cuts, cuts[1:]):
-                            put(f, data[4 * x : 4 * y], seen[x:y])
+                            coded[f] = data[4 * x : 4 * y]
+                            if (back := b"".join(seen[x:y])) != blank + f or blank in f:
+                                other[f] = back.replace(blank, b" ")
                 for f in every:
                     if f not in coded:
                         found = [k for w in split.words(f) for k in table.encode_word(w)]
-                        put(f, np.array(found, "<u4").tobytes(), [surfaces[k] for k in found])
+                        coded[f] = np.array(found, "<u4").tobytes()
+                        if (back := b"".join([surfaces[k] for k in found])) != blank + f or blank in f:
+                            other[f] = back.replace(blank, b" ")
                 every = set()
                 at = 0
                 while at < len(texts):  # rows of bounded size
