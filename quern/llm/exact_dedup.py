@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.tables import staged, text_or_empty
+from quern.llm.tables import fresh, staged, text_or_empty
 
 #: Most digests that the Misra-Gries pass follows in a task, and most rows that are broadcast (about 100 bytes each).
 COUNTERS = 4096
@@ -76,11 +76,12 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", cou
 
 def keep_one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that :func:`exact_dedup` keeps, with all their columns."""
-    kept = exact_dedup(docs, doc_id, text).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    marked = docs.withColumn("_mark", F.sha2(text_or_empty(text), 256))
-    left = marked.join(kept, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_mark") == F.col("_sha")), "left_semi")
-    once = Window.partitionBy(doc_id, "_mark").orderBy("_mark")  # rows repeated with their id
-    return left.withColumn("_nth", F.row_number().over(once)).filter("_nth = 1").select(*docs.columns)
+    key, sha, mark, nth = fresh(docs, "_id", "_sha", "_mark", "_nth")
+    kept = exact_dedup(docs, doc_id, text).filter("kept").select(F.col("doc_id").alias(key), F.col("text_sha256").alias(sha))
+    marked = docs.withColumn(mark, F.sha2(text_or_empty(text), 256))
+    left = marked.join(kept, F.col(doc_id).eqNullSafe(F.col(key)) & (F.col(mark) == F.col(sha)), "left_semi")
+    once = Window.partitionBy(doc_id, mark).orderBy(mark)  # rows repeated with their id
+    return left.withColumn(nth, F.row_number().over(once)).filter(F.col(nth) == 1).select(*docs.columns)
 
 
 ORACLE = """

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.tables import WORD, staged, text_or_empty
+from quern.llm.tables import WORD, fresh, staged, text_or_empty
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -56,11 +56,12 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, limit: float = L
 def emit_copies(docs: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs``, each as often as :func:`mix` says, with all their columns."""
     m = mix(docs, doc_id=doc_id, **options)
-    rates = staged(m.select(F.col("source").alias("_source"), "rate").distinct(), "rates")
+    of, rate, copy = fresh(docs, "_source", "_rate", "_copy")
+    rates = staged(m.select(F.col("source").alias(of), F.col("rate").alias(rate)).distinct(), "rates")
     source = options.get("source", "source")
-    rated = docs.join(rates, F.col(source).eqNullSafe(F.col("_source")))
-    copies = (F.floor("rate") + (draw(F.col(doc_id), options.get("seed", "0")) < F.col("rate") - F.floor("rate")).cast("long")).cast("int")
-    return rated.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), copies))).select(*docs.columns)
+    rated = docs.join(rates, F.col(source).eqNullSafe(F.col(of)))
+    copies = (F.floor(rate) + (draw(F.col(doc_id), options.get("seed", "0")) < F.col(rate) - F.floor(rate)).cast("long")).cast("int")
+    return rated.withColumn(copy, F.explode(F.array_repeat(F.lit(0), copies))).select(*docs.columns)
 
 
 ORACLE = r"""

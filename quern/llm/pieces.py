@@ -41,11 +41,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.blocks import SIZE, blocks_of, bundle, pack_numbers, unpack_numbers, unpack_texts
+from quern.llm.blocks import blocks_of, bundle, pack_numbers, unpack_numbers, unpack_texts
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 LONG = 48
+#: Bytes of text in a block: each sends its distinct fields once.
+BLOCK = 32 << 20
 #: Documents of a bucket: sizes the buckets so that each holds a bounded share of the words.
 PER_BUCKET = 1500
 #: A run of blanks and what follows up to the next, in marked text.
@@ -445,7 +447,7 @@ def load(path: str = MODEL) -> Pieces:
         return Pieces.load(f.read())
 
 
-def encode(docs: DataFrame, table: Pieces | None = None, ids: bool = False, doc_id: str = "doc_id", text: str = "text", size: int = SIZE) -> DataFrame:
+def encode(docs: DataFrame, table: Pieces | None = None, ids: bool = False, doc_id: str = "doc_id", text: str = "text", size: int = BLOCK) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_pieces, ids_sha256 (of the ids as 32-bit little-endian), decoded_sha256,
     round_trip, and with ``ids`` the ids themselves.
 
@@ -460,7 +462,7 @@ def encode(docs: DataFrame, table: Pieces | None = None, ids: bool = False, doc_
     cut = lattice_bits(merged.repartition(split.buckets, "bucket"), table, keys=("k", "bucket"), also=("block", "fields"))
     answers = cut.select("bucket", "k", "at", "block", "fields").sortWithinPartitions("bucket", "k").mapInArrow(_answer(table, split), "block long, bucket long, check long, sizes binary, ids binary")
     answers = answers.groupBy(F.col("block").alias("_block")).agg(F.collect_list(F.struct("bucket", "check", "sizes", "ids")).alias("answers"))
-    joined = bundle(pairs, size, level=5).join(answers, F.col("block") == F.col("_block"), "left").select("block", "blob", "answers")
+    joined = bundle(pairs, size, level=3).join(answers, F.col("block") == F.col("_block"), "left").select("block", "blob", "answers")
     schema = "doc_id long, n_pieces long, ids_sha256 string, decoded_sha256 string, round_trip boolean" + ", ids array<int>" * ids
     return joined.mapInArrow(_join(table, split, ids), schema)
 

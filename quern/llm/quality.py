@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.tables import fold_of
+from quern.llm.tables import fold_of, fresh
 
 #: Bounds of the fit: labelled texts, characters of one, words with a vector of their own.
 FIT_ROWS, FIT_CHARS, VOCABULARY = 6000, 60_000, 20_000
@@ -79,7 +79,8 @@ class Model:
     def scores(self, x: np.ndarray) -> np.ndarray:
         if self.base is not None:
             return np.full(len(x), self.base)
-        return 1 / (1 + np.exp(-np.clip(forward((x - self.mean) / self.scale, self.layers)[1] / self.temperature, -30, 30)))
+        # rounded, as a product's last bits depend on how many rows are scored at once
+        return np.round(1 / (1 + np.exp(-np.clip(forward((x - self.mean) / self.scale, self.layers)[1] / self.temperature, -30, 30))), 9)
 
 
 def forward(x: np.ndarray, layers: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -167,4 +168,5 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the classifier accepts, with all their columns."""
-    return score(docs, learn(docs, labels), column="_score").filter("_score >= 0.5").select(*docs.columns)
+    (column,) = fresh(docs, "_score")
+    return score(docs, learn(docs, labels), column=column).filter(F.col(column) >= 0.5).select(*docs.columns)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.components import components
-from quern.llm.tables import LOWER, staged
+from quern.llm.tables import LOWER, fresh, staged
 
 WIDTH = 3
 RADIUS = 2
@@ -181,6 +181,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 def keep_one_per_component(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` whose id is their component's smallest, with all their columns; a null id counts as a copy of nothing and stays."""
-    kept = near_duplicates(docs, doc_id, text).filter("doc_id = component_id").select(F.col("doc_id").alias("_id"))
+    (key,) = fresh(docs, "_id")
+    kept = near_duplicates(docs, doc_id, text).filter("doc_id = component_id").select(F.col("doc_id").alias(key))
     alone = docs.filter(F.col(doc_id).isNull())
-    return docs.join(kept, F.col(doc_id) == F.col("_id"), "left_semi").union(alone)
+    return docs.join(kept, F.col(doc_id) == F.col(key), "left_semi").union(alone)
