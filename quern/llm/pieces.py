@@ -130,6 +130,17 @@ class Pieces:
         run = f"(?:{others}|{letters}(?![{marks}]))"
         return re.compile(f"{BLANK}++{run}*+(?:{letters})?|{run}++(?:{letters})?|{letters}" + (f"|[{cuts}]" if cuts else ""))
 
+    def late(self) -> set[str]:
+        """Pieces that begin or end a piece of at least their score whose rest can be a symbol: only after these can an edge
+        become possible that was passed before."""
+        out = set()
+        for p, x in self.scores.items():
+            for k in range(1, len(p)):
+                a, b = p[:k], p[k:]
+                if (k == 1 or a in self.scores) and (len(b) == 1 or b in self.scores):
+                    out |= {y for y in (a, b) if len(y) > 1 and self.scores[y] <= x}
+        return out
+
     def marks(self) -> str:
         """ASCII characters but letters that follow no letter in any piece."""
         letter = re.compile(r"[^\W\d_]").match
@@ -217,8 +228,9 @@ def lattice_bits(words: DataFrame, table: Pieces, keys: tuple[str, ...] = ("word
     spark = words.sparkSession
     low = min(table.scores.values(), default=0.0) - 10
     ranks = {x: k for k, x in enumerate(sorted({-x for x in table.scores.values()}))}
-    rows = [(p, float(-x), ranks[-x]) for p, x in table.scores.items() if len(p) > 1 or not table.bpe] + [("", 0.0, 0)]
-    pieces = F.broadcast(spark.createDataFrame(rows, "piece string, cost double, rank long"))
+    late = table.late() if table.bpe else set()
+    rows = [(p, float(-x), ranks[-x], int(p in late)) for p, x in table.scores.items() if len(p) > 1 or not table.bpe] + [("", 0.0, 0, 0)]
+    pieces = F.broadcast(spark.createDataFrame(rows, "piece string, cost double, rank long, late int"))
     shortest = 2 if table.bpe else 1
     w = words.withColumns({"_word": F.col("word"), "_n": F.char_length("word")})
     at = w.withColumn("_s", F.explode(F.sequence(F.lit(-1), F.greatest(F.col("_n") - shortest, F.lit(-1)))))
@@ -226,7 +238,7 @@ def lattice_bits(words: DataFrame, table: Pieces, keys: tuple[str, ...] = ("word
     cut = at.withColumn("_l", F.explode(F.sequence(F.when(F.col("_s") < 0, 0).otherwise(shortest), longest)))
     cut = cut.withColumn("piece", F.expr("if(_s < 0, '', substring(_word, _s + 1, _l))"))
     end = F.col("_s") + F.col("_l")
-    code = F.shiftleft("rank", 12) + F.shiftleft("_s", 6) + end  # sorted by cost, then place
+    code = F.shiftleft("rank", 13) + F.shiftleft("_s", 7) + F.shiftleft(end, 1) + F.col("late")  # sorted by cost, then place
     edge = F.when(F.col("_s") >= 0, code if table.bpe else F.struct("cost", F.col("_s").alias("s"), end.alias("e")))
     rest = ["_n", *also]
     carried = [F.when(F.col("_s") < 0, F.col(c)).alias(c) for c in rest]
@@ -239,16 +251,16 @@ def lattice_bits(words: DataFrame, table: Pieces, keys: tuple[str, ...] = ("word
 
 
 def merge_fold(grouped: DataFrame) -> DataFrame:
-    """``at`` from the word's length ``_n`` and ``edges``: rank, start and end of each in a long, sorted.
+    """``at`` from the word's length ``_n`` and ``edges``: rank, start, end and lateness of each in a long, sorted.
 
     Bit k of the state is a symbol's bound at k; an edge joins two symbols if its ends and one bit between are set.
     """
-    masks = "transform(edges, x -> struct(shiftleft(2L, int(x & 63)) - shiftleft(1L, int(shiftright(x, 6) & 63)) AS span, shiftleft(1L, int(shiftright(x, 6) & 63)) | shiftleft(1L, int(x & 63)) AS ends))"
+    masks = "transform(edges, x -> struct(shiftleft(2L, int(shiftright(x, 1) & 63)) - shiftleft(1L, int(shiftright(x, 7) & 63)) AS span, shiftleft(1L, int(shiftright(x, 7) & 63)) | shiftleft(1L, int(shiftright(x, 1) & 63)) AS ends, (x & 1) = 1 AS late))"
     joins = lambda state, x: f"bit_count({state} & {x}.span) = 3 AND ({state} & {x}.ends) = {x}.ends"
     start = "shiftleft(2L, _n) - 1"
     taken = "((z.at & ~x.span) | x.ends)"
     once = f"""aggregate(edges, struct({start} AS at, false AS again, 0 AS n), (z, x) -> if({joins("z.at", "x")},
-        struct({taken} AS at, z.again OR exists(slice(edges, 1, z.n), y -> {joins(taken, "y")}) AS again, z.n + 1 AS n),
+        struct({taken} AS at, z.again OR (x.late AND exists(slice(edges, 1, z.n), y -> {joins(taken, "y")})) AS again, z.n + 1 AS n),
         struct(z.at AS at, z.again AS again, z.n + 1 AS n)))"""
     anew = f"""aggregate(sequence(1, _n), {start}, (a, k) ->
         coalesce(get(transform(slice(filter(edges, x -> {joins("a", "x")}), 1, 1), x -> (a & ~x.span) | x.ends), 0), a))"""
