@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quern.llm import bwt, components, exact_dedup, langid, lm, matroska, mixing, pieces, quality, repeats, simhash, token_counts
+from quern.llm import bwt, components, exact_dedup, langid, lm, matroska, mixing, near_copies, pieces, quality, repeats, simhash, token_counts
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, digest string, size int, _id int"
 WORDS = "the of river stone light water green house walk small mountain open letter garden winter".split()
@@ -305,3 +305,55 @@ def test_pipeline_stages(spark):
     assert len(texts_left) == len(set(texts_left)) > 0
     out = corpus_pipeline.run(spark, sf)
     assert out.filter("not round_trip").count() == 0 and out.join(before, "doc_id", "left_anti").count() == 0
+
+
+def near_texts() -> list[str]:
+    """Texts with one to fifteen changed words, a chain of small changes, and a passage that many texts share."""
+    rng = random.Random(12)
+    word = lambda: f"{rng.choice(WORDS)}{int(rng.paretovariate(0.7)) % 500}"
+    own, passage = [], [word() for _ in range(100)]
+    for changes in (1, 2, 4, 4, 8, 15):
+        for n in (100, 200):
+            base = [word() for _ in range(n)]
+            own.append(base)
+            for _ in range(4):
+                new = list(base)
+                for at in rng.sample(range(n), changes):
+                    new[at] = word()
+                own.append(new)
+    chain = [word() for _ in range(150)]
+    for k in range(12):
+        chain = [*chain[:10 * k], "link", *chain[10 * k + 1 :]]
+        own.append(chain)
+    own += [passage + [word() for _ in range(rng.randint(5, 60))] for _ in range(30)]
+    return [" ".join(w) for w in own] + ["one two", "ONE  two", "", "  "]
+
+
+@pytest.mark.parametrize("pivots", [3, 0])
+def test_pipeline_near_copies(spark, pivots, monkeypatch):
+    import corpus_pipeline
+
+    monkeypatch.setattr(near_copies, "PIVOTS", pivots)
+    texts_ = near_texts()
+    rows = [(k, t) for k, t in enumerate(texts_)] + [(None, texts_[0]), (None, "an id of its own is missing here"), (3, "shares the id of another text"), (3, texts_[60]), (3, texts_[3])]
+    random.Random(3).shuffle(rows)
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := t.lower().split()) else set() for _, t in rows]
+    up = list(range(len(rows)))
+
+    def root(k):
+        while up[k] != k:
+            k = up[k]
+        return k
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                up[root(a)] = root(b)
+    members = defaultdict(list)
+    for k, r in enumerate(rows):
+        members[root(k)].append(r)
+    least = {g: min(i for i, _ in m if i is not None) if any(i is not None for i, _ in m) else None for g, m in members.items()}
+    got = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    found = Counter(root(rows.index((r.doc_id, r.text))) for r in got)
+    assert found == Counter(members.keys()) and len(members) < len(rows) - 40
+    assert all(r.doc_id == least[root(rows.index((r.doc_id, r.text)))] for r in got)
