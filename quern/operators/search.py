@@ -60,16 +60,17 @@ def search(df: DataFrame, spec: Spec, k: int | None = None) -> DataFrame:
     return out.limit(k) if k is not None else out
 
 
-def _placed(df: DataFrame, keys, k: int) -> DataFrame:
-    """(uid, rank) of the first k; the window sees no more than k rows."""
-    top = df.orderBy(*keys).limit(k)
+def _placed(df: DataFrame, keys, k: int | None) -> DataFrame:
+    """(uid, rank) of the first k, or of all; the window sees no more than k rows."""
+    top = df if k is None else df.orderBy(*keys).limit(k)
     return top.select("uid", F.row_number().over(Window.orderBy(*keys)).alias("rank"))
 
 
-def multi_rrf(df: DataFrame, specs: list[Spec], k: int = 10, depth: int = DEPTH) -> DataFrame:
-    """(uid, _score): the sum of boost / (60 + rank) over the specs' first ``depth`` rows."""
+def multi_rrf(df: DataFrame, specs: list[Spec], k: int | None = 10, depth: int | None = DEPTH) -> DataFrame:
+    """(uid, _score): the sum of boost / (60 + rank) over the specs' first ``depth`` rows; None for ``k`` or ``depth`` means all."""
     parts = [_placed(search(df, s), [F.desc("_score"), "uid"], depth).select("uid", (F.lit(s.boost) / (RRF + F.col("rank"))).alias("part")) for s in sorted(specs, key=lambda s: (s.field, s.op))]
-    return reduce(lambda a, b: a.union(b), parts).groupBy("uid").agg(F.sum("part").alias("_score")).orderBy(F.desc("_score"), "uid").limit(k)
+    fused = reduce(lambda a, b: a.union(b), parts).groupBy("uid").agg(F.sum("part").alias("_score")).orderBy(F.desc("_score"), "uid")
+    return fused.limit(k) if k is not None else fused
 
 
 def hybrid(text_df: DataFrame, spec: Spec, vector_df: DataFrame, field: str, v: list[float], k: int = 10, depth: int = DEPTH) -> DataFrame:

@@ -169,7 +169,8 @@ class Executor:
         if len(specs) == 1:
             found = search.search(rows, specs[0])
         else:
-            fused = search.multi_rrf(rows, specs, args.get("first") or 200)
+            page = None if args.get("first") is None or a.get("sort") else args["first"] + (args.get("offset") or 0)
+            fused = search.multi_rrf(rows, specs, page, depth=None)
             found = rows.join(fused, "uid")
         keys = [F.col(k).desc_nulls_last() if d.upper() == "DESC" else F.col(k).asc_nulls_first() for k, d in (a.get("sort") or {}).items()]
         found = found.orderBy(*(keys or [F.desc("_score")]), "uid")

@@ -233,3 +233,13 @@ def test_streaming(spark, tmp_path):
         merge(spark.createDataFrame([(1, "f", v, ({"a": 1, "b": 2}[v], 0, 1), False)], changes.LOG), n)
     assert [(r.uid, r.value) for r in stream.merged(spark, target).collect()] == [(1, "b")] and len(stream.versions(spark, target)) == 2
     assert stream.windowed_counts(spark.createDataFrame([(datetime.datetime(2024, 1, 1),)], T.StructType([T.StructField("ts", T.TimestampType())]))).first().n == 1
+
+
+def test_text_pages_reach_every_match(spark):
+    s = Store(spark, "type Note { title: String @search(by: [term])  body: String @search(by: [term]) }")
+    s.bind("Note", spark.createDataFrame([(k, "red stone " + "pad " * (k % 7), "green light " + "pad " * (k % 5)) for k in range(250)], "uid long, title string, body string"), "uid")
+    ask = lambda page: uids(Executor(s).run('{ queryNote(filter: {title: {anyofterms: "red"}, body: {anyofterms: "green"}}%s) { uid } }' % page)["queryNote"])
+    everything = ask("")
+    assert sorted(everything) == list(range(250))
+    assert [u for at in range(0, 250, 125) for u in ask(f", first: 125, offset: {at}")] == everything
+    assert ask(", first: 10, offset: 10") == everything[10:20]
