@@ -500,7 +500,7 @@ def _(spark, d):
     from quern.sources.writes import insert
 
     s = store(spark, d)
-    old = s.frames["Customer"].limit(3)
+    old = s.frames["Customer"]
     new = old.limit(1).withColumns({"c_name": F.lit("fresh"), "uid": F.lit(-1).cast("bigint")})
     again = new.withColumn("uid", F.lit(-2).cast("bigint"))
     good, _ = insert(s, "Customer", old.union(new.withColumn("uid", F.lit(-3).cast("bigint"))).union(again))

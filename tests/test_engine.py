@@ -243,3 +243,12 @@ def test_text_pages_reach_every_match(spark):
     assert sorted(everything) == list(range(250))
     assert [u for at in range(0, 250, 125) for u in ask(f", first: 125, offset: {at}")] == everything
     assert ask(", first: 10, offset: 10") == everything[10:20]
+
+
+def test_insert_unique_gets_the_whole_table_again(spark, monkeypatch):
+    from quern.plans.catalogue import QUERIES
+
+    sf, seen, insert = "/root/testdata/sf0.001", [], writes.insert
+    monkeypatch.setattr(writes, "insert", lambda s, t, rows: seen.append(rows) or insert(s, t, rows))
+    assert [r.c_name for r in QUERIES["insert_unique"](spark, sf).collect()] == ["fresh"]
+    assert seen[0].count() == spark.read.parquet(f"{sf}/customer.parquet").count() + 2
