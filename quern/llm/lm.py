@@ -96,6 +96,23 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return mixed(h + sizes.astype(np.uint64)), counts
 
 
+def hashes_of_words(text: bytes, size: int = 1 << 20) -> np.ndarray:
+    """Hashes of a text's words, a piece at a time, cut between words: memory does not grow with eight times the text."""
+    if len(text) <= size:
+        return word_hashes([text])[0]
+    out, at = [], 0
+    while at < len(text):
+        end = at + size
+        if end < len(text):
+            inside = ~_SPACE[np.frombuffer(text, np.uint8, min(size, len(text) - end), end)]
+            end += int(np.argmin(inside)) if not inside.all() else len(inside)
+            while end < len(text) and not _SPACE[text[end]]:  # a word longer than a piece
+                end += 1
+        out.append(word_hashes([text[at:end]])[0])
+        at = end
+    return np.concatenate(out)
+
+
 def _pieces(texts: list[bytes], size: int = 1 << 20):
     held, n = [], 0
     for t in texts:

@@ -1,4 +1,4 @@
-"""Removal of byte strings of ``LENGTH`` = 400 that occur more than once anywhere in the corpus, exactly.
+"""Removal of byte strings of 400 that occur more than once anywhere in the corpus, exactly.
 
 Every window of 400 bytes has an anchor: the place of its least-hashed 128-byte gram, the leftmost of equals. Equal
 windows have equal grams at equal offsets, so only windows whose anchor grams agree need to be compared. Neighbouring
@@ -13,15 +13,20 @@ windows mostly share their anchor; such a run of windows with the bytes that it
    in blocks that this leaves open.
 4. The covered bytes are removed; texts travel compressed and only for steps 3 and 4.
 
-Counts are combined before each shuffle, no step meets two members of a group, and hot grams or digests are plain
-equi-joins between written tables, whose partitions Spark can split. :mod:`quern.llm.bwt` has the merge of shard
-Burrows-Wheeler transforms; it gives the same answer in memory and checks this operator in the tests.
+The same steps over words instead of bytes (each a 64-bit hash) find passages: words in a string of 50 words that another
+document has too. They are counted, not removed; a passage of 50 words is often shorter than 400 bytes.
+
+Counts are combined before each shuffle and no step meets two members of a group. Keys that hold more than a HOT-th of
+the rows are joined where the rows are read, against fewer than HOT broadcast keys, the others by ordinary joins between
+written tables. :mod:`quern.llm.bwt` has the merge of shard Burrows-Wheeler transforms; it gives the same answer in
+memory and checks this operator in the tests.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -30,26 +35,56 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.tables import staged, text_or_empty
+from quern.llm.lm import hashes_of_words
+from quern.llm.tables import split_join, staged, text_or_empty
 
-LENGTH, GRAM = 400, 128
 #: A gram with more different spans is compared by counting window digests across tasks, others within one task.
 GROUP = 256
 #: Windows that are settled together in frequent grams.
 BLOCK = 16
-#: Bytes that are hashed at once; longer texts are cut with an overlap of LENGTH - 1.
-PART = 1 << 20
 _TABLE = np.random.default_rng(400).integers(0, 1 << 64, 256, np.uint64)
 _R = 0x9E3779B97F4A7C15
 
 
-def gram_hashes(data: np.ndarray, gram: int = GRAM) -> np.ndarray:
-    """Mixed polynomial hashes of all grams; ``gram`` is a power of two."""
-    h, step = _TABLE[data], 1
+@dataclass(frozen=True)
+class Unit:
+    """What strings consist of: ``length`` symbols in a string, ``gram`` (a power of two) in an anchor, ``width`` bytes in
+    a symbol, ``part`` symbols hashed at once (longer texts are cut with an overlap of length - 1). ``across`` counts only
+    strings that another document has too; without it the same document's other places count as well."""
+
+    length: int
+    gram: int
+    width: int
+    part: int
+    across: bool
+
+    def symbols(self, text: bytes) -> bytes:
+        return text if self.width == 1 else hashes_of_words(text).tobytes()
+
+    def hashes(self, symbols: bytes) -> np.ndarray:
+        return _TABLE[np.frombuffer(symbols, np.uint8)] if self.width == 1 else np.frombuffer(symbols, np.uint64)
+
+    def digests(self, symbols: bytes, starts, ends) -> list[bytes]:
+        digest, w = xxhash.xxh3_128_digest, self.width
+        return [digest(symbols[w * a : w * b]) for a, b in zip(starts, ends)]
+
+    @property
+    def least_bytes(self) -> int:
+        """A shorter text has no string."""
+        return self.length if self.width == 1 else 2 * self.length - 1
+
+
+BYTES = Unit(400, 128, 1, 1 << 20, False)
+WORDS = Unit(50, 16, 8, 1 << 17, True)
+
+
+def gram_hashes(h: np.ndarray, gram: int) -> np.ndarray:
+    """Mixed polynomial hashes of all grams of the symbols' hashes."""
+    step = 1
     while step < gram:
         h = h[:-step] * np.uint64(pow(_R, step, 1 << 64)) + h[step:]
         step *= 2
-    h ^= h >> np.uint64(29)
+    h = h ^ (h >> np.uint64(29))
     h *= np.uint64(0xBF58476D1CE4E5B9)
     return h ^ (h >> np.uint64(32))
 
@@ -62,12 +97,12 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - step)], x[width - step :]) if width > step else x
 
 
-def spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """(text, first window, last window, gram hash) of each span in the texts data[starts[k]:ends[k]]."""
+def spans(h: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
+    """(text, first window, last window, gram hash) of each span in the texts h[starts[k]:ends[k]] of hashed symbols."""
     none = np.zeros(0, np.int64)
-    if len(data) < length:
+    if len(h) < length:
         return none, none, none, none.astype(np.uint64)
-    h = gram_hashes(data, gram)
+    h = gram_hashes(h, gram)
     low = np.uint64((1 << 24) - 1)
     at = sliding_min((h & ~low) | np.arange(len(h), dtype=np.uint64), length - gram + 1) & low
     inside = np.zeros(len(at) + 1, np.int8)
@@ -86,137 +121,182 @@ def spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int =
     return np.searchsorted(starts, first, "right") - 1, first, last, h[at[first].astype(np.int64)]
 
 
-def _parts(texts: list[bytes]) -> Iterator[tuple[bytes, list[tuple[int, int, int, int]]]]:
-    """Buffers of about PART bytes with (row, start in the buffer, end in the buffer, start in the text)."""
-    held, inside, size = [], [], 0
+def _parts(texts: list[bytes], unit: Unit) -> Iterator[tuple[bytes, list[tuple[int, int, int, int]]]]:
+    """Buffers of about ``part`` symbols with (row, start in the buffer, end in the buffer, start in the text)."""
+    held, inside, size, w = [], [], 0, unit.width
     for row, t in enumerate(texts):
-        for base in range(0, max(1, len(t) - LENGTH + 1), PART):
-            piece = t[base : base + PART + LENGTH - 1]
-            inside.append((row, size, size + len(piece), base))
+        for base in range(0, max(1, len(t) // w - unit.length + 1), unit.part):
+            piece = t[base * w : (base + unit.part + unit.length - 1) * w]
+            n = len(piece) // w
+            inside.append((row, size, size + n, base))
             held.append(piece)
-            size += len(piece)
-            if size >= PART:
+            size += n
+            if size >= unit.part:
                 yield b"".join(held), inside
                 held, inside, size = [], [], 0
     if inside:
         yield b"".join(held), inside
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text) to one row per span: doc_id, t (text's hash), pos (first window * 512 + windows - 1), gram, h1, h2."""
-    for b in batches:
-        ids = b.column(0)
-        texts = b.column(1).cast(pa.binary()).to_pylist()
-        for buffer, inside in _parts(texts):
-            own = np.array(inside, np.int64)
-            k, first, last, gram = spans(np.frombuffer(buffer, np.uint8), own[:, 1], own[:, 2])
-            if not len(k):
-                continue
-            digest = xxhash.xxh3_128_digest
-            h = np.frombuffer(b"".join([digest(buffer[s:e]) for s, e in zip(first.tolist(), (last + LENGTH).tolist())]), "<i8").reshape(-1, 2)
-            rows = own[k, 0]
-            t = np.array([xxhash.xxh64_intdigest(texts[r]) if len(texts[r]) >= LENGTH else 0 for r in own[:, 0].tolist()], np.uint64).view(np.int64)[k]
-            pos = (first - own[k, 1] + own[k, 3]) * 512 + (last - first)
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows)), *map(pa.array, (t, pos, gram.view(np.int64), np.ascontiguousarray(h[:, 0]), np.ascontiguousarray(h[:, 1])))], ["doc_id", "t", "pos", "gram", "h1", "h2"])
-
-
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text) to (doc_id, t, z): the text compressed. Texts under LENGTH have nothing to remove and are left out."""
-    c = zstandard.ZstdCompressor(level=3)
-    for b in batches:
-        texts = b.column(1).cast(pa.binary()).to_pylist()
-        long = [k for k, x in enumerate(texts) if len(x) >= LENGTH]
-        t = np.array([xxhash.xxh64_intdigest(texts[k]) for k in long], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(long, pa.int64())), pa.array(t), pa.array([c.compress(texts[k]) for k in long], pa.binary())], ["doc_id", "t", "z"])
+def _hash(text: bytes) -> int:
+    return xxhash.xxh64_intdigest(text)
 
 
-def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, t, z, fine: list of (pos, gram, single, hot)) to one row per span with the bytes that it covers."""
-    d = zstandard.ZstdDecompressor()
-    for b in batches:
-        for row in range(len(b)):
-            data = d.decompress(b.column(2)[row].as_py())
-            fine = b.column(3)[row].as_py()
-            n = len(fine)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([b.column(0)[row].as_py()] * n, pa.int64()),
-                    pa.array([b.column(1)[row].as_py()] * n, pa.int64()),
-                    *(pa.array([x[c] for x in fine], kind) for c, kind in (("pos", pa.int64()), ("gram", pa.int64()), ("single", pa.bool_()), ("hot", pa.bool_()))),
-                    pa.array([data[x["pos"] >> 9 : (x["pos"] >> 9) + (x["pos"] & 511) + LENGTH] for x in fine], pa.binary()),
-                ],
-                ["doc_id", "t", "pos", "gram", "single", "hot", "bytes"],
-            )
-
-
-def _digests(bytes_: bytes, n: int) -> list[bytes]:
-    digest = xxhash.xxh3_128_digest
-    return [digest(bytes_[k : k + LENGTH]) for k in range(n)]
-
+def _cut(unit: Unit):
+    """(doc_id, text) to one row per span: doc_id, t (text's hash), pos (first window * 512 + windows - 1), gram, h1, h2."""
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spans with their bytes to one row per block of windows: doc_id, t, pos, block, single, c1, c2, u1, u2.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = b.column(0)
+            texts = b.column(1).cast(pa.binary()).to_pylist()
+            symbols = [unit.symbols(x) for x in texts]
+            of_row = np.array([_hash(x) if len(s) >= unit.length * unit.width else 0 for x, s in zip(texts, symbols)], np.uint64).view(np.int64)
+            for buffer, inside in _parts(symbols, unit):
+                own = np.array(inside, np.int64)
+                k, first, last, gram = spans(unit.hashes(buffer), own[:, 1], own[:, 2], unit.length, unit.gram)
+                if not len(k):
+                    continue
+                h = np.frombuffer(b"".join(unit.digests(buffer, first.tolist(), (last + unit.length).tolist())), "<i8").reshape(-1, 2)
+                rows = own[k, 0]
+                pos = (first - own[k, 1] + own[k, 3]) * 512 + (last - first)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows)), *map(pa.array, (of_row[rows], pos, gram.view(np.int64), np.ascontiguousarray(h[:, 0]), np.ascontiguousarray(h[:, 1])))], ["doc_id", "t", "pos", "gram", "h1", "h2"])
+
+    return run
+
+
+def _pack(unit: Unit):
+    """(doc_id, text) to (doc_id, t, z): the text compressed. Texts without a string have nothing to compare and are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = zstandard.ZstdCompressor(level=3)
+        for b in batches:
+            texts = b.column(1).cast(pa.binary()).to_pylist()
+            long = [k for k, x in enumerate(texts) if len(x) >= unit.least_bytes]
+            t = np.array([_hash(texts[k]) for k in long], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(long, pa.int64())), pa.array(t), pa.array([c.compress(texts[k]) for k in long], pa.binary())], ["doc_id", "t", "z"])
+
+    return run
+
+
+def _contexts(unit: Unit):
+    """(doc_id, t, z, fine: list of (pos, gram, single, hot)) to one row per span with the symbols that it covers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        d, w = zstandard.ZstdDecompressor(), unit.width
+        for b in batches:
+            for row in range(len(b)):
+                data = unit.symbols(d.decompress(b.column(2)[row].as_py()))
+                fine = b.column(3)[row].as_py()
+                n = len(fine)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([b.column(0)[row].as_py()] * n, pa.int64()),
+                        pa.array([b.column(1)[row].as_py()] * n, pa.int64()),
+                        *(pa.array([x[c] for x in fine], kind) for c, kind in (("pos", pa.int64()), ("gram", pa.int64()), ("single", pa.bool_()), ("hot", pa.bool_()))),
+                        pa.array([data[w * (x["pos"] >> 9) : w * ((x["pos"] >> 9) + (x["pos"] & 511) + unit.length)] for x in fine], pa.binary()),
+                    ],
+                    ["doc_id", "t", "pos", "gram", "single", "hot", "bytes"],
+                )
+
+    return run
+
+
+def _blocks(unit: Unit):
+    """Spans with their symbols to one row per block of windows: doc_id, t, pos, block, single, c1, c2, u1, u2.
 
     Blocks take BLOCK windows each by their distance to the anchor, so that equal windows of two spans are in blocks of the
-    same number. ``block`` is the block's first window and size, coded as ``pos`` is; c is the digest of the bytes that all
-    its windows share, u of those that any covers, null for a block that the span cuts.
+    same number. ``block`` is the block's first window and size, coded as ``pos`` is; c is the digest of the symbols that
+    all its windows share, u of those that any covers, null for a block that the span cuts.
     """
     names = ["doc_id", "t", "pos", "block", "single", "c1", "c2", "u1", "u2"]
-    digest = xxhash.xxh3_128_digest
-    for b in batches:
-        out = []
-        for doc, t, pos, gram, single, _, data in zip(*(b.column(k).to_pylist() for k in range(7))):
-            n = (pos & 511) + 1
-            at = int(np.argmax(gram_hashes(np.frombuffer(data, np.uint8)).view(np.int64) == gram))
-            for q in range((at - n + 1) // BLOCK, at // BLOCK + 1):
-                core = at - BLOCK * q  # the last window of the whole block starts here
-                low, high = max(0, core - BLOCK + 1), min(n - 1, core)
-                c = digest(data[core : core - BLOCK + 1 + LENGTH])
-                u = digest(data[low : high + LENGTH]) if high - low + 1 == BLOCK else None
-                out.append((doc, t, pos, ((pos >> 9) + low) * 512 + high - low, single, c, u))
-        cut = lambda k, side: [None if r[k] is None else int.from_bytes(r[k][8 * side : 8 * side + 8], "little", signed=True) for r in out]
-        cols = [[r[k] for r in out] for k in range(5)] + [cut(5, 0), cut(5, 1), cut(6, 0), cut(6, 1)]
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.bool_() if k == 4 else pa.int64()) for k, c in enumerate(cols)], names)
-
-
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spans with their bytes and a list of blocks to one row per window of those: doc_id, t, pos, single, w1, w2."""
-    digest = xxhash.xxh3_128_digest
-    for b in batches:
-        for doc, t, pos, single, data, blocks in zip(*(b.column(k).to_pylist() for k in range(6))):
-            at = np.concatenate([np.arange(x >> 9, (x >> 9) + (x & 511) + 1) for x in blocks])
-            base = pos >> 9
-            w = np.frombuffer(b"".join([digest(data[k : k + LENGTH]) for k in (at - base).tolist()]), "<i8").reshape(-1, 2)
-            n = len(at)
-            yield pa.RecordBatch.from_arrays([pa.array([doc] * n, pa.int64()), pa.array([t] * n, pa.int64()), pa.array(at * 512), pa.array([single] * n), pa.array(np.ascontiguousarray(w[:, 0])), pa.array(np.ascontiguousarray(w[:, 1]))], ["doc_id", "t", "pos", "single", "w1", "w2"])
-
-
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    length = unit.length
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for doc, t, pos, gram, single, _, data in zip(*(b.column(k).to_pylist() for k in range(7))):
+                n = (pos & 511) + 1
+                at = int(np.argmax(gram_hashes(unit.hashes(data), unit.gram).view(np.int64) == gram))
+                for q in range((at - n + 1) // BLOCK, at // BLOCK + 1):
+                    core = at - BLOCK * q  # the last window of the whole block starts here
+                    low, high = max(0, core - BLOCK + 1), min(n - 1, core)
+                    (c,) = unit.digests(data, [core], [core - BLOCK + 1 + length])
+                    u = unit.digests(data, [low], [high + length])[0] if high - low + 1 == BLOCK else None
+                    out.append((doc, t, pos, ((pos >> 9) + low) * 512 + high - low, single, c, u))
+            cut = lambda k, side: [None if r[k] is None else int.from_bytes(r[k][8 * side : 8 * side + 8], "little", signed=True) for r in out]
+            cols = [[r[k] for r in out] for k in range(5)] + [cut(5, 0), cut(5, 1), cut(6, 0), cut(6, 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.bool_() if k == 4 else pa.int64()) for k, c in enumerate(cols)], names)
+
+    return run
+
+
+def _windows(unit: Unit):
+    """Spans with their symbols and a list of blocks to one row per window of those: doc_id, t, pos, single, w1, w2."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for doc, t, pos, single, data, blocks in zip(*(b.column(k).to_pylist() for k in range(6))):
+                at = np.concatenate([np.arange(x >> 9, (x >> 9) + (x & 511) + 1) for x in blocks])
+                own = (at - (pos >> 9)).tolist()
+                w = np.frombuffer(b"".join(unit.digests(data, own, [k + unit.length for k in own])), "<i8").reshape(-1, 2)
+                n = len(at)
+                yield pa.RecordBatch.from_arrays([pa.array([doc] * n, pa.int64()), pa.array([t] * n, pa.int64()), pa.array(at * 512), pa.array([single] * n), pa.array(np.ascontiguousarray(w[:, 0])), pa.array(np.ascontiguousarray(w[:, 1]))], ["doc_id", "t", "pos", "single", "w1", "w2"])
+
+    return run
+
+
+def _compare(unit: Unit):
     """Spans in the order of gram, at most GROUP of each, to the runs of windows that another span of the gram has too: doc_id, t, pos."""
-    held: list[tuple] = []
-
-    def settle():
-        own = [_digests(r[5], (r[2] & 511) + 1) for r in held]
-        seen: dict[bytes, int] = {}
-        for w in own:
-            for x in w:
-                seen[x] = seen.get(x, 0) + 1
+
+    def settle(held: list[tuple]) -> pa.RecordBatch:
+        own = [unit.digests(r[5], range(n), range(unit.length, unit.length + n)) for r in held for n in [(r[2] & 511) + 1]]
+        seen: dict[bytes, tuple] = {}  # the first place of a window, or () where there are several
+        for k, (r, w) in enumerate(zip(held, own)):
+            place = (r[0], r[1]) if unit.across else (k,)
+            for n, x in enumerate(w):
+                if seen.setdefault(x, here := place if unit.across else (*place, n)) != here:
+                    seen[x] = ()
         out = []
         for r, w in zip(held, own):
             if r[4]:
-                hit = np.fromiter((seen[x] > 1 for x in w), bool, len(w))
+                hit = np.fromiter((not seen[x] for x in w), bool, len(w))
                 edge = np.diff(np.r_[0, hit.view(np.int8), 0])
                 out += [(r[0], r[1], ((r[2] >> 9) + a) * 512 + e - a - 1) for a, e in zip(np.flatnonzero(edge > 0).tolist(), np.flatnonzero(edge < 0).tolist())]
         return pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in range(3)], ["doc_id", "t", "pos"])
 
-    for b in batches:
-        for doc, t, pos, gram, single, _, data in zip(*(b.column(k).to_pylist() for k in range(7))):
-            if held and held[-1][3] != gram:
-                yield settle()
-                held = []
-            held.append((doc, t, pos, gram, single, data))
-    if held:
-        yield settle()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for b in batches:
+            for doc, t, pos, gram, single, _, data in zip(*(b.column(k).to_pylist() for k in range(7))):
+                if held and held[-1][3] != gram:
+                    yield settle(held)
+                    held = []
+                held.append((doc, t, pos, gram, single, data))
+        if held:
+            yield settle(held)
+
+    return run
+
+
+def _edges(covered: list[int], length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) of the merged runs of symbols that the windows cover."""
+    pos = np.unique(np.array(covered, np.int64))
+    start, end = pos >> 9, (pos >> 9) + (pos & 511) + length
+    far = np.maximum.accumulate(end)
+    new = np.r_[True, start[1:] > far[:-1]]
+    first = np.flatnonzero(new)
+    return start[first], far[np.r_[first[1:] - 1, len(far) - 1]]
+
+
+def _count(unit: Unit):
+    """(doc_id, t, covered: list of pos) to (doc_id, t, n): covered symbols."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = [int((e - s).sum()) for s, e in (_edges(c, unit.length) for c in b.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64())], ["doc_id", "t", "n"])
+
+    return run
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,13 +305,12 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         out = []
         for z, covered in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-            data, pos = d.decompress(z), np.unique(np.array(covered, np.int64))
-            edge = np.zeros(len(data) + 1, np.int64)
-            np.add.at(edge, pos >> 9, 1)
-            np.add.at(edge, (pos >> 9) + (pos & 511) + LENGTH, -1)
-            gone = np.cumsum(edge[:-1]) > 0
-            runs = int(gone[0]) + int(np.count_nonzero(gone[1:] & ~gone[:-1]))
-            out.append((int(gone.sum()), runs, hashlib.sha256(np.frombuffer(data, np.uint8)[~gone].tobytes()).hexdigest()))
+            data = d.decompress(z)
+            starts, ends = _edges(covered, BYTES.length)
+            kept = hashlib.sha256()
+            for x, y in zip([0, *ends.tolist()], [*starts.tolist(), len(data)]):
+                kept.update(data[x:y])
+            out.append((int((ends - starts).sum()), len(starts), kept.hexdigest()))
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array([o[k] for o in out], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.string())))], ["doc_id", "t", "n_removed", "n_spans", "kept_sha256"])
 
 
@@ -239,7 +318,7 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, text) to (doc_id, t, n_bytes, sha)."""
     for b in batches:
         texts = b.column(1).cast(pa.binary()).to_pylist()
-        t = np.array([xxhash.xxh64_intdigest(x) for x in texts], np.uint64).view(np.int64)
+        t = np.array([_hash(x) for x in texts], np.uint64).view(np.int64)
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(t, pa.int64()), pa.array([len(x) for x in texts], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in texts], pa.string())], ["doc_id", "t", "n_bytes", "sha"])
 
 
@@ -247,53 +326,75 @@ def _same(a: DataFrame, b: DataFrame):
     return a.doc_id.eqNullSafe(b.doc_id) & (a.t == b.t)
 
 
-def _frequent(hot: DataFrame) -> DataFrame:
+def _several(rows: DataFrame, keys: tuple[str, ...], across: bool) -> DataFrame:
+    """The keys that occur at several places with ``count``; ``across``: in several documents, with two of those as a and b."""
+    if not across:
+        return rows.groupBy(*keys).count().filter("count > 1")
+    d = F.xxhash64("doc_id", "t")
+    return rows.groupBy(*keys).agg(F.count("*").alias("count"), F.min(d).alias("a"), F.max(d).alias("b")).filter("a <> b")
+
+
+def _frequent(hot: DataFrame, unit: Unit) -> DataFrame:
     """(doc_id, t, pos): windows of frequent grams' spans that another span has too. Whole blocks are settled by their
     digests: repeated if what they cover is, single if what their windows share is. Only blocks whose shared bytes also
     occur where a block is not settled list their windows."""
-    blocks = staged(hot.mapInArrow(_blocks, "doc_id long, t long, pos long, block long, single boolean, c1 long, c2 long, u1 long, u2 long"), "span-blocks")
-    covers = staged(blocks.filter("u1 is not null").groupBy("u1", "u2").count().filter("count > 1").select("u1", "u2", F.lit(True).alias("whole")), "block-covers")
-    blocks = staged(blocks.join(covers, ["u1", "u2"], "left").withColumn("whole", F.coalesce("whole", F.lit(False))).drop("u1", "u2"), "span-blocks")
-    cores = blocks.groupBy("c1", "c2").agg(F.count("*").alias("n"), F.sum((~F.col("whole")).cast("int")).alias("open")).filter("n > 1 and open > 0")
-    cores = staged(cores.select("c1", "c2"), "block-cores")
-    listed = staged(blocks.join(cores, ["c1", "c2"], "left_semi").groupBy("doc_id", "t", "pos").agg(F.collect_set("block").alias("blocks")), "open-blocks")
+    blocks = staged(hot.mapInArrow(_blocks(unit), "doc_id long, t long, pos long, block long, single boolean, c1 long, c2 long, u1 long, u2 long"), "span-blocks")
+    covers = staged(_several(blocks.filter("u1 is not null"), ("u1", "u2"), unit.across), "block-covers").withColumn("whole", F.lit(True))
+    blocks = split_join(blocks, covers, ["u1", "u2"], "left").select("doc_id", "t", "pos", "block", "single", "c1", "c2", F.coalesce("whole", F.lit(False)).alias("whole"))
+    blocks = staged(blocks, "span-blocks")
+    open_ = blocks.groupBy("c1", "c2").agg(F.sum((~F.col("whole")).cast("int")).alias("open")).filter("open > 0")
+    cores = staged(_several(blocks, ("c1", "c2"), unit.across).join(open_, ["c1", "c2"], "left_semi"), "block-cores")
+    listed = staged(split_join(blocks, cores, ["c1", "c2"]).groupBy("doc_id", "t", "pos").agg(F.collect_set("block").alias("blocks")), "open-blocks")
     pairs = hot.join(listed, _same(hot, listed) & (hot.pos == listed.pos)).select(hot.doc_id, hot.t, hot.pos, "single", "bytes", "blocks")
-    windows = staged(pairs.mapInArrow(_windows, "doc_id long, t long, pos long, single boolean, w1 long, w2 long"), "windows")
-    twice = staged(windows.groupBy("w1", "w2").count().filter("count > 1").select("w1", "w2"), "twice")
-    single = windows.filter("single").join(twice, ["w1", "w2"], "left_semi").select("doc_id", "t", "pos")
+    windows = staged(pairs.mapInArrow(_windows(unit), "doc_id long, t long, pos long, single boolean, w1 long, w2 long"), "windows")
+    twice = staged(_several(windows, ("w1", "w2"), unit.across), "twice")
+    single = split_join(windows, twice, ["w1", "w2"]).filter("single").select("doc_id", "t", "pos")
     return single.union(blocks.filter("whole and single").select("doc_id", "t", F.col("block").alias("pos")))
 
 
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
+def covered(pairs: DataFrame, packed: DataFrame, unit: Unit) -> DataFrame:
+    """(doc_id, t, covered): for every text that has any the windows that also start elsewhere, as pos, from ``pairs``
+    (doc_id, text) and the same texts compressed."""
+    rows = staged(pairs.mapInArrow(_cut(unit), "doc_id long, t long, pos long, gram long, h1 long, h2 long"), "spans")
+    grams = staged(_several(rows, ("gram",), unit.across).select("gram", "count"), "grams")
+    rows = staged(split_join(rows, grams, ["gram"]).drop("count"), "shared")
+    digests = staged(_several(rows, ("h1", "h2"), unit.across), "digests").withColumn("whole", F.lit(True))
+    rows = staged(split_join(rows, digests, ["h1", "h2"], "left").withColumn("whole", F.coalesce("whole", F.lit(False))).drop("count"), "told")
+    whole, single = rows.filter("whole"), rows.filter("not whole")
+    # one of the places of each repeated span, or two in different documents, to be compared with the spans that share its gram
+    ends, own = (whole.filter(F.xxhash64("doc_id", "t").isin(F.col("a"), F.col("b"))), ["doc_id", "t"]) if unit.across else (whole, [])
+    one = ends.groupBy("h1", "h2", *own).agg(*(F.first(c).alias(c) for c in ("doc_id", "t", "pos", "gram") if c not in own))
+    one = one.select("doc_id", "t", "pos", "gram", F.lit(False).alias("single"))
+    each = staged(single.select("doc_id", "t", "pos", "gram", F.lit(True).alias("single")).union(one), "each")
+    mixed = staged(each.groupBy("gram").count().filter("count > 1"), "mixed").withColumn("hot", F.col("count") > GROUP)
+    fine = split_join(each, mixed, ["gram"]).groupBy("doc_id", "t").agg(F.collect_set(F.struct("pos", "gram", "single", "hot")).alias("fine"))
+    fine = staged(fine, "fine")
+    joined = packed.join(fine, _same(packed, fine)).select(packed.doc_id, packed.t, "z", "fine")
+    contexts = staged(joined.mapInArrow(_contexts(unit), "doc_id long, t long, pos long, gram long, single boolean, hot boolean, bytes binary"), "contexts")
+    near = contexts.filter("not hot").repartition("gram").sortWithinPartitions("gram").mapInArrow(_compare(unit), "doc_id long, t long, pos long")
+    found = _frequent(contexts.filter("hot"), unit).union(near)
+    return staged(whole.select("doc_id", "t", "pos").union(found).groupBy("doc_id", "t").agg(F.collect_set("pos").alias("covered")), "covered")
+
+
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", unit: Unit = BYTES, passage: Unit = WORDS) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256, passage_words.
 
     A byte goes if any 400-byte string that covers it starts at another place too, in any text; runs are counted after
-    merging. Null counts as empty; texts under 400 bytes keep all; rows repeated with their id are copies of each other
-    and lose everything; null ids are ids of their own. An empty table gives an empty result.
+    merging. ``passage_words`` counts the words (runs outside space and bytes 9 to 13, A-Z lowered) in strings of 50 words
+    that another document has too. Null counts as empty; texts under 400 bytes keep all; rows repeated with their id are
+    copies of each other and lose everything, but are one document to ``passage_words``; null ids are ids of their own. An
+    empty table gives an empty result. Texts of any length are read whole, cut with overlaps.
     """
     pairs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_or_empty(text).alias("text"))
-    rows = staged(pairs.mapInArrow(_cut, "doc_id long, t long, pos long, gram long, h1 long, h2 long"), "spans")
-    grams = staged(rows.groupBy("gram").count().filter("count > 1").select("gram"), "grams")
-    rows = staged(rows.join(grams, "gram", "left_semi"), "shared")
-    digests = staged(rows.groupBy("h1", "h2").count().filter("count > 1").select("h1", "h2"), "digests")
-    whole = staged(rows.join(digests, ["h1", "h2"], "left_semi"), "whole")
-    single = rows.join(digests, ["h1", "h2"], "left_anti")
-    # one of the places of each repeated span, to be compared with the spans that share its gram
-    one = whole.groupBy("h1", "h2").agg(*(F.first(c).alias(c) for c in ("doc_id", "t", "pos", "gram")))
-    each = staged(single.select("doc_id", "t", "pos", "gram", F.lit(True).alias("single")).union(one.select("doc_id", "t", "pos", "gram", F.lit(False))), "each")
-    mixed = staged(each.groupBy("gram").count().filter("count > 1").select("gram", (F.col("count") > GROUP).alias("hot")), "mixed")
-    fine = each.join(mixed, "gram").groupBy("doc_id", "t").agg(F.collect_set(F.struct("pos", "gram", "single", "hot")).alias("fine"))
-    fine = staged(fine, "fine")
-    packed = pairs.filter(F.octet_length("text") >= LENGTH).mapInArrow(_pack, "doc_id long, t long, z binary")
-    joined = packed.join(fine, _same(packed, fine)).select(packed.doc_id, packed.t, "z", "fine")
-    contexts = staged(joined.mapInArrow(_contexts, "doc_id long, t long, pos long, gram long, single boolean, hot boolean, bytes binary"), "contexts")
-    near = contexts.filter("not hot").repartition("gram").sortWithinPartitions("gram").mapInArrow(_compare, "doc_id long, t long, pos long")
-    found = _frequent(contexts.filter("hot")).union(near)
-    covered = staged(whole.select("doc_id", "t", "pos").union(found).groupBy("doc_id", "t").agg(F.collect_set("pos").alias("covered")), "covered")
-    joined = packed.join(covered, _same(packed, covered)).select(packed.doc_id, packed.t, "z", "covered")
+    packed: Callable = lambda u: pairs.filter(F.octet_length("text") >= u.least_bytes).mapInArrow(_pack(u), "doc_id long, t long, z binary")
+    removed, passages = covered(pairs, packed(unit), unit), covered(pairs, packed(passage), passage)
+    long = packed(unit)
+    joined = long.join(removed, _same(long, removed)).select(long.doc_id, long.t, "z", "covered")
     cleaned = joined.mapInArrow(_remove, "doc_id long, t long, n_removed long, n_spans long, kept_sha256 string").dropDuplicates(["doc_id", "t"])
     cleaned = staged(cleaned, "cleaned")
-    whole_texts = staged(pairs.mapInArrow(_texts, "doc_id long, t long, n_bytes long, sha string"), "texts")
-    return whole_texts.join(cleaned, _same(whole_texts, cleaned), "left").select(
-        whole_texts.doc_id, "n_bytes", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256")
+    words = staged(passages.mapInArrow(_count(passage), "doc_id long, t long, n long"), "passage-words").withColumnRenamed("n", "passage_words")
+    whole = staged(pairs.mapInArrow(_texts, "doc_id long, t long, n_bytes long, sha string"), "texts")
+    some = whole.join(cleaned, _same(whole, cleaned), "left").select(
+        whole.doc_id, whole.t, "n_bytes", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256")
     )
+    return some.join(words, _same(some, words), "left").select(some.doc_id, "n_bytes", "n_removed", "n_spans", "kept_sha256", F.coalesce("passage_words", F.lit(0)).alias("passage_words"))

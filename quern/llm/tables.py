@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,6 +48,24 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Keys with more than this share of the rows are broadcast by :func:`split_join`; there are fewer than HOT of them.
+HOT = 4096
+
+
+def split_join(rows: DataFrame, found: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``found`` on ``keys``: one row for each key, with ``count``, at most the number of rows that have it.
+
+    Keys with over 1 / HOT of the rows -- fewer than HOT, as the counts sum up to no more than the rows -- are broadcast and
+    joined where the rows are read; only rows of the other keys are shuffled. ``how`` is inner or left; rows with a null key
+    match nothing and are not shuffled either. Both sides should be written tables, as they are read twice.
+    """
+    limit = rows.count() / HOT
+    hot, rest = F.broadcast(found.filter(F.col("count") > limit)), found.filter(F.col("count") <= limit)
+    some = reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in keys))
+    out = rows.join(hot, keys).unionByName(rows.filter(some).join(hot.select(*keys), keys, "left_anti").join(rest, keys, how))
+    return out if how == "inner" else out.unionByName(rows.filter(~some), allowMissingColumns=True)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """The names, each with as many underscores in front as no column of ``df`` has it."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 import hashlib
 import random
 import zlib
@@ -11,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quern.llm import bwt, components, exact_dedup, langid, lm, matroska, mixing, near_copies, pieces, quality, repeats, simhash, token_counts
+from quern.llm import bwt, components, exact_dedup, langid, lm, matroska, mixing, near_copies, pieces, quality, repeats, simhash, tables, token_counts
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, digest string, size int, _id int"
 WORDS = "the of river stone light water green house walk small mountain open letter garden winter".split()
@@ -181,16 +182,76 @@ def removed(all_texts: list[bytes], length: int = 400) -> list[np.ndarray]:
     return out
 
 
-@pytest.mark.parametrize("group", [256, 1])
-def test_repeats(docs, spark, group, monkeypatch):
-    monkeypatch.setattr(repeats, "GROUP", group)
-    extra = spark.createDataFrame([(2000, "x" * 900), (2001, "ab" * 300 + "c"), (2002, "z" * 399)], "doc_id long, text string")
-    table = docs.select("doc_id", "text").union(extra)
+def passage_words(rows: list[tuple], length: int = 50) -> list[int]:
+    words = [t.translate(simhash.LOWER).split() for _, t in rows]
+    places = defaultdict(set)
+    for key, w in zip(rows, words):
+        for k in range(len(w) - length + 1):
+            places[tuple(w[k : k + length])].add(key)
+    out = []
+    for w in words:
+        gone = np.zeros(len(w), bool)
+        for k in range(len(w) - length + 1):
+            if len(places[tuple(w[k : k + length])]) > 1:
+                gone[k : k + length] = True
+        out.append(int(gone.sum()))
+    return out
+
+
+def same_as_brute(table, got) -> list[tuple]:
     rows = [(k, t.encode()) for k, t in pairs(table)]
     masks = removed([t for _, t in rows])
-    want = Counter((k, len(t), int(g.sum()), int(np.count_nonzero(np.diff(np.r_[0, g.view(np.int8)]) > 0)), hashlib.sha256(bytes(b for b, x in zip(t, g) if not x)).hexdigest()) for (k, t), g in zip(rows, masks))
-    assert sum(g.any() for g in masks) > 5
-    assert Counter(tuple(r) for r in repeats.remove_repeats(table).collect()) == want
+    want = [(k, len(t), int(g.sum()), int(np.count_nonzero(np.diff(np.r_[0, g.view(np.int8)]) > 0)), hashlib.sha256(bytes(b for b, x in zip(t, g) if not x)).hexdigest(), n) for (k, t), g, n in zip(rows, masks, passage_words(rows))]
+    assert Counter(tuple(r) for r in got.collect()) == Counter(want)
+    return want
+
+
+@pytest.mark.parametrize(("group", "hot", "part"), [(256, 4096, 1 << 20), (1, 3, 500)])
+def test_repeats(docs, spark, group, hot, part, monkeypatch):
+    monkeypatch.setattr(repeats, "GROUP", group)
+    monkeypatch.setattr(tables, "HOT", hot)
+    rng = random.Random(9)
+    inside = " ".join(rng.choice(WORDS) + str(rng.randrange(9)) for _ in range(70))
+    extra = spark.createDataFrame([(2000, "x" * 900), (2001, "ab" * 300 + "c"), (2002, "z" * 399), (2003, f"{inside} a b c {inside}"), (2004, "w " * 60), (2005, "W\n" * 49)], "doc_id long, text string")
+    table = docs.select("doc_id", "text").union(extra)
+    units = {"unit": dataclasses.replace(repeats.BYTES, part=part), "passage": dataclasses.replace(repeats.WORDS, part=part)}
+    want = same_as_brute(table, repeats.remove_repeats(table, **units))
+    assert sum(w[2] > 0 for w in want) > 5 and sum(w[5] > 0 for w in want) > 2 and sum(w[2] > 0 and not w[5] for w in want) > 1
+
+
+@pytest.mark.parametrize(("group", "hot"), [(256, 4096), (4, 8)])
+def test_repeats_planted_passages(spark, group, hot, monkeypatch):
+    """Passages of 300 to 700 bytes, exact and nearly so, in many documents over several partitions: those of 400 bytes and
+    more go, all of 50 words and more are counted."""
+    monkeypatch.setattr(repeats, "GROUP", group)
+    monkeypatch.setattr(tables, "HOT", hot)
+    rng = random.Random(10)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 7)))
+    own = lambda n: " ".join(word() for _ in range(n))
+    planted = []
+    for size in (300, 399, 400, 401, 700):
+        p = own(200)[: size - 1] + "~"
+        for k in range(12):
+            planted.append((size, f"{own(rng.randint(0, 30))} |{p}| {own(rng.randint(0, 30))}".strip()))
+        at = size // 2
+        planted.append((0, f"{own(20)} |{p[:at]}#{p[at + 1 :]}| {own(20)}"))
+    clean = [own(rng.randint(1, 150)) for _ in range(40)]
+    table = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(planted)] + [(1000 + k, t) for k, t in enumerate(clean)], "doc_id long, text string").repartition(7)
+    got = repeats.remove_repeats(table)
+    same_as_brute(table, got)
+    by_id = {r.doc_id: r for r in got.collect()}
+    for k, (size, _) in enumerate(planted):
+        # the marks around it are part of the passage
+        assert (by_id[k].n_removed >= 400) == (size + 2 >= 400) or size == 0
+        assert by_id[k].passage_words >= 50 or size == 0
+    assert all(r.n_removed == r.passage_words == 0 for k, r in by_id.items() if k >= 1000)
+
+
+def test_words_of_long_texts():
+    rng = random.Random(11)
+    text = "".join(rng.choice(["word ", "x", " ", "\n", "longer-", "é"]) for _ in range(5000)).encode()
+    for size in (7, 64, 1000, 1 << 20):
+        assert np.array_equal(lm.hashes_of_words(text, size), lm.word_hashes([text])[0])
 
 
 def test_merged_transforms_find_the_same():
