@@ -69,9 +69,36 @@ def to_frame(cells: DataFrame, fields: dict[str, str]) -> DataFrame:
     return cells.groupBy("uid").agg(*(F.max(F.when(F.col("field") == n, F.col("value"))).cast(t).alias(n) for n, t in fields.items()))
 
 
-def fingerprints(log: DataFrame, bucket: Column, *columns: str) -> DataFrame:
-    """(bucket, n, fingerprint): count and XOR of the rows' hashes, whatever their order."""
-    return log.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64(*columns)).alias("fingerprint"))
+def history(log: DataFrame, start: tuple[int, int, int], end: tuple[int, int, int], ts: str = "ts") -> DataFrame:
+    """Entries from ``start`` to ``end``, both included, in the clock's order (millis, counter, node)."""
+    stamp = lambda t: F.struct(F.lit(t[0]).cast("bigint").alias("millis"), F.lit(t[1]).cast("int").alias("counter"), F.lit(t[2]).cast("bigint").alias("node"))
+    near = F.col(f"{ts}.millis").between(start[0], end[0])  # reaches the scan
+    return log.filter(near & (F.col(ts) >= stamp(start)) & (F.col(ts) <= stamp(end)))
+
+
+def apply_batch(state: DataFrame, batch: DataFrame, marker: str = "_type") -> tuple[DataFrame, DataFrame]:
+    """A remote batch on a state: (state after it, events). Entries older than the state's change nothing; a deleted node's
+    other tombstones are dropped; each node has one event, for the entries that took effect, with their latest time."""
+    cells = merge_cells(state.unionByName(batch), keep_deleted=True)
+    gone = cells.filter((F.col("field") == marker) & F.col("deleted")).select("uid")
+    mine = cells.filter(~(F.col("deleted") & (F.col("field") != marker))).unionByName(cells.filter(F.col("deleted") & (F.col("field") != marker)).join(gone, "uid", "left_anti"))
+    won = batch.dropDuplicates().join(cells.select("uid", "field", "ts"), ["uid", "field", "ts"], "left_semi").select(*batch.columns)
+    old = state.select("uid", "field", "ts")
+    return mine, coalesced_events(won.join(old, ["uid", "field", "ts"], "left_anti").select(*batch.columns))
+
+
+def with_rejects(parked: DataFrame, batch: DataFrame, valid: str, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(entries to apply, entries to park): parked ones are tried again with every batch. ``valid`` is an SQL condition of an
+    entry's columns and ``known``: whether its uid is among ``known`` or gets its type row in these entries."""
+    every = parked.unionByName(batch)
+    typed = every.filter("field = '_type' AND NOT deleted").select("uid").union(known.select("uid")).distinct().withColumn("known", F.lit(True))
+    told = every.join(typed, "uid", "left").withColumn("known", F.coalesce("known", F.lit(False))).withColumn("_ok", F.coalesce(F.expr(valid), F.lit(False)))
+    return told.filter("_ok").select(*every.columns), told.filter("NOT _ok").select(*every.columns)
+
+
+def fingerprints(log: DataFrame, bucket: Column, *columns: str, item: Column | None = None) -> DataFrame:
+    """(bucket, n, fingerprint): count and XOR of the rows' hashes, or of ``item``, whatever their order."""
+    return log.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64(*columns) if item is None else item).alias("fingerprint"))
 
 
 def differences(a: DataFrame, b: DataFrame, bucket: str, *columns: str) -> tuple[DataFrame, DataFrame]:
@@ -86,6 +113,12 @@ def differences(a: DataFrame, b: DataFrame, bucket: str, *columns: str) -> tuple
     return only(part(a), part(b)), only(part(b), part(a))
 
 
+def repair(a: DataFrame, b: DataFrame, bucket: str, *columns: str) -> tuple[DataFrame, DataFrame]:
+    """Both logs after each got the entries that it lacked; only buckets whose fingerprints differ are compared."""
+    only_a, only_b = differences(a, b, bucket, *columns)
+    return a.unionByName(only_b.select(*a.columns)), b.unionByName(only_a.select(*b.columns))
+
+
 def coalesced_events(log: DataFrame) -> DataFrame:
     """One event per uid of a batch: its latest time, its changed fields, and whether the node went."""
     newest = merge_cells(log, keep_deleted=True)

@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.functions.expressions import Compiler
 from quern.sources.staging import handed_over
 
 TUPLE = "entity_type string, entity_id bigint, relation string, subject_type string, subject_id bigint, subject_relation string"
@@ -45,10 +46,10 @@ class Rules:
 
     @classmethod
     def parse(cls, text: str) -> Rules:
-        """``entity``s with ``relation r @t @t#r``, ``attribute a boolean``, ``permission p = expr`` (or ``action``), and ``rule f(a, b) { SQL }``."""
+        """``entity``s with ``relation r @t @t#r``, ``attribute a boolean``, ``permission p = expr`` (or ``action``), and ``rule f(a, b) { expr }``, in the expression language with && and || for and and or."""
         rules = {}
         for m in re.finditer(r"\brule\s+(\w+)\s*\(([^)]*)\)\s*\{([^}]*)\}", text):
-            rules[m[1]] = [p.split()[0] for p in m[2].split(",") if p.strip()], m[3].strip().removeprefix("return").strip().rstrip(";")
+            rules[m[1]] = [p.split()[0] for p in m[2].split(",") if p.strip()], m[3].strip().removeprefix("return").strip().rstrip(";").replace("&&", " and ").replace("||", " or ")
         text = re.sub(r"\brule\s+\w+\s*\([^)]*\)\s*\{[^}]*\}", "", text)
         tokens = [(m.lastgroup, m[m.lastgroup]) for m in LEX.finditer(text) if m.lastgroup]
         tokens.append(("end", ""))
@@ -134,6 +135,7 @@ class Access:
         self.rules = Rules.parse(rules) if isinstance(rules, str) else rules
         self.tuples, self.attributes, self.subject_type = tuples, attributes, subject_type
         self.state: dict[tuple[str, str], DataFrame] = {}
+        self._asked: list[int] | None = None
 
     def _empty(self) -> DataFrame:
         return self.spark.createDataFrame([], "entity bigint, subject bigint")
@@ -143,7 +145,10 @@ class Access:
 
     def _relation(self, entity: str, r: Relation) -> DataFrame:
         own = self.tuples.filter((F.col("entity_type") == entity) & (F.col("relation") == r.name))
-        parts = [own.filter((F.col("subject_type") == self.subject_type) & F.col("subject_relation").isNull()).select(F.col("entity_id").alias("entity"), F.col("subject_id").alias("subject"))]
+        plain = own.filter((F.col("subject_type") == self.subject_type) & F.col("subject_relation").isNull())
+        if self._asked is not None:  # every pair starts from a plain tuple of its subject
+            plain = plain.filter(F.col("subject_id").isin(self._asked))
+        parts = [plain.select(F.col("entity_id").alias("entity"), F.col("subject_id").alias("subject"))]
         for t, sub in r.targets:
             if sub and t in self.rules.entities:  # members of a set of subjects
                 sets = own.filter((F.col("subject_type") == t) & (F.col("subject_relation") == sub)).select(F.col("entity_id").alias("e"), F.col("subject_id").alias("s"))
@@ -170,7 +175,7 @@ class Access:
         params, body = self.rules.rules[name]
         own = self.attributes.filter(F.col("entity_type") == entity)
         wide = own.groupBy(F.col("entity_id").alias("entity")).agg(*(F.max(F.when(F.col("attribute") == a, F.col("value"))).alias(p) for p, a in zip(params, args)))
-        ok = wide.filter(F.coalesce(F.expr(body), F.lit(False))).select("entity")
+        ok = wide.filter(F.coalesce(Compiler(wide.schema, strict=False).column(body), F.lit(False))).select("entity")
         return self._everyone(entity).join(ok, "entity", "left_semi")
 
     def _eval(self, entity: str, node: tuple) -> DataFrame:
@@ -225,7 +230,9 @@ class Access:
         return seen
 
     def allowed(self, entity: str, permission: str, subjects: list[int] | None = None) -> DataFrame:
-        """(entity, subject) for every pair that has the permission; ``subjects`` bounds what a bare ``not`` ranges over."""
+        """(entity, subject) for every pair that has the permission, or for the pairs of the ``subjects`` named, whose tuples
+        alone are then followed; a bare ``not``, attributes and rules need them. A recursion that does not settle in
+        MOST_ROUNDS rounds is an error."""
         self._asked = subjects
         self.state = {}
         names = sorted(self._names(entity, permission, set()))
@@ -236,6 +243,7 @@ class Access:
             order += ready
             done |= set(ready)
         recursive = any(n in self._reach(n) for n in names)
+        seen: dict[tuple[str, str], tuple] = {}
         for _ in range(MOST_ROUNDS):
             changed = False
             for e, name in order:
@@ -243,11 +251,13 @@ class Access:
                 new = (self._relation(e, spec.relations[name]) if name in spec.relations else self._eval(e, spec.permissions[name])).distinct()
                 if recursive:
                     new = handed_over(new, "pairs")
-                    changed |= new.count() != (self.state[e, name].count() if (e, name) in self.state else 0)
+                    now = tuple(new.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("entity", "subject"))).first())
+                    changed |= now != seen.get((e, name), (0, None))
+                    seen[e, name] = now
                 self.state[e, name] = new
             if not changed:
-                break
-        return self._known(entity, permission)
+                return self._known(entity, permission)
+        raise PermissionError_(f"{entity}.{permission} does not settle in {MOST_ROUNDS} rounds")
 
     def _needs(self, n: tuple[str, str]) -> set:
         e = self.rules.entities[n[0]]

@@ -79,6 +79,9 @@ simple(
 simple("filter_two_ops", f"SELECT {ORDER} FROM orders WHERE o_totalprice >= 1000 AND o_totalprice < 30000", lambda r: order_cols(r.rows("Order", {"o_totalprice": {"ge": 1000.0, "lt": 30000.0}})))
 simple("filter_date", f"SELECT {ORDER} FROM orders WHERE o_orderdate >= TIMESTAMP '1997-01-01'", lambda r: order_cols(r.rows("Order", {"o_orderdate": {"ge": "1997-01-01"}})))
 
+simple("prefix_scan", "SELECT p_partkey AS uid, p_name FROM part WHERE starts_with(p_name, 'small')", lambda r: read.prefixed(r.store.frame("Part"), "p_name", "small").select("uid", "p_name"))
+simple("range_scan", "SELECT c_custkey AS uid, c_name FROM customer WHERE c_name >= 'Customer#000000100' AND c_name < 'Customer#000000300'", lambda r: read.ranged(r.store.frame("Customer"), "c_name", "Customer#000000100", "Customer#000000300").select("uid", "c_name"))
+
 # relations
 simple("relation_semi", f"SELECT {ORDER} FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 49)", lambda r: order_cols(r.rows("Order", {"lines": {"l_quantity": {"gt": 49.0}}})))
 simple(
@@ -230,11 +233,11 @@ def _(spark, d):
     return df.select("uid", control.if_else(df.schema, [("c_acctbal < 0", "'debt'"), ("c_acctbal > 9000", "'rich'")]).alias("class"))
 
 
-@query("loop_list", "SELECT vec_id AS uid, list_sum(list_transform(embedding, lambda x: round(x::DOUBLE * 2, 4))) IS NOT NULL AS ok, len(embedding) AS n FROM embeddings")
+@query("loop_list", "SELECT vec_id AS uid, embedding[1]::DOUBLE * 2 + 1 AS head, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE * 2 + 1)), 4) AS total, len(embedding) AS n FROM embeddings")
 def _(spark, d):
     df = store(spark, d).frame("Embedding")
-    doubled = control.each(df.schema, "embedding", "x", "x * 2.0")
-    return df.select("uid", F.forall(doubled, lambda x: x.isNotNull()).alias("ok"), F.size(doubled).cast("bigint").alias("n"))
+    moved = control.each(df.schema, "embedding", "x", "x * 2.0 + 1.0")
+    return df.select("uid", F.get(moved, F.lit(0)).alias("head"), F.round(F.aggregate(moved, F.lit(0.0), lambda a, x: a + x), 4).alias("total"), F.size(moved).cast("bigint").alias("n"))
 
 
 @query("sequence_return", "SELECT n_nationkey::BIGINT AS uid FROM nation WHERE n_regionkey = 2")
@@ -302,24 +305,17 @@ _RANK = "SELECT uid, row_number() OVER (ORDER BY score DESC, uid) AS k FROM r OR
 simple(
     "text_multi_rrf",
     f"WITH a AS ({bm25_sql(['thing'])} {_RANK}), b AS ({bm25_sql(['ner', 'eau'])} {_RANK}) SELECT uid, round(sum(part), 8) AS score FROM (SELECT uid, 2.0::DOUBLE / (60 + k) AS part FROM a UNION ALL SELECT uid, 1.0::DOUBLE / (60 + k) FROM b) GROUP BY uid ORDER BY sum(part) DESC, uid LIMIT 15",
-    lambda r: _rrf(r),
+    lambda r: search.multi_rrf(_docs(r), [search.Spec("text", "anyofterms", "thing", 2.0, fold=False), search.Spec("text", "anyofterms", "ner eau", fold=False)], 15).select("uid", F.round("_score", 8).alias("score")),
 )
 
 
-def _rrf(r):
-    # two weighted queries of one field, with the shared tokeniser
-    top = lambda q, w: search._placed(search.bm25(_docs(r), "text", q, fold=False), [F.desc("_score"), "uid"], 100).select("uid", (F.lit(w) / (60 + F.col("rank"))).alias("part"))
-    both = top("thing", 2.0).union(top("ner eau", 1.0)).groupBy("uid").agg(F.sum("part").alias("s"))
-    return both.orderBy(F.desc("s"), "uid").limit(15).select("uid", F.round("s", 8).alias("score"))
-
-
 simple(
     "hybrid_rrf",
     f"WITH a AS ({bm25_sql(['and'])} {_RANK}), b AS (SELECT vec_id AS uid, row_number() OVER (ORDER BY {_L2}, vec_id) AS k FROM embeddings ORDER BY k LIMIT 100) SELECT coalesce(a.uid, b.uid) AS uid, round(coalesce(1.0::DOUBLE / (60 + a.k), 0) + coalesce(1.0::DOUBLE / (60 + b.k), 0), 8) AS score FROM a FULL JOIN b ON a.uid = b.uid ORDER BY coalesce(1.0::DOUBLE / (60 + a.k), 0) + coalesce(1.0::DOUBLE / (60 + b.k), 0) DESC, 1 LIMIT 12",
     lambda r: search.hybrid(_docs(r), search.Spec("text", "anyofterms", "and"), r.store.frame("Embedding"), "embedding", Q, 12).select("uid", F.round("_score", 8).alias("score")),
 )
 simple("text_stemmed", None, lambda r: r.rows("Document", {"text": {"anyoftext": "things running"}}).select("uid"))
-simple("snippet", None, lambda r: search.bm25(_docs(r), "text", "thing").orderBy(F.desc("_score"), "uid").limit(20).select("uid", X.snippet(terms=X.parse_query("thing"))(F.col("text")).alias("snippet")))
+simple("snippet", None, lambda r: search.search(_docs(r), search.Spec("text", "anyofterms", "thing"), 20).select("uid", X.snippet(terms=X.parse_query("thing"))(F.col("text")).alias("snippet")))
 
 
 # traversal: parts form a tree with three children per node
@@ -356,10 +352,11 @@ def _(spark, d):
     return changes.merge_cells(log).select("uid", "event_id")
 
 
-@query("fingerprint_ranges", "SELECT ts::DATE AS day, count(*)::BIGINT AS n, sum((event_id * 7919 + user_id * 104729) % 1000003)::BIGINT AS hash FROM events GROUP BY 1")
+@query("fingerprint_ranges", "SELECT ts::DATE AS day, count(*)::BIGINT AS n, bit_xor((event_id * 7919 + user_id * 104729) % 1000003)::BIGINT AS hash FROM events GROUP BY 1")
 def _(spark, d):
     e = spark.read.parquet(f"{d}/events.parquet")
-    return e.groupBy(F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("event_id") * 7919 + F.col("user_id") * 104729) % 1000003).alias("hash"))
+    item = (F.col("event_id") * 7919 + F.col("user_id") * 104729) % 1000003  # a hash that SQL can repeat
+    return changes.fingerprints(e, F.to_date("ts"), item=item).select(F.col("bucket").alias("day"), "n", F.col("fingerprint").alias("hash"))
 
 
 @query("anti_entropy", "SELECT event_id FROM events WHERE event_id % 97 = 0")
@@ -368,13 +365,35 @@ def _(spark, d):
     return changes.differences(log, log.filter("event_id % 97 <> 0"), "millis div 86400000", "event_id", "uid", "field")[0].select("event_id")
 
 
+query("history_range", "SELECT event_id, user_id AS uid FROM events WHERE (epoch_ms(ts), event_id) >= (1704500000000, 17) AND (epoch_ms(ts), event_id) <= (1704900000000, 4)")(lambda spark, d: changes.history(_log(spark, d), (1704500000000, 0, 17), (1704900000000, 0, 4)).select("event_id", "uid"))
+
+
+@query("anti_entropy_repair", "SELECT event_id, user_id AS uid, n FROM events, (SELECT unnest([1, 2])::INTEGER AS n) WHERE event_id % (89 * 97) <> 0")
+def _(spark, d):
+    log = _log(spark, d).select("event_id", "uid", F.col("ts.millis").alias("millis"))
+    both = changes.repair(log.filter("event_id % 89 <> 0"), log.filter("event_id % 97 <> 0"), "millis div 86400000", "event_id", "uid")
+    one, two = (x.select("event_id", "uid", F.lit(n).alias("n")) for n, x in enumerate(both, 1))
+    return one.union(two)
+
+
+@query("quarantine_retry", "SELECT event_id, true AS applied FROM events WHERE user_id IN (SELECT user_id FROM events WHERE event_type = 'signup') UNION ALL SELECT event_id, false FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'signup')")
+def _(spark, d):
+    # a signup makes the node known; what came before it in another batch waits
+    log = _log(spark, d).withColumn("field", F.when(F.col("field") == "signup", "_type").otherwise(F.col("field")))
+    early, late = log.filter("field <> '_type'"), log.filter("field = '_type'")
+    nobody = log.select("uid").limit(0)
+    first, parked = changes.with_rejects(log.limit(0), early, "known", nobody)
+    then, parked = changes.with_rejects(parked, late, "known", nobody)
+    return first.union(then).select("event_id", F.lit(True).alias("applied")).union(parked.select("event_id", F.lit(False).alias("applied")))
+
+
 query("subscription_filter", "SELECT event_id AS uid, event_type FROM events WHERE event_type IN ('signup', 'purchase')")(lambda spark, d: subscribe(store(spark, d).frame("Event"), ["signup", "purchase"], "event_type").select("uid", "event_type"))
 
 
 @query("metrics_range", "SELECT event_type, count(*)::BIGINT AS n, min(ts) AS first_ts, list(value ORDER BY ts, value)[1] AS first_value FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-10' GROUP BY 1")
 def _(spark, d):
     got = read.metrics_range(store(spark, d).frame("Event"), "event_type", "ts", "value", "2024-01-05", "2024-01-10")
-    return got.select("event_type", F.size("points").cast("bigint").alias("n"), F.get("points", F.lit(0))["t"].alias("first_ts"), F.get("points", F.lit(0))["v"].alias("first_value"))
+    return got.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("first_ts"), F.min_by("v", F.struct("t", "v")).alias("first_value"))
 
 
 query("last_traces", "SELECT event_id AS uid FROM events ORDER BY ts DESC, event_id LIMIT 50")(lambda spark, d: store(spark, d).frame("Event").orderBy(F.desc("ts"), "uid").limit(50).select("uid"))
@@ -437,8 +456,8 @@ def _access(spark, d):
 query("acl_check", "WITH s AS (SELECT n_nationkey AS k, n_nationkey % 7 AS u FROM nation WHERE n_nationkey % 4 <> 0 UNION SELECT n_nationkey, n_regionkey + 100 FROM nation) SELECT c_custkey AS entity, u::BIGINT AS subject FROM customer JOIN s ON k = c_nationkey")(lambda spark, d: _access(spark, d).allowed("customer", "view"))
 query(
     "acl_bulk",
-    "SELECT 'nation' AS entity_type, n_nationkey::BIGINT AS entity_id, 'serve' AS permission, n_nationkey % 7 = 3 AND n_nationkey % 4 <> 0 AS allowed FROM nation WHERE n_nationkey < 12",
-)(lambda spark, d: _access(spark, d).check([("nation", k, "serve") for k in range(12)], 3))
+    "SELECT 'nation' AS entity_type, n_nationkey::BIGINT AS entity_id, 'serve' AS permission, n_nationkey % 7 = 3 AND n_nationkey % 4 <> 0 AS allowed FROM nation",
+)(lambda spark, d: _access(spark, d).check([("nation", r.n_nationkey, "serve") for r in spark.read.parquet(f"{d}/nation.parquet").select("n_nationkey").collect()], 3))
 
 # documents of the query language
 _DOC = "query Q($lo: Float = 9000) { rich: queryCustomer(filter: {c_acctbal: {gt: $lo}}, sort: {c_acctbal: DESC}, first: 5) { id: uid ...N nation { n_name region { r_name } } } } fragment N on Customer { c_name }"
@@ -450,6 +469,17 @@ def _(spark, d):
     return df.select("id", "c_name", F.col("nation.n_name").alias("n_name"), F.col("nation.region.r_name").alias("r_name"))
 
 
+_FUSED = """WITH a AS (%s SELECT uid, row_number() OVER (ORDER BY score DESC, uid) AS k FROM r WHERE uid IN (SELECT vec_id FROM embeddings WHERE label = 1)), b AS (SELECT vec_id AS uid, row_number() OVER (ORDER BY %s, vec_id) AS k FROM embeddings WHERE label = 1)
+SELECT coalesce(a.uid, b.uid) AS uid, round(coalesce(1.0::DOUBLE / (60 + a.k), 0) + coalesce(1.0::DOUBLE / (60 + b.k), 0), 8) AS score FROM a FULL JOIN b ON a.uid = b.uid ORDER BY coalesce(1.0::DOUBLE / (60 + a.k), 0) + coalesce(1.0::DOUBLE / (60 + b.k), 0) DESC, 1 LIMIT 10 OFFSET 5"""
+
+
+@query("document_hybrid", _FUSED % (bm25_sql(["thing"]).replace("FROM documents", "FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings WHERE label = 1)"), _L2))
+def _(spark, d):
+    """A text condition and a vector together, over the documents whose embedding has a label; paged."""
+    ask = 'query Q($v: [Float]) { queryDocument(filter: {vector: {label: {eq: 1}}, text: {anyofterms: "thing"}}, nearVector: $v, first: 10, offset: 5) { uid _score } }'
+    return Executor(store(spark, d)).run(ask, {"v": Q})["queryDocument"].select("uid", F.round("_score", 8).alias("score"))
+
+
 query("document_count", "SELECT count(*)::BIGINT AS count FROM orders WHERE o_orderstatus = 'O'")(lambda spark, d: Executor(store(spark, d)).run('{ countOrder(filter: {o_orderstatus: {eq: "O"}}) }')["countOrder"])
 query("document_facet", "SELECT lang AS value, count(*)::BIGINT AS count FROM documents GROUP BY 1")(lambda spark, d: Executor(store(spark, d)).run("{ aggregateDocument(groupBy: lang) { value count } }")["aggregateDocument"])
 
@@ -467,6 +497,9 @@ def _(spark, d):
     return joined.select("n_nationkey", "n_name", "c_custkey", total.alias("total"))
 
 
+query("ops_first_columns", "SELECT o_custkey, arg_min(o_orderstatus, (o_orderdate, o_orderkey)) AS status, arg_min(o_orderpriority, (o_orderdate, o_orderkey)) AS priority, arg_min(o_totalprice, (o_orderdate, o_orderkey)) AS price, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1")(
+    lambda spark, d: read.first_columns(spark.read.parquet(f"{d}/orders.parquet"), ["o_custkey"], {"status": "o_orderstatus", "priority": "o_orderpriority", "price": "o_totalprice"}, ["o_orderdate", "o_orderkey"], F.round(F.sum("o_totalprice"), 2).alias("total"))
+)
 query("ops_group_counts", "SELECT o_orderstatus, o_orderpriority, count(*)::BIGINT AS n FROM orders GROUP BY 1, 2")(lambda spark, d: spark.read.parquet(f"{d}/orders.parquet").groupBy("o_orderstatus", "o_orderpriority").agg(F.count(F.lit(1)).alias("n")))
 query("ops_last_rows", "SELECT event_id, event_type, NULL::VARCHAR AS note FROM events ORDER BY event_id DESC LIMIT 100")(lambda spark, d: spark.read.parquet(f"{d}/events.parquet").orderBy(F.desc("event_id")).limit(100).select("event_id", "event_type", F.lit(None).cast("string").alias("note")))
 query("validate_scalars", r"SELECT page_id, regexp_matches(url, '^[A-Za-z][A-Za-z0-9+.-]*:\S+$') AS url_ok, page_id BETWEEN 0 AND 65535 AS port_ok, page_id > 0 AS positive_ok, false AS uuid_ok FROM pages")(

@@ -7,6 +7,7 @@ search, hybridSearch, bulkCheckPermission, and the subscription field event.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -147,7 +148,10 @@ class Executor:
             return self._hybrid(a["vector"], a["text"], a["field"], a.get("k", 10))
         if s.field == "bulkCheckPermission":
             checks = [(c["entityType"], int(c["entityId"]), c["permission"]) for c in a["checks"]]
-            return self.access.check(checks, int(a["checks"][0]["subjectId"]))
+            subjects = {int(c["subjectId"]) for c in a["checks"]}
+            if len(subjects) != 1:
+                raise SchemaError("bulkCheckPermission takes the checks of one subject")
+            return self.access.check(checks, *subjects)
         if s.field == "event":
             return subscribe(self.events, a.get("types"))
         for verb in ("query", "get", "count", "aggregate", "create", "update", "delete"):
@@ -166,12 +170,19 @@ class Executor:
         if not specs:
             return self.relations.select(name, selection, filter=flt, **args)
         rows = self.reader.rows(name, flt, args.get("where"))
-        if len(specs) == 1:
+        page = None if args.get("first") is None or a.get("sort") else args["first"] + (args.get("offset") or 0)
+        if args.get("near_vector") is not None:
+            # the heaviest text condition is fused with the vector, the others must hold too
+            specs = sorted(specs, key=lambda s: (-s.boost, s.field, s.op))
+            first, *others = search.scores(rows, specs)
+            near = self._near(name, rows, args["near_vector"], args.get("metric", "l2"))
+            for other in others:
+                first, near = (x.join(other.select("uid"), "uid", "left_semi") for x in (first, near))
+            found = rows.join(search.fuse(first, near, page, depth=None), "uid")
+        elif len(specs) == 1:
             found = search.search(rows, specs[0])
         else:
-            page = None if args.get("first") is None or a.get("sort") else args["first"] + (args.get("offset") or 0)
-            fused = search.multi_rrf(rows, specs, page, depth=None)
-            found = rows.join(fused, "uid")
+            found = rows.join(search.multi_rrf(rows, specs, page, depth=None), "uid")
         keys = [F.col(k).desc_nulls_last() if d.upper() == "DESC" else F.col(k).asc_nulls_first() for k, d in (a.get("sort") or {}).items()]
         found = found.orderBy(*(keys or [F.desc("_score")]), "uid")
         if args.get("offset"):
@@ -206,21 +217,32 @@ class Executor:
     def _vectors(self) -> list[tuple[str, str]]:
         return [(t.name, f) for t in self.store.catalog.types.values() if t.name in self.store.frames for f in t.with_directive("vector")]
 
+    def _near(self, name: str, rows: DataFrame, v: list[float], metric: str) -> DataFrame:
+        """(uid, _distance) of the rows by their own vector, or by the nearest one that a relation of the type leads to."""
+        own = self.store.catalog[name].with_directive("vector")
+        if own:
+            return vector.ranked(rows, own[0], v, metric).select("uid", "_distance")
+        for f in self.store.catalog[name].fields.values():
+            if self.store.catalog.is_relation(f) and (fields := self.store.catalog[f.base].with_directive("vector")):
+                far = vector.ranked(self.store.frame(f.base), fields[0], v, metric).select(F.col("uid").alias("dst"), "_distance")
+                pairs = self.store.pairs(name, f.name).join(rows.select(F.col("uid").alias("src")), "src", "left_semi")
+                return pairs.join(far, "dst").groupBy(F.col("src").alias("uid")).agg(F.min("_distance").alias("_distance"))
+        raise SchemaError(f"{name} has no vector, nor has a type that it leads to")
+
     def _knn(self, v: list[float], k: int) -> DataFrame:
         """Over every type that has a vector field."""
         parts = [vector.nearest(self.store.frame(t), f, v, k).select("uid", F.col("_distance").alias("distance")) for t, f in self._vectors()]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.union(p)
-        return out.orderBy("distance", "uid").limit(k)
+        return reduce(lambda a, b: a.union(b), parts).orderBy("distance", "uid").limit(k)
 
     def _hybrid(self, v: list[float], text: str, name: str, k: int) -> DataFrame:
         owners = [t for t in self.store.catalog.types.values() if t.name in self.store.frames and name in t.fields and "search" in t.fields[name].directives]
-        if not owners:
-            raise SchemaError(f"no type has a searchable field {name}")
-        t, f = self._vectors()[0]
-        found = search.hybrid(self.store.frame(owners[0].name), search.Spec(name, "anyofterms", text), self.store.frame(t), f, v, k)
-        return found.select("uid", F.col("_score").alias("distance"))
+        if not owners or not self._vectors():
+            raise SchemaError(f"no type has a searchable field {name}, or none a vector")
+        both = lambda a, b: a.union(b)
+        found = reduce(both, (search.bm25(self.store.frame(t.name), name, text) for t in owners))
+        near = reduce(both, (vector.ranked(self.store.frame(t), f, v).select("uid", "_distance") for t, f in self._vectors()))
+        best = near.groupBy("uid").agg(F.min("_distance").alias("_distance"))
+        return search.fuse(found.groupBy("uid").agg(F.max("_score").alias("_score")), best, k).select("uid", F.col("_score").alias("distance"))
 
     def _create(self, name: str, a: dict, s: Selection) -> DataFrame:
         frame = self.store.frames[name]
@@ -237,9 +259,11 @@ class Executor:
     def _update(self, name: str, a: dict, s: Selection) -> DataFrame:
         frame, uid = self.store.frames[name], int(str(a["uid"]), 0)
         schema = frame.select("uid", *a["input"]).schema
+        gone = [f for f, x in a["input"].items() if x is None]
         change = self.store.spark.createDataFrame([(uid, *a["input"].values())], schema)
         known = frame.filter(F.col("uid") == uid)
-        self.store.frames[name] = writes.update(frame, change)
+        clear = F.array(*map(F.lit, gone)) if gone else F.array().cast("array<string>")
+        self.store.frames[name] = writes.update(frame, change.withColumn("_clear", clear), clear="_clear")
         self.log.append((name, "update", change))
         return known.agg((F.count(F.lit(1)) > 0).alias("ok"))
 

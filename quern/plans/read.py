@@ -13,6 +13,7 @@ from quern.functions.expressions import Compiler, ExpressionError
 from quern.operators import vector
 from quern.plans.filters import Filters
 from quern.sources.schema import SchemaError
+from quern.sources.staging import handed_over
 from quern.sources.store import Store
 
 Sort = Sequence[tuple[str, str]]
@@ -159,15 +160,43 @@ def numbered(df: DataFrame, keys: list[Column], name: str = "position") -> DataF
 
 
 def histogram_quantiles(df: DataFrame, key: str, value: str) -> DataFrame:
-    """(key, p50, p90) by index into the sorted values: n / 2 and 9 n / 10, rounded down; not interpolated."""
-    w = Window.partitionBy(key).orderBy(value)
-    n = F.count(F.lit(1)).over(Window.partitionBy(key))
-    ranked = df.filter(F.col(value).isNotNull()).withColumn("_i", F.row_number().over(w) - 1).withColumn("_n", n)
-    at = lambda q: F.max(F.when(F.col("_i") == F.floor(F.col("_n") * q).cast("int"), F.col(value)))
-    return ranked.groupBy(key).agg(at(F.lit(0.5)).alias("p50"), at(F.lit(0.9)).alias("p90"))
+    """(key, p50, p90) by index into the sorted values: n / 2 and 9 n / 10, rounded down; not interpolated.
+
+    Equal values are counted first; the counts are dealt by ranges of (key, value), so that a frequent key has many tasks.
+    Sums per key and range, few rows, tell which range holds an index, and only those ranges are numbered.
+    """
+    counted = df.filter(F.col(value).isNotNull()).groupBy(F.col(key).alias("_k"), F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    dealt = handed_over(counted.repartitionByRange("_k", "_v").withColumn("_p", F.spark_partition_id()), "ranges")
+    part = Window.partitionBy("_k")
+    sums = dealt.groupBy("_k", "_p").agg(F.sum("_n").alias("_s"))
+    sums = sums.withColumns({"_all": F.sum("_s").over(part), "_end": F.sum("_s").over(part.orderBy("_p"))})
+    at = {"p50": F.floor(F.col("_all") * F.lit(0.5)), "p90": F.floor(F.col("_all") * F.lit(0.9))}
+    sums = sums.withColumns(at).filter(" OR ".join(f"(_end - _s <= {q} AND {q} < _end)" for q in at))
+    held = dealt.join(sums.withColumnsRenamed({"_k": "_key", "_p": "_range"}), F.col("_k").eqNullSafe(F.col("_key")) & (F.col("_p") == F.col("_range")))
+    upto = F.col("_end") - F.col("_s") + F.sum("_n").over(Window.partitionBy("_k", "_p").orderBy("_v"))
+    ranked = held.withColumn("_upto", upto)
+    pick = lambda q: F.max(F.when((F.col("_upto") - F.col("_n") <= F.col(q)) & (F.col(q) < F.col("_upto")), F.col("_v"))).alias(q)
+    return ranked.groupBy(F.col("_k").alias(key)).agg(*map(pick, at))
 
 
 def metrics_range(df: DataFrame, name: str, ts: str, value: str, start, end) -> DataFrame:
-    """One row per series with its points in time order."""
-    inside = df.filter(F.col(ts).between(F.lit(start), F.lit(end)))
-    return inside.groupBy(name).agg(F.array_sort(F.collect_list(F.struct(F.col(ts).alias("t"), F.col(value).alias("v")))).alias("points"))
+    """(name, t, v): the points from ``start`` to ``end``, as rows, so that a series may be of any length."""
+    return df.filter(F.col(ts).between(F.lit(start), F.lit(end))).select(F.col(name), F.col(ts).alias("t"), F.col(value).alias("v"))
+
+
+def first_columns(df: DataFrame, keys: list[str], columns: dict[str, str], by: list[str], *more: Column) -> DataFrame:
+    """Per group the named columns of its first row in the order of ``by``, and further aggregates, in one partial aggregation."""
+    first = F.min(F.struct(*by, *(F.col(c).alias(f"_{n}") for n, c in columns.items()))).alias("_first")
+    return df.groupBy(*keys).agg(first, *more).select(*keys, *(F.col(f"_first._{n}").alias(n) for n in columns), *(c for c in df.groupBy(*keys).agg(*more).columns if c not in keys))
+
+
+def prefixed(df: DataFrame, column: str, prefix: str) -> DataFrame:
+    """Rows whose text starts with ``prefix``, in the order of the text and uid; the condition reaches the scan."""
+    return df.filter(F.col(column).startswith(prefix)).orderBy(column, "uid")
+
+
+def ranged(df: DataFrame, column: str, start=None, end=None) -> DataFrame:
+    """Rows from ``start`` up to but without ``end``, in the order of the column and uid; either may be open."""
+    for bound, keep in ((start, F.col(column) >= F.lit(start)), (end, F.col(column) < F.lit(end))):
+        df = df.filter(keep) if bound is not None else df
+    return df.orderBy(column, "uid")

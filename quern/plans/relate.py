@@ -14,6 +14,8 @@ from quern.plans.read import Reader, order, sort_keys
 from quern.sources.schema import SchemaError
 
 MOST_DEPTH = 64
+#: A parent's children are nested into one row; more of them are an error that asks for a page.
+MOST_CHILDREN = 100_000
 
 
 @dataclass
@@ -88,7 +90,9 @@ class Relations:
                 got = self.children(type_name, s.field, **s.args)
                 flat = self._child_rows(got, f.base, s, depth)
                 if f.many:
-                    rows = flat.groupBy("_src").agg(F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_row"))), lambda x: x["_row"]).alias(column))
+                    rows = flat.filter(F.col("_pos") <= MOST_CHILDREN + 1 + (s.args.get("offset") or 0)).groupBy("_src").agg(F.array_sort(F.collect_list(F.struct("_pos", "_row"))).alias("_all"))
+                    many = F.raise_error(F.lit(f"{type_name}.{s.field}: over {MOST_CHILDREN} children of one parent; ask for a page with first"))
+                    rows = rows.select("_src", F.when(F.size("_all") <= MOST_CHILDREN, F.transform("_all", lambda x: x["_row"])).otherwise(many).alias(column))
                     df = df.join(rows, F.col("uid") == F.col("_src"), "left").drop("_src")
                     out[name] = F.coalesce(F.col(column), F.array().cast(rows.schema[column].dataType))
                 else:

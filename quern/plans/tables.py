@@ -26,10 +26,13 @@ type Page { url: URL  html: String }
 
 
 def store(spark: SparkSession, d: str) -> Store:
-    """Frames are lazy: a query reads only the tables and columns that it names."""
+    """A query opens only the tables that it names, and reads of these only the columns that it names."""
 
     def t(name):
-        return spark.read.parquet(f"{d}/{name}.parquet")
+        return lambda: spark.read.parquet(f"{d}/{name}.parquet")
+
+    def line(src, dst):
+        return lambda: t("lineitem")().select(F.col(src).alias("src"), F.col(dst).alias("dst"))
 
     s = Store(spark, SCHEMA)
     s.bind("Region", t("region"), "r_regionkey")
@@ -45,8 +48,7 @@ def store(spark: SparkSession, d: str) -> Store:
     s.bind("Embedding", t("embeddings"), "vec_id", {"document": "vec_id"})
     s.bind("Label", t("labels"), "doc_id", {"document": "doc_id"})
     s.bind("Page", t("pages"), "page_id")
-    line = t("lineitem")
-    s.bind_edges("Order", "parts", line.select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst")))
-    s.bind_edges("Order", "suppliers", line.select(F.col("l_orderkey").alias("src"), F.col("l_suppkey").alias("dst")))
-    s.bind_edges("Part", "suppliers", line.select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst")))
+    s.bind_edges("Order", "parts", line("l_orderkey", "l_partkey"))
+    s.bind_edges("Order", "suppliers", line("l_orderkey", "l_suppkey"))
+    s.bind_edges("Part", "suppliers", line("l_partkey", "l_suppkey"))
     return s

@@ -6,6 +6,7 @@ frame (src, dst). Frames are lazy; the store never caches or collects.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,16 +16,37 @@ from quern.functions.expressions import Compiler, parse, roots
 from quern.sources.schema import Catalog, SchemaError
 
 
+class Frames(dict):
+    """Frames by name; a value may be a function that makes its frame when it is first asked for."""
+
+    def __getitem__(self, key):
+        value = super().__getitem__(key)
+        if not isinstance(value, DataFrame):
+            value = self[key] = value()
+        return value
+
+    def get(self, key, default=None):
+        return self[key] if key in self else default
+
+
 class Store:
     def __init__(self, spark: SparkSession, schema: str | Catalog):
         self.spark = spark
         self.catalog = schema if isinstance(schema, Catalog) else Catalog.parse(schema)
-        self.frames: dict[str, DataFrame] = {}
-        self.edges: dict[tuple[str, str], DataFrame] = {}
+        self.frames: dict[str, DataFrame] = Frames()
+        self.edges: dict[tuple[str, str], DataFrame] = Frames()
 
-    def bind(self, name: str, df: DataFrame, uid: str, columns: dict[str, str] | None = None, json: dict[str, str] | None = None) -> Store:
-        """``columns`` maps fields to columns or SQL where names differ; ``json`` gives JSON fields a schema to be read with."""
+    def bind(self, name: str, df: DataFrame | Callable[[], DataFrame], uid: str, columns: dict[str, str] | None = None, json: dict[str, str] | None = None) -> Store:
+        """``columns`` maps fields to columns or SQL where names differ; ``json`` gives JSON fields a schema to be read with.
+        A function in place of ``df`` is called when the type is first read."""
         columns, json = columns or {}, json or {}
+        if isinstance(df, DataFrame):
+            self.frames[name] = self._bound(name, df, uid, columns, json)
+        else:
+            self.frames[name] = lambda: self._bound(name, df(), uid, columns, json)
+        return self
+
+    def _bound(self, name: str, df: DataFrame, uid: str, columns: dict[str, str], json: dict[str, str]) -> DataFrame:
         cols = [F.expr(uid).cast("bigint").alias("uid")]
         for f in self.catalog[name].fields.values():
             source = columns.get(f.name, f.name)
@@ -34,12 +56,12 @@ class Store:
             if self.catalog.is_relation(f):
                 c = c.cast("bigint")
             cols.append((F.from_json(c, json[f.name]) if f.name in json else c).alias(f.name))
-        self.frames[name] = df.select(*cols)
-        return self
+        return df.select(*cols)
 
-    def bind_edges(self, name: str, field: str, pairs: DataFrame) -> Store:
+    def bind_edges(self, name: str, field: str, pairs: DataFrame | Callable[[], DataFrame]) -> Store:
         """Pairs (src, dst) of a list relation; repeated pairs count once."""
-        self.edges[name, field] = pairs.select(F.col("src").cast("bigint"), F.col("dst").cast("bigint")).dropna().distinct()
+        own = lambda df: df.select(F.col("src").cast("bigint"), F.col("dst").cast("bigint")).dropna().distinct()
+        self.edges[name, field] = own(pairs) if isinstance(pairs, DataFrame) else lambda: own(pairs())
         return self
 
     def frame(self, name: str, computed: bool = True) -> DataFrame:

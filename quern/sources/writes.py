@@ -8,12 +8,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.functions.scalars import CHECKS, directive_check, valid
-from quern.sources.schema import Catalog
+from quern.sources.schema import Catalog, SchemaError
 from quern.sources.staging import handed_over
 from quern.sources.store import Store
 
@@ -57,11 +57,54 @@ def insert(store: Store, type_name: str, rows: DataFrame) -> tuple[DataFrame, Da
     return good, bad
 
 
-def update(frame: DataFrame, changes: DataFrame) -> DataFrame:
-    """``frame`` after partial updates: ``changes`` has uid and any fields; null means unchanged. One change per uid."""
+def update(frame: DataFrame, changes: DataFrame, clear: str | None = None) -> DataFrame:
+    """``frame`` after partial updates: ``changes`` has uid and any fields; null means unchanged. ``clear`` names an array
+    column of ``changes`` with the names of fields that become null. One change per uid."""
     new = changes.select(F.col("uid").alias("_uid"), *(F.col(c).alias(f"_new_{c}") for c in changes.columns if c != "uid"))
     joined = frame.join(new, F.col("uid") == F.col("_uid"), "left")
-    return joined.select(*(F.coalesce(F.col(f"_new_{c}"), F.col(c)).alias(c) if f"_new_{c}" in joined.columns else F.col(c) for c in frame.columns))
+    out = []
+    for c in frame.columns:
+        value = F.coalesce(F.col(f"_new_{c}"), F.col(c)) if f"_new_{c}" in joined.columns else F.col(c)
+        if clear and c != "uid":
+            value = F.when(~F.coalesce(F.array_contains(f"_new_{clear}", c), F.lit(False)), value)
+        out.append(value.alias(c))
+    return joined.select(*out)
+
+
+def link(store: Store, type_name: str, field: str, pairs: DataFrame) -> None:
+    """Bind the pairs (src, dst) of a relation: list relations gain edges; a single relation is overwritten on its own side or
+    on its inverse's, and of several targets of one source the greatest stays."""
+    pairs = pairs.select(F.col("src").cast("bigint"), F.col("dst").cast("bigint"))
+    home, swap = _home(store, type_name, field)
+    if swap:
+        pairs = pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    if home in store.edges:
+        store.edges[home] = store.edges[home].union(pairs).distinct()
+    else:
+        store.frames[home[0]] = update(store.frames[home[0]], pairs.groupBy(F.col("src").alias("uid")).agg(F.max("dst").alias(home[1])))
+
+
+def unlink(store: Store, type_name: str, field: str, pairs: DataFrame) -> None:
+    """Take the pairs (src, dst) of a relation away; pairs that are not bound change nothing."""
+    pairs = pairs.select(F.col("src").cast("bigint"), F.col("dst").cast("bigint"))
+    home, swap = _home(store, type_name, field)
+    if swap:
+        pairs = pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    if home in store.edges:
+        store.edges[home] = store.edges[home].join(pairs, ["src", "dst"], "left_anti")
+    else:
+        frame, name = store.frames[home[0]], home[1]
+        held = frame.select(F.col("uid").alias("src"), F.col(name).alias("dst")).join(pairs, ["src", "dst"], "left_semi")
+        store.frames[home[0]] = update(frame, held.select(F.col("src").alias("uid"), F.array(F.lit(name)).alias("_gone")).distinct(), clear="_gone")
+
+
+def _home(store: Store, type_name: str, field: str) -> tuple[tuple[str, str], bool]:
+    """Where a relation's pairs are kept, (type, field), and whether they are kept there the other way round."""
+    inverse = store.catalog.inverse(type_name, field)
+    for at, swap in [((type_name, field), False), *([((inverse.type, inverse.field), True)] if inverse else [])]:
+        if at in store.edges or at[0] in store.frames and at[1] in store.frames[at[0]].columns:
+            return at, swap
+    raise SchemaError(f"{type_name}.{field}: no column, edges or inverse to write to")
 
 
 def delete(frame: DataFrame, uids: DataFrame) -> DataFrame:
@@ -69,7 +112,8 @@ def delete(frame: DataFrame, uids: DataFrame) -> DataFrame:
 
 
 def cascade(store: Store, type_name: str, uids: DataFrame, most: int = 64) -> dict[str, DataFrame]:
-    """Per type the uids that go when ``uids`` of ``type_name`` go, along @cascade fields; each once, cycles included."""
+    """Per type the uids that go when ``uids`` of ``type_name`` go, along @cascade fields; each once, cycles included. A chain of
+    more than ``most`` levels is an error."""
     found = {type_name: handed_over(uids.select("uid").distinct(), "cascade")}
     frontier = dict(found)
     for _ in range(most):
@@ -87,8 +131,8 @@ def cascade(store: Store, type_name: str, uids: DataFrame, most: int = 64) -> di
                 frontier[t] = ids
                 found[t] = found[t].union(ids) if t in found else ids
         if not frontier:
-            break
-    return found
+            return found
+    raise SchemaError(f"the cascade from {type_name} does not end in {most} levels")
 
 
 def flatten_nested(rows: DataFrame, field: str, parent_key: str = "uid", child_key: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -118,6 +162,25 @@ def events(type_name: str, kind: str, rows: DataFrame, source: str = "local") ->
     return rows.select(F.lit(type_name).alias("type"), "uid", F.lit(kind).alias("mutation"), F.lit(source).alias("source"), payload.alias("payload"))
 
 
+def append_log(log: DataFrame, path: str, day: str = "ts.millis div 86400000") -> None:
+    """Append log entries as JSON lines, in one folder for each value of ``day``, so that a time range reads only its days."""
+    log.withColumn("day", F.expr(day)).write.mode("append").partitionBy("day").json(path)
+
+
+def read_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The entries that :func:`append_log` wrote, with ``day``."""
+    return spark.read.schema(schema + ", day bigint").json(path)
+
+
+def file_rows(files: DataFrame, content: str = "content", path: str = "path") -> tuple[DataFrame, DataFrame]:
+    """Content-addressed files: (one row for each different content: sha256, length, content; a reference row for each file:
+    uid, path, sha256, length)."""
+    c = F.col(content)
+    named = files.select(F.col(path).alias("path"), F.sha2(c, 256).alias("sha256"), F.octet_length(c).alias("length"), c.alias("content"))
+    uid = F.xxhash64("path", "sha256").bitwiseAND(F.lit((1 << 63) - 1))
+    return named.select("sha256", "length", "content").dropDuplicates(["sha256"]), named.select(uid.alias("uid"), "path", "sha256", "length")
+
+
 def checksums(files: DataFrame, column: str = "content") -> DataFrame:
     """Content addresses of a binary column."""
     c = F.col(column)
