@@ -25,8 +25,9 @@ memory and checks this operator in the tests.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -74,7 +75,7 @@ class Unit:
         return self.length if self.width == 1 else 2 * self.length - 1
 
 
-BYTES = Unit(400, 128, 1, 1 << 20, False)
+BYTES = Unit(400, 128, 1, 1 << 19, False)
 WORDS = Unit(50, 16, 8, 1 << 17, True)
 
 
@@ -164,39 +165,36 @@ def _cut(unit: Unit):
     return run
 
 
-def _pack(unit: Unit):
-    """(doc_id, text) to (doc_id, t, z): the text compressed. Texts without a string have nothing to compare and are left out."""
+def _pack(least: int):
+    """(doc_id, text) to (doc_id, t, z): the text compressed. Texts under ``least`` bytes have no string to compare and are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = zstandard.ZstdCompressor(level=3)
         for b in batches:
             texts = b.column(1).cast(pa.binary()).to_pylist()
-            long = [k for k, x in enumerate(texts) if len(x) >= unit.least_bytes]
+            long = [k for k, x in enumerate(texts) if len(x) >= least]
             t = np.array([_hash(texts[k]) for k in long], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(long, pa.int64())), pa.array(t), pa.array([c.compress(texts[k]) for k in long], pa.binary())], ["doc_id", "t", "z"])
 
     return run
 
 
-def _contexts(unit: Unit):
-    """(doc_id, t, z, fine: list of (pos, gram, single, hot)) to one row per span with the symbols that it covers."""
+def _contexts(units: list[Unit]):
+    """(doc_id, t, z, fine: list of (unit, pos, gram, single, hot)) to one row per span with the symbols that it covers."""
+    kinds = {"unit": pa.int32(), "pos": pa.int64(), "gram": pa.int64(), "single": pa.bool_(), "hot": pa.bool_()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        d, w = zstandard.ZstdDecompressor(), unit.width
+        d = zstandard.ZstdDecompressor()
         for b in batches:
             for row in range(len(b)):
-                data = unit.symbols(d.decompress(b.column(2)[row].as_py()))
-                fine = b.column(3)[row].as_py()
-                n = len(fine)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([b.column(0)[row].as_py()] * n, pa.int64()),
-                        pa.array([b.column(1)[row].as_py()] * n, pa.int64()),
-                        *(pa.array([x[c] for x in fine], kind) for c, kind in (("pos", pa.int64()), ("gram", pa.int64()), ("single", pa.bool_()), ("hot", pa.bool_()))),
-                        pa.array([data[w * (x["pos"] >> 9) : w * ((x["pos"] >> 9) + (x["pos"] & 511) + unit.length)] for x in fine], pa.binary()),
-                    ],
-                    ["doc_id", "t", "pos", "gram", "single", "hot", "bytes"],
-                )
+                text, fine = d.decompress(b.column(2)[row].as_py()), b.column(3)[row].as_py()
+                data = {u: units[u].symbols(text) for u in {x["unit"] for x in fine}}
+                cut = []
+                for x in fine:
+                    unit, first = units[x["unit"]], x["pos"] >> 9
+                    cut.append(data[x["unit"]][unit.width * first : unit.width * (first + (x["pos"] & 511) + unit.length)])
+                keys = [pa.array([b.column(c)[row].as_py()] * len(fine), pa.int64()) for c in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*keys, *(pa.array([x[n] for x in fine], kind) for n, kind in kinds.items()), pa.array(cut, pa.binary())], ["doc_id", "t", *kinds, "bytes"])
 
     return run
 
@@ -352,9 +350,9 @@ def _frequent(hot: DataFrame, unit: Unit) -> DataFrame:
     return single.union(blocks.filter("whole and single").select("doc_id", "t", F.col("block").alias("pos")))
 
 
-def covered(pairs: DataFrame, packed: DataFrame, unit: Unit) -> DataFrame:
-    """(doc_id, t, covered): for every text that has any the windows that also start elsewhere, as pos, from ``pairs``
-    (doc_id, text) and the same texts compressed."""
+def _open(pairs: DataFrame, unit: Unit) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, t, pos) of the spans that are repeated as a whole, and (doc_id, t, pos, gram, single, hot) of those whose
+    windows must be compared."""
     rows = staged(pairs.mapInArrow(_cut(unit), "doc_id long, t long, pos long, gram long, h1 long, h2 long"), "spans")
     grams = staged(_several(rows, ("gram",), unit.across).select("gram", "count"), "grams")
     rows = staged(split_join(rows, grams, ["gram"]).drop("count"), "shared")
@@ -364,16 +362,28 @@ def covered(pairs: DataFrame, packed: DataFrame, unit: Unit) -> DataFrame:
     # one of the places of each repeated span, or two in different documents, to be compared with the spans that share its gram
     ends, own = (whole.filter(F.xxhash64("doc_id", "t").isin(F.col("a"), F.col("b"))), ["doc_id", "t"]) if unit.across else (whole, [])
     one = ends.groupBy("h1", "h2", *own).agg(*(F.first(c).alias(c) for c in ("doc_id", "t", "pos", "gram") if c not in own))
-    one = one.select("doc_id", "t", "pos", "gram", F.lit(False).alias("single"))
-    each = staged(single.select("doc_id", "t", "pos", "gram", F.lit(True).alias("single")).union(one), "each")
-    mixed = staged(each.groupBy("gram").count().filter("count > 1"), "mixed").withColumn("hot", F.col("count") > GROUP)
-    fine = split_join(each, mixed, ["gram"]).groupBy("doc_id", "t").agg(F.collect_set(F.struct("pos", "gram", "single", "hot")).alias("fine"))
-    fine = staged(fine, "fine")
+    names = ["doc_id", "t", "pos", "gram", "h1"]
+    each = staged(single.select(*names, F.lit(True).alias("single")).union(one.select(*names, F.lit(False))), "each")
+    differ = each.groupBy("gram").agg(F.count("*").alias("count"), F.min("h1").alias("_x"), F.max("h1").alias("_y")).filter("_x <> _y")
+    mixed = staged(differ.select("gram", "count"), "mixed").withColumn("hot", F.col("count") > GROUP)
+    return whole.select("doc_id", "t", "pos"), split_join(each, mixed, ["gram"]).select("doc_id", "t", "pos", "gram", "single", "hot")
+
+
+def covered(pairs: DataFrame, packed: DataFrame, units: list[Unit]) -> list[DataFrame]:
+    """(doc_id, t, covered) for each unit: for every text that has any the windows that also start elsewhere, as pos, from
+    ``pairs`` (doc_id, text) and the same texts compressed, which are shuffled once for all units."""
+    whole, open_ = zip(*(_open(pairs, u) for u in units))
+    fine = reduce(lambda a, b: a.union(b), (x.select("doc_id", "t", F.struct(F.lit(k).alias("unit"), "pos", "gram", "single", "hot").alias("x")) for k, x in enumerate(open_)))
+    fine = staged(fine.groupBy("doc_id", "t").agg(F.collect_set("x").alias("fine")), "fine")
     joined = packed.join(fine, _same(packed, fine)).select(packed.doc_id, packed.t, "z", "fine")
-    contexts = staged(joined.mapInArrow(_contexts(unit), "doc_id long, t long, pos long, gram long, single boolean, hot boolean, bytes binary"), "contexts")
-    near = contexts.filter("not hot").repartition("gram").sortWithinPartitions("gram").mapInArrow(_compare(unit), "doc_id long, t long, pos long")
-    found = _frequent(contexts.filter("hot"), unit).union(near)
-    return staged(whole.select("doc_id", "t", "pos").union(found).groupBy("doc_id", "t").agg(F.collect_set("pos").alias("covered")), "covered")
+    contexts = staged(joined.mapInArrow(_contexts(units), "doc_id long, t long, unit int, pos long, gram long, single boolean, hot boolean, bytes binary"), "contexts")
+    out = []
+    for k, unit in enumerate(units):
+        own = contexts.filter(F.col("unit") == k).drop("unit")
+        near = own.filter("not hot").repartition("gram").sortWithinPartitions("gram").mapInArrow(_compare(unit), "doc_id long, t long, pos long")
+        found = _frequent(own.filter("hot"), unit).union(near)
+        out.append(staged(whole[k].union(found).groupBy("doc_id", "t").agg(F.collect_set("pos").alias("covered")), "covered"))
+    return out
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", unit: Unit = BYTES, passage: Unit = WORDS) -> DataFrame:
@@ -386,9 +396,9 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     empty table gives an empty result. Texts of any length are read whole, cut with overlaps.
     """
     pairs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_or_empty(text).alias("text"))
-    packed: Callable = lambda u: pairs.filter(F.octet_length("text") >= u.least_bytes).mapInArrow(_pack(u), "doc_id long, t long, z binary")
-    removed, passages = covered(pairs, packed(unit), unit), covered(pairs, packed(passage), passage)
-    long = packed(unit)
+    packed = lambda least: pairs.filter(F.octet_length("text") >= least).mapInArrow(_pack(least), "doc_id long, t long, z binary")
+    removed, passages = covered(pairs, packed(min(unit.least_bytes, passage.least_bytes)), [unit, passage])
+    long = packed(unit.least_bytes)
     joined = long.join(removed, _same(long, removed)).select(long.doc_id, long.t, "z", "covered")
     cleaned = joined.mapInArrow(_remove, "doc_id long, t long, n_removed long, n_spans long, kept_sha256 string").dropDuplicates(["doc_id", "t"])
     cleaned = staged(cleaned, "cleaned")
