@@ -4,8 +4,9 @@ One scan turns every text into its SHA-256 digest and writes the narrow table (r
 over that table finds the digests that may be frequent: each task keeps at most ``counters`` of them, and as the sums of
 the tasks' counters fall short of the true counts by at most n / (counters + 1), every digest with more than
 2 n / (counters + 1) rows has a sum above n / (counters + 1) -- and no more than ``counters`` digests can have that. Those
-candidates are counted exactly; the verified winners, at most ``counters`` rows, are broadcast and settle their rows
-where these are read. Only the rows of infrequent digests are shuffled, and no such group exceeds 2 n / (counters + 1).
+candidates are counted exactly; the verified winners, those with more than n / (counters + 1) rows and with two at least, are
+fewer than ``counters`` + 1, are broadcast and settle their rows where these are read. Only the rows of the other digests
+are shuffled, and no such group exceeds 2 n / (counters + 1).
 """
 
 from __future__ import annotations
@@ -36,15 +37,15 @@ def misra_gries(batches: Iterator[np.ndarray], counters: int) -> dict:
     return kept
 
 
-def frequent_candidates(rows: DataFrame, column: str, counters: int) -> DataFrame:
-    """Values of the binary ``column`` that may have more than 2 n / (counters + 1) rows; at most ``counters`` rows."""
+def frequent_candidates(rows: DataFrame, column: str, counters: int, n: int) -> DataFrame:
+    """Values of the binary ``column`` that may have more than 2 n / (counters + 1) of the ``n`` rows; at most ``counters`` values."""
 
     def summarise(batches):
         got = misra_gries((np.array(b.column(0).to_pylist(), dtype=object) for b in batches), counters)
         yield pa.RecordBatch.from_arrays([pa.array(list(got), pa.binary()), pa.array(list(got.values()), pa.int64())], ["value", "n"])
 
     sums = rows.select(column).mapInArrow(summarise, "value binary, n long").groupBy("value").agg(F.sum("n").alias("n"))
-    return sums.filter(F.col("n") > rows.count() / (counters + 1))
+    return sums.filter(F.col("n") > n / (counters + 1))
 
 
 def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", counters: int = COUNTERS) -> DataFrame:
@@ -59,9 +60,10 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", cou
         "digests",
     )
     winner = F.max(F.struct("doc_id", "tag"))
-    candidates = staged(frequent_candidates(rows, "digest", counters).select(F.col("value").alias("digest")), "candidates")
-    winners = rows.join(F.broadcast(candidates), "digest", "left_semi").groupBy("digest").agg(winner.alias("best"), F.count("*").alias("group_size"))
-    winners = staged(winners, "winners")  # at most `counters` rows
+    n = rows.count()
+    candidates = staged(frequent_candidates(rows, "digest", counters, n).select(F.col("value").alias("digest")), "candidates")
+    counted = rows.join(F.broadcast(candidates), "digest", "left_semi").groupBy("digest").agg(winner.alias("best"), F.count("*").alias("group_size"))
+    winners = staged(counted.filter(F.col("group_size") > max(1, n / (counters + 1))), "winners")  # verified; at most `counters` rows
     hot = rows.join(F.broadcast(winners), "digest")
     group = Window.partitionBy("digest")
     rest = rows.join(F.broadcast(winners.select("digest")), "digest", "left_anti").withColumns({"best": winner.over(group), "group_size": F.count("*").over(group)})
@@ -75,13 +77,13 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", cou
 
 
 def keep_one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that :func:`exact_dedup` keeps, with all their columns."""
-    key, sha, mark, nth = fresh(docs, "_id", "_sha", "_mark", "_nth")
-    kept = exact_dedup(docs, doc_id, text).filter("kept").select(F.col("doc_id").alias(key), F.col("text_sha256").alias(sha))
-    marked = docs.withColumn(mark, F.sha2(text_or_empty(text), 256))
-    left = marked.join(kept, F.col(doc_id).eqNullSafe(F.col(key)) & (F.col(mark) == F.col(sha)), "left_semi")
-    once = Window.partitionBy(doc_id, mark).orderBy(mark)  # rows repeated with their id
-    return left.withColumn(nth, F.row_number().over(once)).filter(F.col(nth) == 1).select(*docs.columns)
+    """The rows of ``docs`` that :func:`exact_dedup` keeps, with all their columns; of rows that share the largest id of a
+    text one stays. Texts are shuffled once, after rows repeated with their id have met where they are read."""
+    key, mark = fresh(docs, "_key", "_mark")
+    name = lambda i, sha: F.concat(F.coalesce(i.cast("string"), F.lit("-")), F.lit(":"), sha)
+    kept = exact_dedup(docs, doc_id, text).filter("kept").select(name(F.col("doc_id"), F.col("text_sha256")).alias(key))
+    once = docs.withColumn(mark, name(F.col(doc_id), F.sha2(text_or_empty(text), 256))).dropDuplicates([mark])
+    return once.join(staged(kept, "kept"), F.col(mark) == F.col(key), "left_semi").select(*docs.columns)
 
 
 ORACLE = """

@@ -3,25 +3,28 @@
 Each language has a zstandard dictionary of raw sample text. A text is cut into blocks, as only a block's beginning
 profits from a dictionary, and each block is compressed with every dictionary; the smallest sum wins. Where the margin
 to the second is narrow the answer is marked as rejected. Texts and samples are lower-cased, and ASCII digits and
-punctuation are deleted. The dictionaries are the model: at most ``DICTIONARY`` bytes for each of at most
-``LANGUAGES`` languages, drawn by hash from all learnable texts, whatever the size of the corpus.
+punctuation are deleted. The dictionaries are the model: at most ``DICTIONARY`` bytes for each language, in slices drawn by
+hash from all learnable text of the language, whatever the size of the corpus, so that a language of few long texts fills
+its dictionary as one of many short texts does. Every language that occurs is learned.
 """
 
 from __future__ import annotations
 
 import math
-import re
 
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.tables import fold_of
+from quern.llm.tables import fold_of, staged
 
-DICTIONARY, SLICE, LANGUAGES = 1 << 18, 512, 128
+DICTIONARY, SLICE = 1 << 18, 512
+#: More different values in the language column are an error: they are no languages, and each would get a dictionary.
+LANGUAGES = 4096
 BLOCK, LEVEL, MARGIN = 2048, 6, 0.01
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 MARKS = bytes(b for b in range(33, 128) if not 65 <= b <= 90 and not 97 <= b <= 122)
 NONE = "und"
 
@@ -61,27 +64,36 @@ class Classifier:
 
 
 def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", folds: int = 5, held: int = 0) -> Classifier:
-    """Dictionaries from the texts of the other folds: slices at hashed places of texts drawn at each language's own rate."""
-    pool = docs.select(F.col(doc_id).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text")).filter(F.col("lang").isNotNull() & (fold_of("id", folds) != held))
-    want = 2 * DICTIONARY // SLICE
-    rates = pool.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).select(F.col("lang").alias("_lang"), (F.lit(float(want)) / F.col("n")).alias("rate"))
-    u = F.pmod(F.xxhash64("id", "lang"), F.lit(1 << 30)).cast("double") / (1 << 30)
-    where = F.pmod(F.xxhash64("lang", "id"), F.greatest(F.char_length("text") - SLICE, F.lit(1)).cast("long")).cast("int") + 1
-    got = pool.join(F.broadcast(rates), F.col("lang") == F.col("_lang")).filter(u < F.col("rate")).select("lang", "id", u.alias("u"), F.substring("text", where, F.lit(SLICE)).alias("part"))
+    """Dictionaries from the texts of the other folds. Texts are cut into slices of SLICE characters, and each slice is drawn
+    by the hash of its id, language and number at the language's own rate, which is set to give twice a dictionary; what
+    reaches the driver is about 1,000 slices for each language."""
+    pool = docs.select(F.col(doc_id).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text")).filter(F.col("lang").isNotNull() & (fold_of("id", folds) != held) & (F.length("text") > 0))
+    slices = F.ceil(F.char_length("text") / F.lit(SLICE)).cast("int")
+    rates = staged(pool.groupBy("lang").agg(F.sum(slices).alias("n")), "languages")
+    if rates.count() > LANGUAGES:
+        raise ValueError(f"{lang} has more than {LANGUAGES} values")
+    rates = rates.select(F.col("lang").alias("_lang"), (F.lit(2.0 * DICTIONARY / SLICE) / F.col("n")).alias("rate"))
+    draw = lambda k: F.pmod(F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("")), F.col("lang"), k), F.lit(1 << 30)).cast("double") / (1 << 30)
+    drawn = F.filter(F.sequence(F.lit(0), slices - 1), lambda k: draw(k) < F.col("rate"))
+    picked = pool.join(F.broadcast(rates), F.col("lang") == F.col("_lang")).select("id", "lang", "text", F.explode(drawn).alias("k"))
+    got = picked.select("lang", "id", draw(F.col("k")).alias("u"), F.substring("text", F.col("k") * SLICE + 1, F.lit(SLICE)).alias("part"))
     parts: dict[str, bytes] = {}
-    for r in sorted(got.filter("part <> ''").collect(), key=lambda r: (r.lang, r.u, str(r.id), r.part)):
+    for r in sorted(got.collect(), key=lambda r: (r.lang, r.u, str(r.id), r.part)):
         if len(parts.setdefault(r.lang, b"")) < DICTIONARY:
             parts[r.lang] = (parts[r.lang] + bare(r.part) + b" ")[:DICTIONARY]
     return Classifier({k: v for k, v in parts.items() if len(v) >= 8})
 
 
-def languages(docs: DataFrame, classifier: Classifier | None = None) -> DataFrame:
+def languages(docs: DataFrame, classifier: Classifier | None = None, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, lang_pred, score, accepted.
 
-    ``und`` is for null texts, texts without a letter, and where nothing could be learned. A narrow margin clears
-    ``accepted`` and leaves the best guess in ``lang_pred``. Whole texts are encoded, in one pass without a shuffle.
+    ``und``, with score 0, is for null and empty texts, texts without a letter (Unicode's class L; number signs are none),
+    and every text where nothing could be learned. A narrow margin clears ``accepted`` and leaves the best guess in
+    ``lang_pred``; where two languages compress a text alike the first in the order of names is named. Repeated rows get
+    equal answers; a null id stays null and counts as the empty text for its fold; an empty table gives an empty result.
+    Whole texts are encoded, block by block, in one pass without a shuffle. Only the three named columns are read.
     """
-    c = classifier or learn(docs)
+    c = classifier or learn(docs, doc_id, text, lang)
 
     def run(batches):
         for b in batches:
@@ -89,4 +101,5 @@ def languages(docs: DataFrame, classifier: Classifier | None = None) -> DataFram
             cols = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], ["doc_id", "held_out", "lang_pred", "score", "accepted"])
 
-    return docs.select("doc_id", (fold_of("doc_id", 5) == 0).alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, accepted boolean")
+    chosen = docs.select(F.col(doc_id).cast("long").alias("doc_id"), (fold_of(doc_id, 5) == 0).alias("held_out"), F.col(text).alias("text"))
+    return chosen.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, accepted boolean")

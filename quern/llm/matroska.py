@@ -1,7 +1,8 @@
 """Media columns in Matroska: a writer and a parser of EBML elements, clusters, lacing and cues.
 
 The parser turns a file into a packet table: track, timestamp and byte range of every frame, read from the element tree
-without copying payload. It takes all four lacing modes, simple blocks and block groups, unknown sizes, and elements
+without copying payload. The frames of a laced block follow each other by the track's default duration; without one they
+share the block's time. It takes all four lacing modes, simple blocks and block groups, unknown sizes, and elements
 that it does not know; a damaged or cut file gives the packets before the damage and ``complete`` = false.
 """
 
@@ -21,7 +22,7 @@ EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES = 0x1A45DFA3, 0x18538067, 0x1549A966,
 TRACK, AUDIO, GROUP, CUE_POINT, CUE_AT = 0xAE, 0xE1, 0xA0, 0xBB, 0xB7
 MASTERS = {EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES, TRACK, AUDIO, GROUP, CUE_POINT, CUE_AT}
 TOP = {INFO, TRACKS, CLUSTER, CUES, 0x114D9B74, 0x1254C367, 0x1043A770, 0x1941A469}
-SCALE, STAMP, SIMPLE, BLOCK = 0x2AD7B1, 0xE7, 0xA3, 0xA1
+SCALE, STAMP, SIMPLE, BLOCK, FRAME_NS = 0x2AD7B1, 0xE7, 0xA3, 0xA1, 0x23E383
 UNIT, RATE, LACED, BLOCKS = 576, 8000, 8, 32
 MOST_DEPTH = 16
 
@@ -65,7 +66,7 @@ def write(payload: bytes, unit: int = UNIT, rate: int = RATE, mode: int = 2) ->
     millis = lambda sample: sample * 1000 // rate
     info = element(INFO, uint(SCALE, 1_000_000) + element(0x4489, struct.pack(">d", len(payload) * 1000 / rate)) + element(0x4D80, b"quern") + element(0x5741, b"quern"))
     audio = element(AUDIO, element(0xB5, struct.pack(">d", rate)) + uint(0x9F, 1) + uint(0x6264, 8))
-    tracks = element(TRACKS, element(TRACK, uint(0xD7, 1) + uint(0x73C5, 1) + uint(0x83, 2) + uint(0x9C, 1) + element(0x86, b"A_PCM/INT/LIT") + audio))
+    tracks = element(TRACKS, element(TRACK, uint(0xD7, 1) + uint(0x73C5, 1) + uint(0x83, 2) + uint(0x9C, 1) + uint(FRAME_NS, unit * 1_000_000_000 // rate) + element(0x86, b"A_PCM/INT/LIT") + audio))
     body, cues, step = [info, tracks], [], unit * LACED
     at = len(info) + len(tracks)
     for first in range(0, len(payload), step * BLOCKS):
@@ -141,16 +142,17 @@ def _block(data: bytes, at: int, end: int, began: int, out: Parsed, simple: bool
     if min(sizes) < 0 or mode == 2 and len({*sizes}) > 1:
         raise ValueError("bad lacing")
     time = (began + stamp) * out.scale
+    step = next((t.get("frame_ns", 0) for t in out.tracks if t.get("number") == track), 0)
     for s in sizes:
         out.packets.append((track, time, at, s, bool(flags & 0x80) if simple else True, mode, out.clusters - 1))
-        at += s
+        at, time = at + s, time + step
 
 
 def parse(data: bytes) -> Parsed:
     out = Parsed()
     state = {"began": 0, "segment": 0, "track": {}, "cue": [0, 0, 0]}
     strings = {0x86: "codec"}
-    numbers = {0xD7: "number", 0x83: "kind", 0x9F: "channels", 0x6264: "bits"}
+    numbers = {0xD7: "number", 0x83: "kind", 0x9F: "channels", 0x6264: "bits", FRAME_NS: "frame_ns"}
 
     def walk(at: int, end: int, inside: int, depth: int) -> int:
         while at < end:

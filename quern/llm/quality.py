@@ -2,9 +2,11 @@
 
 Random indexing (Kanerva et al., 2000): every token owns a fixed sparse ternary index vector, drawn from its hash, and a
 word's vector is the sum of the index vectors of its neighbours. A document is the mean of its tokens' vectors, with
-four ratios of repetition and length. The network is numpy; a temperature fitted on labelled rows that it was not
-trained on scales its logit. Model and vocabulary are fitted on the driver from at most ``FIT_ROWS`` labelled texts of
-at most ``FIT_CHARS`` characters; scoring is one pass over all whole texts without a shuffle.
+ratios of repetition and length. The network is numpy; a temperature fitted on labelled rows that it was not trained on
+scales its logit. The model is fitted on at most ``FIT_ROWS`` labelled rows, whose texts are read whole and stay in the
+executors: these count the words, sum the contexts and make the features, and the driver gets the frequent words, one sum
+of vectors for each of at most ``SUMS`` tasks and one row of features for each labelled text. Scoring is one pass over all
+whole texts without a shuffle.
 """
 
 from __future__ import annotations
@@ -21,10 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.tables import fold_of, fresh
+from quern.llm.tables import fold_of, fresh, staged
 
-#: Bounds of the fit: labelled texts, characters of one, words with a vector of their own.
-FIT_ROWS, FIT_CHARS, VOCABULARY = 6000, 60_000, 20_000
+#: Bounds of the fit: labelled rows, words with a vector of their own, tasks that sum contexts.
+FIT_ROWS, VOCABULARY, SUMS = 6000, 20_000, 8
 WIDTH, NONZERO, WINDOW, HIDDEN, EPOCHS = 96, 8, 2, 32, 300
 TOKEN = re.compile(rb"[A-Za-z\x80-\xff]+|[0-9]+|[^\sA-Za-z0-9\x80-\xff]+")
 #: Words without a vector of their own are pooled by shape.
@@ -106,26 +108,24 @@ def train(x: np.ndarray, y: np.ndarray, seed: int = 0) -> list[np.ndarray]:
     return layers
 
 
-def fit(texts: list[bytes], labels: list[int]) -> Model:
-    """The same rows in the same order give the same model."""
-    y = np.array(labels, np.float64)
-    tokens = [TOKEN.findall(t) for t in texts]
-    counts = Counter(t for x in tokens for t in x)
-    words = [w for w, c in sorted(counts.items(), key=lambda p: (-p[1], p[0]))[:VOCABULARY] if c > 2]
-    model = Model({w: k for k, w in enumerate(words)}, np.zeros((len(SHAPES) + len(words), WIDTH), np.float32), np.zeros(0), np.ones(0), [], 1.0)
-    if len(y) < 20 or len(set(labels)) < 2:
-        model.base = float((y.sum() + 1) / (len(y) + 2))
-        return model
-    own = np.array([index_vector(w) for w in [*SHAPES, *words]])
-    for x in tokens:
-        ids = model.ids(x)
+def contexts(rows: list[np.ndarray], own: np.ndarray) -> np.ndarray:
+    """Sums of the index vectors ``own`` over the neighbours of every word, from texts as ids; whole numbers, so that no order matters."""
+    n, codes = len(own), []
+    for ids in rows:
         for gap in range(1, WINDOW + 1):
             if len(ids) > gap:
-                np.add.at(model.vectors, ids[gap:], own[ids[:-gap]])
-                np.add.at(model.vectors, ids[:-gap], own[ids[gap:]])
-    model.vectors /= np.maximum(np.linalg.norm(model.vectors, axis=1, keepdims=True), 1)
-    model.vectors += own  # a word is its contexts and itself
-    x = np.array([model.features(t) for t in texts], np.float64)
+                codes += [ids[gap:] * n + ids[:-gap], ids[:-gap] * n + ids[gap:]]
+    out = np.zeros((n, WIDTH), np.int32)
+    pairs, counts = np.unique(np.concatenate(codes), return_counts=True) if codes else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    for at in range(0, len(pairs), 1 << 14):
+        word, near = np.divmod(pairs[at : at + (1 << 14)], n)
+        first = np.r_[0, np.flatnonzero(np.diff(word)) + 1]
+        out[word[first]] += np.add.reduceat(own[near].astype(np.int32) * counts[at : at + (1 << 14), None].astype(np.int32), first, axis=0)
+    return out
+
+
+def fit(model: Model, x: np.ndarray, y: np.ndarray) -> Model:
+    """The network and the temperature from features and labels; the same rows in the same order give the same model."""
     model.mean, model.scale = x.mean(0), x.std(0) + 1e-6
     x = (x - model.mean) / model.scale
     apart = np.arange(len(y)) % 5 == 0  # for the temperature
@@ -136,14 +136,68 @@ def fit(texts: list[bytes], labels: list[int]) -> Model:
     return model
 
 
-def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str = "doc_id", text: str = "text", rows: int = FIT_ROWS, folds: int = 3, held: int = 1) -> Model:
-    """Fit on up to ``rows`` labelled rows outside the held-out fold, chosen by the hash of their ids."""
-    ids = labels.select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("_label")).filter("_id is not null and _label is not null")
-    ids = ids.filter(fold_of("_id", folds) != held).groupBy("_id").agg(F.max("_label").alias("_label"))
-    ids = ids.orderBy(F.xxhash64("_id"), "_id").limit(rows)
-    pool = docs.select(F.col(doc_id).alias("_doc"), F.col(text).alias("_text")).filter(F.col("_text").isNotNull() & (F.char_length("_text") <= FIT_CHARS))
-    got = pool.join(F.broadcast(ids), F.col("_doc") == F.col("_id")).dropDuplicates(["_id"]).orderBy(F.xxhash64("_id"), "_id").select("_text", "_label").collect()
-    return fit([r[0].encode() for r in got], [r[1] for r in got])
+def sample(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str = "doc_id", text: str = "text", rows: int = FIT_ROWS, folds: int = 3, held: int = 1) -> DataFrame:
+    """(id, text, label): up to ``rows`` labelled rows outside the held-out fold whose id ``docs`` has, chosen by the hash of
+    the id, with their whole texts. Null ids and labels are left out; of several labels of an id the greatest counts, of
+    several texts of an id the least; null text counts as empty."""
+    own = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    ids = labels.select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("label")).filter("id is not null and label is not null")
+    ids = ids.filter(fold_of("id", folds) != held).groupBy("id").agg(F.max("label").alias("label")).join(own.select("id"), "id", "left_semi")
+    picked = staged(ids.orderBy(F.xxhash64("id"), "id").limit(rows), "picked")
+    return staged(own.join(F.broadcast(picked), "id").groupBy("id", "label").agg(F.min("text").alias("text")), "sample")
+
+
+def _texts(batch: pa.RecordBatch) -> list[bytes]:
+    return batch.column("text").cast(pa.binary()).to_pylist()
+
+
+def learn(docs: DataFrame, labels: DataFrame, **options) -> Model:
+    """Fit on :func:`sample`, which takes the options. Labels of one kind only, or fewer than 20, give a model that answers with the base rate."""
+    rows = sample(docs, labels, **options)
+    y = rows.groupBy("label").count().toPandas()
+    good, n = int(y["count"][y["label"] > 0].sum()), int(y["count"].sum())
+    empty = Model({}, np.zeros((len(SHAPES), WIDTH), np.float32), np.zeros(0), np.ones(0), [], 1.0, (good + 1) / (n + 2))
+    if n < 20 or good in (0, n):
+        return empty
+
+    def count(batches):
+        counts: Counter = Counter()
+        for b in batches:
+            for t in _texts(b):
+                counts.update(TOKEN.findall(t))
+        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
+
+    counted = rows.mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).filter("n > 2")
+    words = [bytes(r[0]) for r in counted.orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()]
+    model = Model({w: k for k, w in enumerate(words)}, empty.vectors, np.zeros(0), np.ones(0), [], 1.0)
+    own = np.array([index_vector(w) for w in [*SHAPES, *words]]).astype(np.int8)
+
+    def gather(batches):
+        total, held, size = np.zeros(own.shape, np.int32), [], 0
+        for b in batches:
+            for t in _texts(b):
+                held.append(model.ids(TOKEN.findall(t)))
+                size += len(held[-1])
+                if size > 1 << 18:  # bounds the memory
+                    total += contexts(held, own)
+                    held, size = [], 0
+        total += contexts(held, own)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["total"])
+
+    total = np.zeros(own.shape, np.float32)
+    for r in rows.coalesce(SUMS).mapInArrow(gather, "total binary").toLocalIterator():
+        total += np.frombuffer(r[0], np.int32).reshape(own.shape)
+    # a word is its contexts and itself
+    model.vectors = (total / np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1) + own).astype(np.float32)
+
+    def describe(batches):
+        for b in batches:
+            x = [model.features(t).tobytes() for t in _texts(b)]
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("label"), pa.array(x, pa.binary())], ["id", "label", "x"])
+
+    kind = rows.schema["id"].dataType.simpleString()
+    got = rows.mapInArrow(describe, f"id {kind}, label int, x binary").orderBy(F.xxhash64("id"), "id").select("x", "label").collect()
+    return fit(model, np.array([np.frombuffer(r[0], np.float32) for r in got], np.float64), np.array([r[1] > 0 for r in got], np.float64))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", column: str = "score") -> DataFrame:
@@ -161,12 +215,18 @@ def score(docs: DataFrame, model: Model, text: str = "text", column: str = "scor
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row per row of ``docs``: doc_id, held_out, score, predicted. Without labels of both kinds every score is the base rate."""
+    """One row per row of ``docs``: doc_id, held_out, score, predicted.
+
+    Null and empty texts have one and the same score; repeated rows get equal ones; a null id stays null and counts as the
+    empty text for its fold. How labels that are null, repeated or in conflict count says :func:`sample`; without labels of
+    both kinds every score is the base rate. An empty table gives an empty result. Whole texts are scored, whatever their
+    length. Only doc_id and text, and doc_id and quality of ``labels``, are read.
+    """
     scored = score(docs.select("doc_id", "text"), learn(docs, labels))
     return scored.select("doc_id", (fold_of("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the classifier accepts, with all their columns."""
+    """The rows of ``docs`` that the classifier accepts, with all their columns and as often as they come; see :func:`quality`."""
     (column,) = fresh(docs, "_score")
     return score(docs, learn(docs, labels), column=column).filter(F.col(column) >= 0.5).select(*docs.columns)

@@ -19,12 +19,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.components import components
-from quern.llm.tables import LOWER, fresh, staged
+from quern.llm.tables import LOWER, staged
 
 WIDTH = 3
 RADIUS = 2
-#: A larger shard is cut again by the bits outside its key, in RADIUS + 1 bands of which a linked pair shares one.
-SPLIT = 4096
+#: A larger shard is cut again by the bits outside its key, in RADIUS + 1 bands of which a linked pair shares one: before
+#: the shuffle if it has more than a LARGE-th of all entries, else in its task.
+SPLIT, LARGE = 4096, 4096
 QUARTERS = [(a, b) for a in range(4) for b in range(a + 1, 4)]
 
 
@@ -112,33 +113,37 @@ def shard_edges(values: np.ndarray, outside: list[int], radius: int = RADIUS) ->
     return edges
 
 
+def band_bits(pair: int) -> list[list[int]]:
+    """The bits that a shard's key does not fix, in RADIUS + 1 bands of which a linked pair shares one."""
+    outside = [bit for q in range(4) if q not in QUARTERS[pair] for bit in range(16 * q, 16 * q + 16)]
+    return [x.tolist() for x in np.array_split(np.array(outside), RADIUS + 1)]
+
+
 def _link_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (shard, fp) in the order of shard; a shard may span batches."""
+    """Rows (shard, band, value, fp) in the order of shard, band and value to links; a shard may span batches. Band -1 stands for a whole shard."""
 
     def out(edges):
         a = np.array(edges, np.uint64).reshape(-1, 2).view(np.int64)
         return pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1])], ["a", "b"])
 
-    rest_s, rest_v = np.zeros(0, np.int64), np.zeros(0, np.uint64)
-
-    def links(s, v):
-        cuts = np.r_[0, np.flatnonzero(np.diff(s)) + 1, len(s)]
-        edges = []
-        for k in np.flatnonzero(np.diff(cuts) > 1):
-            part = v[cuts[k] : cuts[k + 1]]
-            a, b = QUARTERS[int(s[cuts[k]]) >> 32]
-            edges += shard_edges(part, [bit for q in range(4) if q not in (a, b) for bit in range(16 * q, 16 * q + 16)])
-        return out(edges)
+    def links(key: tuple, parts: list[np.ndarray]) -> list[tuple[int, int]]:
+        values, bands = np.concatenate(parts), band_bits(key[0] >> 32)
+        return shard_edges(values, [bit for k, bits in enumerate(bands) if k != key[1] for bit in bits]) if len(values) > 1 else []
 
+    now, held = None, []
     for batch in batches:
-        s = np.r_[rest_s, batch.column(0).to_numpy()]
-        v = np.r_[rest_v, batch.column(1).to_numpy().view(np.uint64)]
-        if not len(s):
-            continue
-        last = int(np.searchsorted(s, s[-1]))
-        yield links(s[:last], v[:last])
-        rest_s, rest_v = s[last:], v[last:]
-    yield links(rest_s, rest_v)
+        keys = np.stack([batch.column(c).to_numpy() for c in range(3)], axis=1)
+        v = batch.column(3).to_numpy().view(np.uint64)
+        cuts = np.r_[0, np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1, len(v)] if len(v) else [0]
+        edges = []
+        for x, y in zip(cuts[:-1], cuts[1:]):
+            if (key := tuple(keys[x].tolist())) != now:
+                edges += links(now, held) if held else []
+                now, held = key, []
+            held.append(v[x:y])
+        yield out(edges)
+    if held:
+        yield out(links(now, held))
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
@@ -154,11 +159,23 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
 
 
 def linked(fps: DataFrame) -> DataFrame:
-    """Edges (a, b) that connect the distinct fingerprints ``fp`` within ``RADIUS``, as a union of spanning forests."""
+    """Edges (a, b) that connect the distinct fingerprints ``fp`` within ``RADIUS``, as a union of spanning forests.
+
+    A shard with more than SPLIT fingerprints, and more than a LARGE-th of all entries, is dealt by the values of its bands
+    before it is shuffled, so that no task gets it whole; there are fewer than LARGE such shards, whose keys are broadcast.
+    """
     quarter = [F.shiftrightunsigned(F.col("fp"), 16 * q).bitwiseAND(F.lit(0xFFFF)) for q in range(4)]
     keys = [F.lit(k << 32).bitwiseOR(F.shiftleft(quarter[a], 16)).bitwiseOR(quarter[b]) for k, (a, b) in enumerate(QUARTERS)]
     shards = fps.select(F.explode(F.array(*keys)).alias("shard"), "fp")
-    return shards.repartition("shard").sortWithinPartitions("shard").mapInArrow(_link_shards, "a long, b long")
+    most = max(SPLIT, len(QUARTERS) * fps.count() // LARGE)
+    large = F.broadcast(staged(shards.groupBy("shard").count().filter(F.col("count") > most).select("shard"), "large-shards"))
+    whole = shards.join(large, "shard", "left_anti").select("shard", F.lit(-1).cast("long").alias("band"), F.lit(0).cast("long").alias("value"), "fp")
+    masks = [[sum(1 << b for b in bits) for bits in band_bits(k)] for k in range(len(QUARTERS))]
+    signed = F.array(*(F.array(*(F.lit(m - (1 << 64) if m >> 63 else m).cast("long") for m in row)) for row in masks))
+    of = shards.join(large, "shard", "left_semi").withColumn("_m", F.get(signed, F.shiftright("shard", 32).cast("int")))
+    cut = of.select("shard", F.posexplode("_m").alias("band", "_mask"), "fp").select("shard", F.col("band").cast("long").alias("band"), F.col("fp").bitwiseAND(F.col("_mask")).alias("value"), "fp")
+    dealt = whole.union(cut).repartition("shard", "band", "value").sortWithinPartitions("shard", "band", "value")
+    return dealt.mapInArrow(_link_shards, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
@@ -177,11 +194,3 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     of_node = member.join(least, F.col("root") == F.col("_root")).select("node", "component_id")
     class_of = staged(nodes.join(of_node, nodes.fp == of_node.node, "left").select(F.col("fp").alias("_fp"), F.coalesce("component_id", "least").alias("component_id")), "classes")
     return rows.join(class_of, rows.fp == F.col("_fp")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_one_per_component(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is their component's smallest, with all their columns; a null id counts as a copy of nothing and stays."""
-    (key,) = fresh(docs, "_id")
-    kept = near_duplicates(docs, doc_id, text).filter("doc_id = component_id").select(F.col("doc_id").alias(key))
-    alone = docs.filter(F.col(doc_id).isNull())
-    return docs.join(kept, F.col(doc_id) == F.col(key), "left_semi").union(alone)

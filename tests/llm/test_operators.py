@@ -110,6 +110,43 @@ def test_quality_learns_and_is_stable(spark):
     assert len({r.score for r in quality.quality(docs, labels.limit(0)).collect()}) == 1
 
 
+def test_quality_sample_is_whole(spark):
+    """Long texts, ids that the documents lack, nulls, repeats and conflicts."""
+    long = "word " * 40_000
+    docs = spark.createDataFrame([(k, "short text", "x") for k in range(40)] + [(50, long, "x"), (50, long, "x"), (51, None, "x"), (None, "a", "x"), (52, "b", "x"), (52, "a", "x")], "doc_id long, text string, label string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)] + [(k, 1) for k in range(1000, 3000)] + [(3, None), (None, 1), (50, 1), (52, 0)], "doc_id long, quality int")
+    own = lambda k: zlib.crc32(str(k).encode()) % 3 != 1
+    got = {r.id: (r.text, r.label) for r in quality.sample(docs, labels).collect()}
+    want = {k: ("short text", k % 2) for k in range(40)} | {50: (long, 1), 51: ("", 1), 52: ("a", 0)}
+    assert got == {k: v for k, v in want.items() if own(k)}
+    assert quality.sample(docs, labels, rows=10).count() == 10
+    scored = quality.quality(docs.withColumn("score", F.lit(1)).withColumn("held_out", F.lit(1)), labels).collect()
+    assert len(scored) == docs.count() and len({r.score for r in scored if r.doc_id == 50}) == 1
+
+
+def test_quality_contexts_by_brute_force():
+    rng = np.random.default_rng(3)
+    own = rng.integers(-1, 2, (30, quality.WIDTH)).astype(np.int8)
+    rows = [rng.integers(0, 30, n) for n in (0, 1, 2, 3, 400)]
+    want = np.zeros(own.shape, np.int64)
+    for ids in rows:
+        for a in range(len(ids)):
+            for b in range(max(0, a - quality.WINDOW), min(len(ids), a + quality.WINDOW + 1)):
+                want[ids[a]] += own[ids[b]] if a != b else 0
+    assert np.array_equal(quality.contexts(rows, own), want)
+
+
+def test_held_out_accuracy_on_the_tables(spark):
+    """Quality and language of rows that nothing was learned from."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    rows = quality.quality(docs, labels).filter("held_out").join(labels, "doc_id").filter("quality is not null").select("score", "predicted", "quality").collect()
+    good, bad = [r.score for r in rows if r.quality], [r.score for r in rows if not r.quality]
+    above = sum((g > b) + (g == b) / 2 for g in good for b in bad) / (len(good) * len(bad))
+    assert above > 0.97 and sum(r.predicted == r.quality for r in rows) > 0.95 * len(rows)
+    told = langid.languages(docs).filter("held_out and lang_pred <> 'und'").join(docs.select("doc_id", "lang"), "doc_id").filter("lang is not null").collect()
+    assert len(told) > 100 and sum(r.lang_pred == r.lang for r in told) > 0.97 * len(told)
+
+
 def test_lm_base_score_and_proper_model(docs):
     got = lm.score(docs).collect()
     fold = lambda k: zlib.crc32(("" if k is None else str(k)).encode()) % 10
@@ -123,6 +160,30 @@ def test_lm_base_score_and_proper_model(docs):
     assert all(r.score < 0 for r in got) and sum(r.score for r in held) > sum(r.base_score for r in held) * 1.5
 
 
+def test_lm_score_by_brute_force(docs, monkeypatch):
+    """The mixture of the estimates with given weights, from plain counts of tokens and pairs."""
+    weights = np.random.default_rng(5).dirichlet([1, 1, 1], lm.LEVELS)
+    monkeypatch.setattr(lm, "learn_weights", lambda *a: weights)
+    got = lm.score(docs).collect()
+    fold = lambda k: zlib.crc32(("" if k is None else str(k)).encode()) % 10
+    toks = [(k, [*t.encode().translate(simhash.LOWER).split(), b"\0"]) for k, t in pairs(docs)]
+    one, two = Counter(), Counter()
+    for k, ws in toks:
+        if fold(k):
+            one.update(ws)
+            two.update(zip([b"start", *ws], ws))
+    n, v = sum(one.values()), len(one)
+    want = Counter()
+    for k, ws in toks:
+        total = 0.0
+        for before, w in zip([b"start", *ws], ws):
+            seen = one[b"\0" if before == b"start" else before]
+            level = min(int(np.log2(seen)) + 1, lm.LEVELS - 1) if seen else 0
+            total += np.log10(weights[level] @ [1 / (v + 1), one[w] / n, two[before, w] / max(seen, 1)])
+        want[k, round(total, 6)] += 1
+    assert Counter((r.doc_id, round(r.score, 6)) for r in got) == want
+
+
 def test_lm_weights_recover_a_mixture():
     rng = np.random.default_rng(0)
     level, f = np.full(20000, 5), np.array([np.full(20000, 0.001), rng.choice([2.0**-3, 2.0**-8], 20000), rng.choice([0, 2.0**-1], 20000)])
@@ -135,12 +196,26 @@ def test_langid_accuracy(spark):
     rng = random.Random(4)
     bags = {"en": WORDS, "de": "der die und haus grün straße fluss stein licht klein garten".split(), "fr": "le la une maison rivière pierre lumière été petit jardin".split()}
     rows = [(k, " ".join(rng.choice(bags[lang]) for _ in range(30)), lang) for k in range(300) for lang in [list(bags)[k % 3]]]
-    rows += [(700, None, "en"), (701, "123 !?", "en"), (702, "", "de")]
-    got = {r.doc_id: r for r in langid.languages(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
-    assert all(got[k].lang_pred == "und" for k in (700, 701, 702))
+    rows += [(700, None, "en"), (701, "123 !?", "en"), (702, "", "de"), (703, "²½", "en"), (704, "① _ ٣", "en"), (None, "garden water", "en"), (705, "wort " * 30_000, "de"), (705, "wort " * 30_000, "de")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in langid.languages(table.withColumn("score", F.lit(0)).withColumn("id", F.lit(0))).collect()}
+    assert len(got) == len(rows) - 1 and all(got[k].lang_pred == "und" and got[k].score == 0 for k in (700, 701, 702, 703, 704))
     assert all(got[k].lang_pred == lang for k, _, lang in rows[:300]) and all(0 <= r.score <= 1 for r in got.values())
 
 
+def test_langid_learns_every_language(spark):
+    """200 languages; one of them has two long texts, as many slices as those of many short ones."""
+    rng = random.Random(14)
+    name = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    bags = {f"l{k}": [name(6) for _ in range(8)] for k in range(200)}
+    rows = [(10 * k + j, " ".join(rng.choice(bag) for _ in range(40)), lang) for k, (lang, bag) in enumerate(bags.items()) for j in range(6)]
+    rows += [(90_000 + j, "langer " + " ".join(name(7) for _ in range(60_000)), "long") for j in range(9)]
+    model = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert set(model.samples) == {*bags, "long"} and len(model.samples["long"]) > 0.9 * langid.DICTIONARY
+    text = " ".join(bags["l77"] * 5)
+    assert langid.Classifier({k: v for k, v in model.samples.items() if k in ("l76", "l77", "l78", "long")}).predict(text)[0] == "l77"
+
+
 def test_pieces_match_the_library(docs, spark):
     import sentencepiece
 
@@ -261,28 +336,75 @@ def test_merged_transforms_find_the_same():
         assert np.array_equal(a, b)
 
 
-def test_token_counts_after_edits():
-    with open(token_counts.RANKS, "rb") as f:
-        counter = token_counts.Counter(f.read())
+def random_edit(rng, text: str) -> tuple[int, int, str]:
+    a = rng.randint(0, len(text))
+    return a, a + rng.choice([0, 3, 30, 30, 400, 3000]), rng.choice(["", "s", " 's", "  \n", "new text here ", " more" * 300])
+
+
+def consistent(node) -> bool:
+    if node.kids is None:
+        return (node.chars, node.tokens, node.pieces) == (sum(map(int, node.lens)), sum(map(int, node.toks)), len(node.lens)) and len(node.lens) <= 2 * token_counts.LEAF
+    sums = tuple(sum(getattr(k, n) for k in node.kids) for n in ("chars", "tokens", "pieces"))
+    return (node.chars, node.tokens, node.pieces) == sums and 0 < len(node.kids) <= 2 * token_counts.FAN and all(k.up is node and consistent(k) for k in node.kids)
+
+
+def test_token_counts_after_edits(monkeypatch):
+    counter = token_counts.load_counter()
     rng = random.Random(7)
-    for n in range(60):
-        text = "".join(rng.choice(["word ", "it's", "  ", "\n", "12", "é", "!?", "日本", " x"]) for _ in range(rng.randint(0, 400)))
+    for n in range(40):
+        monkeypatch.setattr(token_counts, "LEAF", rng.choice([2, 5, 64]))
+        monkeypatch.setattr(token_counts, "FAN", rng.choice([2, 16]))
+        text = "".join(rng.choice(["word ", "it's", "  ", "\n", "12", "é", "!?", "日本", " x"]) for _ in range(rng.choice([0, 50, 400, 3000])))
         tree = token_counts.CountTree(text, counter)
         for _ in range(8):
-            a = rng.randint(0, len(tree.text))
-            b, new = a + rng.randint(0, 30), rng.choice(["", "s", " 's", "  \n", "new text here "])
+            a, b, new = random_edit(rng, tree.text)
             want = tree.text[:a] + new + tree.text[b:]
             touched = tree.replace(a, b, new)
             fresh = token_counts.CountTree(want, counter)
-            assert (tree.text, tree.total, tree.pieces) == (want, fresh.total, fresh.pieces) and touched <= fresh.pieces
+            assert (tree.text, tree.total, tree.pieces) == (want, fresh.total, fresh.pieces) and consistent(tree.root)
+            # what the edit put in, and a few pre-tokens of context on either side
+            assert touched <= len(counter.pattern.findall(new)) + 8
+            tree = token_counts.unpack(token_counts.pack(tree), counter)
+            assert consistent(tree.root) and tree.total == fresh.total
+
+
+def count_fresh(counter, text: str) -> tuple[int, int]:
+    found = counter.pattern.findall(text)
+    return len(found), sum(len(counter.encode(p)) for p in found)
 
 
 def test_token_counts_query(docs):
-    got = token_counts.edited_counts(docs, edits=0).collect()
-    with open(token_counts.RANKS, "rb") as f:
-        counter = token_counts.Counter(f.read())
-    want = Counter((k, sum(counter.counts([t])) if t else 0) for k, t in pairs(docs))
-    assert Counter((r.doc_id, len(counter.encode("")) + r.n_tokens) for r in got) == want
+    counter = token_counts.load_counter()
+    counter.counts(["a"])
+    got = token_counts.edited_counts(docs).collect()
+    want, most = Counter(), {}
+    for k, t in pairs(docs):
+        new = t
+        for a, b, x in token_counts.sample_edits(str(k), len(t), 3):
+            new = new[: min(a, len(new))] + x + new[max(min(b, len(new)), min(a, len(new))) :]
+        want[k, *count_fresh(counter, t), count_fresh(counter, new)[1], len(new)] += 1
+        most[k] = 3 * 14
+    assert Counter((r.doc_id, r.n_pretokens, r.n_tokens, r.edited_tokens, r.edited_chars) for r in got) == want
+    assert all(0 <= r.n_encoded <= most[r.doc_id] for r in got) and sum(r.n_encoded for r in got) > 0
+
+
+def test_token_counts_take_a_table_of_edits(spark, docs):
+    counter, rng = token_counts.load_counter(), random.Random(13)
+    counter.counts(["a"])
+    rows = [(k % 9, k, *random_edit(rng, "x" * 200)) for k in range(60)] + [(500, 1, -5, 10**9, None), (None, 1, 0, 1, "x"), (9999, 1, 0, 1, "x"), (10, 1, 0, 0, "same id twice ")]
+    edits = spark.createDataFrame(rows, "doc_id long, seq long, start long, stop long, new string").repartition(5)
+    trees = tables.staged(token_counts.build(docs), "trees")
+    after = token_counts.edit(trees, edits).collect()
+    want = Counter()
+    for k, t in pairs(docs):
+        for d, _, a, b, x in rows:
+            if d == k and k is not None:
+                a = min(max(a, 0), len(t))
+                t = t[:a] + (x or "") + t[max(a, min(b, len(t))) :]
+        want[k, *count_fresh(counter, t), len(t)] += 1
+    assert Counter((r.doc_id, r.n_pretokens, r.n_tokens, r.n_chars) for r in after) == want
+    assert all(token_counts.unpack(r.tree, counter).total == r.n_tokens for r in after)
+    assert {r.doc_id for r in after if r.n_encoded} - {500} == {*range(9), 10}  # 500 is emptied, which encodes nothing
 
 
 def brute_components(fps: list[int], ids: list) -> list:
@@ -312,13 +434,12 @@ def test_simhash(docs):
         fps.append(sum(1 << bit for bit in range(64) if 2 * sum(x >> bit & 1 for x in h) > len(h)))
     want = Counter((k, f"{fp:016x}", c) for (k, _), fp, c in zip(rows, fps, brute_components(fps, [k for k, _ in rows])))
     assert Counter(tuple(r) for r in simhash.near_duplicates(docs).collect()) == want
-    kept = simhash.keep_one_per_component(docs)
-    assert kept.columns == docs.columns
 
 
-@pytest.mark.parametrize("split", [4096, 4])
-def test_simhash_links_by_bk_trees(spark, split, monkeypatch):
+@pytest.mark.parametrize(("split", "large"), [(4096, 4096), (4, 1), (4, 1 << 30)])
+def test_simhash_links_by_bk_trees(spark, split, large, monkeypatch):
     monkeypatch.setattr(simhash, "SPLIT", split)
+    monkeypatch.setattr(simhash, "LARGE", large)
     rng = random.Random(8)
     base = [rng.getrandbits(64) for _ in range(20)]
     fps = sorted({b ^ sum(1 << rng.randrange(64) for _ in range(rng.randint(0, 3))) & (1 << 64) - 1 for b in base for _ in range(12)})
@@ -347,8 +468,34 @@ def test_matroska_query(docs):
         assert r.n_bytes >= 0 and r.payload_bytes % matroska.UNIT == 0 and r.payload_bytes > 0
     want = Counter((k, len(b := t.encode()), hashlib.sha256(p := matroska.pad(b)).hexdigest(), zlib.crc32(p[-32:])) for k, t in pairs(docs))
     assert Counter((r.doc_id, r.n_bytes, r.payload_sha256, r.tail_crc32) for r in got) == want
-    table = matroska.packet_table(matroska.media_column(docs.filter("doc_id = 5").limit(1)))
-    assert table.agg(F.sum("n_bytes")).first()[0] % matroska.UNIT == 0
+    media = matroska.media_column(docs).collect()
+    assert Counter((r.doc_id, len(r.media), hashlib.sha256(r.media).hexdigest()) for r in media) == Counter((r.doc_id, r.media_bytes, r.media_sha256) for r in got)
+    shown = Counter()
+    for k, t in pairs(docs):
+        x = list(matroska.pad(t.encode()))
+        packets = len(x) // 576
+        sums = f"sum={sum(x)};square={sum(v * v for v in x)};crossings={sum((a >= 128) != (b >= 128) for a, b in zip(x, x[1:]))}"
+        shown[k, f"codec=A_PCM/INT/LIT;rate=8000;bits=8;packets={packets};clusters={-(-packets // 256)};cues={-(-packets // 256)};last_ms={72 * (packets - 1)};{sums}"] += 1
+    assert Counter((r.doc_id, r.feature) for r in got) == shown
+    table = matroska.packet_table(matroska.media_column(docs.filter("doc_id = 9"))).collect()
+    assert [r.timestamp_ns for r in table] == [72_000_000 * k for k in range(len(table))] and all(r.n_bytes == matroska.UNIT for r in table)
+
+
+def test_rare_digests_are_not_broadcast(docs, monkeypatch):
+    seen, real = {}, exact_dedup.staged
+    monkeypatch.setattr(exact_dedup, "staged", lambda df, name: seen.setdefault(name, real(df, name)))
+    got = exact_dedup.exact_dedup(docs).collect()
+    counts = Counter(t for _, t in pairs(docs))
+    assert seen["winners"].count() == sum(n > 1 for n in counts.values()) and sum(r.kept for r in got) == len(counts)
+
+
+def test_one_of_each_text_stays(docs):
+    kept = exact_dedup.keep_one_of_each(docs)
+    assert kept.columns == docs.columns
+    best = {}
+    for k, t in pairs(docs):
+        best[t] = max(best.get(t, -1), -1 if k is None else k)
+    assert Counter((r.doc_id, r.text or "") for r in kept.select("doc_id", "text").collect()) == Counter((None if k < 0 else k, t) for t, k in best.items())
 
 
 def test_pipeline_stages(spark):
