@@ -7,7 +7,10 @@ estimates: one fold of the training texts ("tuning"). The estimates used for sco
 Documents are bundled into blocks. A block sends its distinct n-grams, as sorted 64-bit hashes with counts, to buckets
 by hash range; a bucket adds the blocks' counts and answers each block in the order it asked in. So what travels is the
 distinct n-grams of a block and not its tokens, counted before the shuffle, and an n-gram that every document has comes
-once from each block. All texts are counted and scored; the tuning statistics are a histogram over fixed grids, the only
+once from each block. As there are as many buckets as blocks, a corpus of more than ``FAN`` blocks asks in two steps: blocks
+send to FAN ranges, where the requests of many blocks are merged into chunks, and the chunks ask the buckets of their
+range; so every exchanged row holds many n-grams, and the rows grow with the distinct n-grams and not with blocks times
+buckets. All texts are counted and scored; the tuning statistics are a histogram over fixed grids, the only
 thing that reaches the driver besides the totals.
 """
 
@@ -18,6 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,8 +36,10 @@ FOLDS, HELD, TUNING = 10, 0, 1
 LEVELS, GRID, FLOOR = 24, 4, 48
 END = xxhash.xxh64_intdigest(b"\x00end")
 START = np.uint64(xxhash.xxh64_intdigest(b"\x00start"))
-#: Parts of a bundle: text that is not learned from, text that is tuned on, the rest of the training text.
-TEST, TUNE, TRAIN = 0, 1, 2
+#: Ranges of hashes that a block asks at most, n-grams of a chunk.
+FAN, CHUNK = 4096, 1 << 20
+#: Parts of a bundle: text that is not learned from, text that is tuned on, the rest of the training text; a chunk has all.
+TEST, TUNE, TRAIN, MIXED = 0, 1, 2, 3
 _R = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
@@ -165,55 +171,120 @@ class Grams:
         self.counts = np.bincount(places.ravel(), minlength=len(self.keys)).astype(np.uint64)
 
 
-def _cuts(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Where each bucket's range of hashes begins in the sorted keys."""
-    edges = np.array([(k << 64) // buckets for k in range(buckets)], np.uint64)
+def _cuts(keys: np.ndarray, first: int, n: int, buckets: int) -> np.ndarray:
+    """Where the range of hashes of each of ``n`` buckets from ``first`` begins in the sorted keys, which lie in them."""
+    edges = np.array([(k << 64) // buckets for k in range(first, first + n)], np.uint64)
     return np.append(np.searchsorted(keys, edges), len(keys))
 
 
+ASKED = "bucket long, block long, part int, keys binary, counts binary, tuned binary"
+
+
+def _asked(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["bucket", "block", "part", "keys", "counts", "tuned"])
+
+
 def _ask(order: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for block, part, blob in zip(*(b.column(k).to_pylist() for k in range(3))):
                 g = Grams(unpack_texts(blob)[1], order)
-                cuts = _cuts(g.keys, buckets)
+                cuts = _cuts(g.keys, 0, buckets, buckets)
                 some = np.flatnonzero(np.diff(cuts))
                 learned = np.zeros_like(g.counts) if part == TEST else g.counts
-                rows = [(int(k), block, part, pack_sorted(g.keys[cuts[k] : cuts[k + 1]]), pack_numbers(learned[cuts[k] : cuts[k + 1]])) for k in some]
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()))], ["bucket", "block", "part", "keys", "counts"])
+                yield _asked([(int(k), block, part, pack_sorted(g.keys[cuts[k] : cuts[k + 1]]), pack_numbers(learned[cuts[k] : cuts[k + 1]]), None) for k in some])
+
+    return run
+
+
+def _merged(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """From requests (bucket, block, part, keys, counts, tuned): the distinct keys, their counts over all and over the tuning
+    texts, and the places of each request's keys."""
+    keys = [unpack_sorted(r[3]) for r in rows]
+    every, flat = unique_places(np.concatenate(keys))
+    total, tuning = np.zeros(len(every), np.uint64), np.zeros(len(every), np.uint64)
+    places = np.split(flat, np.cumsum([len(k) for k in keys])[:-1])
+    for r, p in zip(rows, places):
+        c = unpack_numbers(r[4])
+        total[p] += c
+        if r[5] is not None:
+            tuning[p] += unpack_numbers(r[5])
+        elif r[2] == TUNE:
+            tuning[p] += c
+    return every, total, tuning, places
+
+
+def _chunks(most: int):
+    """Requests in the order of bucket to (chunk, range, keys, counts, tuned, members: list of (block, part, keys)): those of
+    many blocks merged, ``most`` n-grams or a little more at a time."""
+    member = pa.list_(pa.struct([("block", pa.int64()), ("part", pa.int32()), ("keys", pa.binary())]))
+    kinds = {"chunk": pa.int64(), "range": pa.int64(), "keys": pa.binary(), "counts": pa.binary(), "tuned": pa.binary(), "members": member}
+
+    def settle(chunk: int, held: list[tuple]) -> pa.RecordBatch:
+        every, total, tuning, _ = _merged(held)
+        cols = chunk, held[0][0], pack_sorted(every), pack_numbers(total), pack_numbers(tuning), [{"block": r[1], "part": r[2], "keys": r[3]} for r in held]
+        return pa.RecordBatch.from_arrays([pa.array([c], kind) for c, kind in zip(cols, kinds.values())], list(kinds))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, held, size = TaskContext.get().partitionId() * (1 << 24), [], 0
+        for b in batches:
+            for r in zip(*(b.column(k).to_pylist() for k in range(6))):
+                if held and (held[-1][0] != r[0] or size >= most):
+                    yield settle(chunk, held)
+                    chunk, held, size = chunk + 1, [], 0
+                held.append(r)
+                size += len(unpack_sorted(r[3]))
+        if held:
+            yield settle(chunk, held)
 
     return run
 
 
+def _ask_again(ranges: int, each: int):
+    """Chunks to their requests to the ``each`` buckets of their range."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for chunk, at, *packed in zip(*(b.column(k).to_pylist() for k in range(5))):
+                keys, counts, tuned = unpack_sorted(packed[0]), unpack_numbers(packed[1]), unpack_numbers(packed[2])
+                cuts = _cuts(keys, at * each, each, ranges * each)
+                some = np.flatnonzero(np.diff(cuts)).tolist()
+                yield _asked([(at * each + k, chunk, MIXED, *(pack(x[cuts[k] : cuts[k + 1]]) for pack, x in ((pack_sorted, keys), (pack_numbers, counts), (pack_numbers, tuned)))) for k in some])
+
+    return run
+
+
+def _scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(range, keys, members, answers of a chunk) to the answers of its members: (block, bucket, total, tuning)."""
+    for b in batches:
+        for at, packed, members, answers in zip(*(b.column(k).to_pylist() for k in range(4))):
+            keys, answers = unpack_sorted(packed), sorted(answers, key=lambda a: a["bucket"])
+            total, tuning = (np.concatenate([unpack_numbers(a[n]) for a in answers]) for n in ("total", "tuning"))
+            rows = []
+            for m in members:
+                p = np.searchsorted(keys, unpack_sorted(m["keys"]))
+                rows.append((m["block"], at, pack_numbers(total[p]), pack_numbers(tuning[p]) if m["part"] == TUNE else b""))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["block", "bucket", "total", "tuning"])
+
+
 def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows in the order of bucket to (block, bucket, total, tuning, n_words, n_tokens, n_tuning): counts over all training
     texts and over the tuning ones for the block's keys; the last three are the bucket's own totals, on one row of it."""
     held: list[tuple] = []
 
     def settle():
-        keys = [unpack_sorted(r[3]) for r in held]
-        counts = [unpack_numbers(r[4]) for r in held]
-        every, places = unique_places(np.concatenate(keys))
-        total, tuning = np.zeros(len(every), np.uint64), np.zeros(len(every), np.uint64)
-        at = 0
-        for r, k, c in zip(held, keys, counts):
-            p = places[at : at + len(k)]
-            total[p] += c
-            if r[2] == TUNE:
-                tuning[p] += c
-            at += len(k)
+        every, total, tuning, places = _merged(held)
         words = (every & np.uint64(3)) == 1
         own = int(np.count_nonzero(words & (total > 0))), int(total[words].sum()), int(tuning[words].sum())
-        rows, at = [], 0
-        for n, (r, k) in enumerate(zip(held, keys)):
-            p = places[at : at + len(k)]
-            at += len(k)
-            rows.append((r[1], r[0], pack_numbers(total[p]), pack_numbers(tuning[p]) if r[2] == TUNE else b"", *(own if n == 0 else (0, 0, 0))))
+        rows = []
+        for n, (r, p) in enumerate(zip(held, places)):
+            rows.append((r[1], r[0], pack_numbers(total[p]), pack_numbers(tuning[p]) if r[2] in (TUNE, MIXED) else b"", *(own if n == 0 else (0, 0, 0))))
         kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["block", "bucket", "total", "tuning", "n_words", "n_tokens", "n_tuning"])
 
     for b in batches:
-        for r in zip(*(b.column(k).to_pylist() for k in range(5))):
+        for r in zip(*(b.column(k).to_pylist() for k in range(6))):
             if held and held[-1][0] != r[0]:
                 yield settle()
                 held = []
@@ -282,10 +353,19 @@ def score(docs: DataFrame, order: int = ORDER, doc_id: str = "doc_id", text: str
     part = F.when(fold == HELD, TEST).when(fold == TUNING, TUNE).otherwise(TRAIN)
     blocks = staged(bundle(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), part.alias("_part")), SIZE, "_part"), "blocks")
     buckets = max(1, blocks.count())
-    asked = blocks.mapInArrow(_ask(order, buckets), "bucket long, block long, part int, keys binary, counts binary")
+    ranges, each = (buckets, 1) if buckets <= FAN else (FAN, -(-buckets // FAN))
+    asked = blocks.mapInArrow(_ask(order, ranges), ASKED)
+    if each > 1:
+        merged = asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_chunks(CHUNK), "chunk long, range long, keys binary, counts binary, tuned binary, members array<struct<block: long, part: int, keys: binary>>")
+        chunks = staged(merged, "chunks")
+        asked = chunks.select("chunk", "range", "keys", "counts", "tuned").mapInArrow(_ask_again(ranges, each), ASKED)
     answers = asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_answer, "block long, bucket long, total binary, tuning binary, n_words long, n_tokens long, n_tuning long")
     answers = staged(answers, "answers")
     n_words, n_tokens, n_tuning = (int(x or 0) for x in answers.agg(F.sum("n_words"), F.sum("n_tokens"), F.sum("n_tuning")).first())
+    if each > 1:
+        of_chunk = answers.groupBy("block").agg(F.collect_list(F.struct("bucket", "total", "tuning")).alias("answers"))
+        back = chunks.join(of_chunk, F.col("chunk") == F.col("block")).select("range", "keys", "members", "answers")
+        answers = staged(back.mapInArrow(_scatter, "block long, bucket long, total binary, tuning binary"), "scattered")
     by_block = answers.groupBy(F.col("block").alias("_block")).agg(F.collect_list(F.struct("bucket", "total", "tuning")).alias("answers"))
     answered = blocks.join(by_block, F.col("block") == F.col("_block")).select("block", "part", "blob", "answers")
 

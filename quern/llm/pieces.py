@@ -19,8 +19,9 @@ other, and each different word is encoded once:
    joined there and decoded again to prove the round trip.
 
 Characters without a piece become byte pieces (or the unknown id). Words over ``LONG`` characters are encoded within
-their task by the same rule with a heap, as the fold's cost grows with the square of a word's length; so are fields of a
-block whose answer does not fit, which can only happen if a re-read dealt the rows to tasks in another way.
+their task by the same rule with a heap, as the fold's cost grows with the square of a word's length. The documents are
+read twice, for the requests and for the answers, and must be dealt to tasks alike both times, as a written table is; a
+block whose answers do not fit its fields is an error.
 """
 
 from __future__ import annotations
@@ -430,12 +431,8 @@ def _join(table: Pieces, split: _Splitter, want_ids: bool):
                             coded[f] = data[4 * x : 4 * y]
                             if (back := b"".join(seen[x:y])) != blank + f or blank in f:
                                 other[f] = back.replace(blank, b" ")
-                for f in every:
-                    if f not in coded:
-                        found = [k for w in split.words(f) for k in table.encode_word(w)]
-                        coded[f] = np.array(found, "<u4").tobytes()
-                        if (back := b"".join([surfaces[k] for k in found])) != blank + f or blank in f:
-                            other[f] = back.replace(blank, b" ")
+                    else:
+                        raise RuntimeError("the documents were dealt to tasks in another way when they were read again: write them first")
                 every = set()
                 at = 0
                 while at < len(texts):  # rows of bounded size
