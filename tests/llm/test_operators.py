@@ -520,6 +520,25 @@ def test_pipeline_stages(spark):
     assert out.filter("not round_trip").count() == 0 and out.join(before, "doc_id", "left_anti").count() == 0
 
 
+def test_pipeline_stages_on_odd_tables(spark, docs, empty, tmp_path):
+    """Nulls, empty and repeated texts, clashing columns; and nothing at all."""
+    import corpus_pipeline
+
+    spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, quality int").write.parquet(f"file://{tmp_path}/labels.parquet")
+    odd = docs.select("*", *(F.lit(1).alias(n) for n in ("_key", "_mark", "_row", "_score", "_source", "_rate", "_copy", "score", "node", "bucket")))
+    scores_ = quality.quality(odd, spark.read.parquet(f"file://{tmp_path}/labels.parquet")).filter("score >= 0.5")
+    kept = corpus_pipeline.keep_good(spark, odd, f"file://{tmp_path}")
+    assert kept.columns == odd.columns and Counter(r.doc_id for r in kept.select("doc_id").collect()) == Counter(r.doc_id for r in scores_.collect())
+    mixed = corpus_pipeline.mix(spark, odd, "")
+    copies = Counter()
+    for r in mixing.mix(odd).collect():
+        copies[r.doc_id] += r.copies
+    assert mixed.columns == odd.columns and Counter(r.doc_id for r in mixed.select("doc_id").collect()) == +copies
+    assert corpus_pipeline.drop_copies(spark, odd, "").columns == corpus_pipeline.drop_near_copies(spark, odd, "").columns == odd.columns
+    assert corpus_pipeline.encode(spark, odd, "").count() == odd.count()
+    assert all(stage(spark, empty, f"file://{tmp_path}").isEmpty() for _, stage in corpus_pipeline.STAGES)
+
+
 def near_texts() -> list[str]:
     """Texts with one to fifteen changed words, a chain of small changes, and a passage that many texts share."""
     rng = random.Random(12)
@@ -542,11 +561,12 @@ def near_texts() -> list[str]:
     return [" ".join(w) for w in own] + ["one two", "ONE  two", "", "  "]
 
 
-@pytest.mark.parametrize("pivots", [3, 0])
-def test_pipeline_near_copies(spark, pivots, monkeypatch):
+@pytest.mark.parametrize(("pivots", "small"), [(3, 64), (0, 6)])
+def test_pipeline_near_copies(spark, pivots, small, monkeypatch):
     import corpus_pipeline
 
     monkeypatch.setattr(near_copies, "PIVOTS", pivots)
+    monkeypatch.setattr(near_copies, "SMALL", small)
     texts_ = near_texts()
     rows = [(k, t) for k, t in enumerate(texts_)] + [(None, texts_[0]), (None, "an id of its own is missing here"), (3, "shares the id of another text"), (3, texts_[60]), (3, texts_[3])]
     random.Random(3).shuffle(rows)
