@@ -365,7 +365,7 @@ def _(spark, d):
     return changes.differences(log, log.filter("event_id % 97 <> 0"), "millis div 86400000", "event_id", "uid", "field")[0].select("event_id")
 
 
-query("history_range", "SELECT event_id, user_id AS uid FROM events WHERE (epoch_ms(ts), event_id) >= (1704500000000, 17) AND (epoch_ms(ts), event_id) <= (1704900000000, 4)")(lambda spark, d: changes.history(_log(spark, d), (1704500000000, 0, 17), (1704900000000, 0, 4)).select("event_id", "uid"))
+query("history_range", "SELECT event_id, user_id AS uid FROM events WHERE epoch_ms(ts) * 1000000 + event_id BETWEEN 1704500000000000017 AND 1704900000000000004")(lambda spark, d: changes.history(_log(spark, d), (1704500000000, 0, 17), (1704900000000, 0, 4)).select("event_id", "uid"))
 
 
 @query("anti_entropy_repair", "SELECT event_id, user_id AS uid, n FROM events, (SELECT unnest([1, 2])::INTEGER AS n) WHERE event_id % (89 * 97) <> 0")
@@ -469,7 +469,7 @@ def _(spark, d):
     return df.select("id", "c_name", F.col("nation.n_name").alias("n_name"), F.col("nation.region.r_name").alias("r_name"))
 
 
-_FUSED = """WITH a AS (%s SELECT uid, row_number() OVER (ORDER BY score DESC, uid) AS k FROM r WHERE uid IN (SELECT vec_id FROM embeddings WHERE label = 1)), b AS (SELECT vec_id AS uid, row_number() OVER (ORDER BY %s, vec_id) AS k FROM embeddings WHERE label = 1)
+_FUSED = """WITH a AS (%s SELECT uid, row_number() OVER (ORDER BY score DESC, uid) AS k FROM r WHERE uid IN (SELECT vec_id FROM embeddings WHERE label = 1)), b AS (SELECT vec_id AS uid, row_number() OVER (ORDER BY %s, vec_id) AS k FROM embeddings WHERE label = 1 AND vec_id IN (SELECT doc_id FROM documents))
 SELECT coalesce(a.uid, b.uid) AS uid, round(coalesce(1.0::DOUBLE / (60 + a.k), 0) + coalesce(1.0::DOUBLE / (60 + b.k), 0), 8) AS score FROM a FULL JOIN b ON a.uid = b.uid ORDER BY coalesce(1.0::DOUBLE / (60 + a.k), 0) + coalesce(1.0::DOUBLE / (60 + b.k), 0) DESC, 1 LIMIT 10 OFFSET 5"""
 
 
