@@ -41,8 +41,6 @@ from quern.llm.tables import split_join, staged, text_or_empty
 
 #: A gram with more different spans is compared by counting window digests across tasks, others within one task.
 GROUP = 256
-#: Windows that are settled together in frequent grams.
-BLOCK = 16
 _TABLE = np.random.default_rng(400).integers(0, 1 << 64, 256, np.uint64)
 _R = 0x9E3779B97F4A7C15
 
@@ -50,13 +48,14 @@ _R = 0x9E3779B97F4A7C15
 @dataclass(frozen=True)
 class Unit:
     """What strings consist of: ``length`` symbols in a string, ``gram`` (a power of two) in an anchor, ``width`` bytes in
-    a symbol, ``part`` symbols hashed at once (longer texts are cut with an overlap of length - 1). ``across`` counts only
-    strings that another document has too; without it the same document's other places count as well."""
+    a symbol, ``part`` symbols hashed at once (longer texts are cut with an overlap of length - 1), ``block`` windows that are
+    settled together in frequent grams. ``across`` counts only strings that another document has too; without it the same document's other places count as well."""
 
     length: int
     gram: int
     width: int
     part: int
+    block: int
     across: bool
 
     def symbols(self, text: bytes) -> bytes:
@@ -75,8 +74,8 @@ class Unit:
         return self.length if self.width == 1 else 2 * self.length - 1
 
 
-BYTES = Unit(400, 128, 1, 1 << 19, False)
-WORDS = Unit(50, 16, 8, 1 << 17, True)
+BYTES = Unit(400, 128, 1, 1 << 19, 16, False)
+WORDS = Unit(50, 16, 8, 1 << 17, 4, True)
 
 
 def gram_hashes(h: np.ndarray, gram: int) -> np.ndarray:
@@ -202,12 +201,12 @@ def _contexts(units: list[Unit]):
 def _blocks(unit: Unit):
     """Spans with their symbols to one row per block of windows: doc_id, t, pos, block, single, c1, c2, u1, u2.
 
-    Blocks take BLOCK windows each by their distance to the anchor, so that equal windows of two spans are in blocks of the
+    Blocks take ``block`` windows each by their distance to the anchor, so that equal windows of two spans are in blocks of the
     same number. ``block`` is the block's first window and size, coded as ``pos`` is; c is the digest of the symbols that
     all its windows share, u of those that any covers, null for a block that the span cuts.
     """
     names = ["doc_id", "t", "pos", "block", "single", "c1", "c2", "u1", "u2"]
-    length = unit.length
+    length, block = unit.length, unit.block
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -215,11 +214,11 @@ def _blocks(unit: Unit):
             for doc, t, pos, gram, single, _, data in zip(*(b.column(k).to_pylist() for k in range(7))):
                 n = (pos & 511) + 1
                 at = int(np.argmax(gram_hashes(unit.hashes(data), unit.gram).view(np.int64) == gram))
-                for q in range((at - n + 1) // BLOCK, at // BLOCK + 1):
-                    core = at - BLOCK * q  # the last window of the whole block starts here
-                    low, high = max(0, core - BLOCK + 1), min(n - 1, core)
-                    (c,) = unit.digests(data, [core], [core - BLOCK + 1 + length])
-                    u = unit.digests(data, [low], [high + length])[0] if high - low + 1 == BLOCK else None
+                for q in range((at - n + 1) // block, at // block + 1):
+                    core = at - block * q  # the last window of the whole block starts here
+                    low, high = max(0, core - block + 1), min(n - 1, core)
+                    (c,) = unit.digests(data, [core], [core - block + 1 + length])
+                    u = unit.digests(data, [low], [high + length])[0] if high - low + 1 == block else None
                     out.append((doc, t, pos, ((pos >> 9) + low) * 512 + high - low, single, c, u))
             cut = lambda k, side: [None if r[k] is None else int.from_bytes(r[k][8 * side : 8 * side + 8], "little", signed=True) for r in out]
             cols = [[r[k] for r in out] for k in range(5)] + [cut(5, 0), cut(5, 1), cut(6, 0), cut(6, 1)]
