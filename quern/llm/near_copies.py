@@ -1,7 +1,9 @@
-"""Near copies by the Jaccard similarity of word shingles: MinHash bands propose pairs, exact sets decide them.
+"""Near copies by the Jaccard similarity of word shingles: SimHash fingerprints and MinHash bands propose pairs, exact sets decide them.
 
 Texts whose sets of ``WIDTH``-word shingles have a similarity of ``SIMILARITY`` or more are linked. Every distinct set is
-a node and falls into ``BANDS`` buckets, each keyed by ``DEPTH`` minima of hashes; a pair at the threshold misses all of
+a node with a SimHash fingerprint. First the BK-trees of :mod:`quern.llm.simhash` link the fingerprints within its radius,
+and the links whose sets are similar are kept. That radius is reached by few of the pairs at the threshold, and a forest
+names only some of the pairs within it, so bands propose the others: every node falls into ``BANDS`` buckets, each keyed by ``DEPTH`` minima of hashes; a pair at the threshold misses all of
 them with probability (1 - 0.8 ** 5) ** 32, three in a million, and a closer pair less often. No proposed pair is taken
 for linked or left out unseen: each is either compared exactly, or lies in one component already, or cannot be similar.
 So that a large group of copies does not cost all its pairs, a bucket's nodes are compared with one pivot first,
@@ -18,6 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm import simhash
 from quern.llm.components import components
 from quern.llm.simhash import shingle_hashes
 from quern.llm.tables import fresh, split_join, staged, text_or_empty
@@ -63,7 +66,8 @@ def _sketch(batches):
         keys = [bands(s) for s in sets]
         flat = np.array([k for ks in keys for k in ks], np.uint64).view(np.int64)
         cuts = np.r_[0, np.cumsum([len(ks) for ks in keys], dtype=np.int64)].astype(np.int32)
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(node), pa.ListArray.from_arrays(pa.array(cuts), pa.array(flat))], ["row", "doc_id", "node", "bands"])
+        fp = np.array([simhash.majority(s) for s in sets], np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(node), pa.array(fp), pa.ListArray.from_arrays(pa.array(cuts), pa.array(flat))], ["row", "doc_id", "node", "fp", "bands"])
 
 
 def _sets(batches):
@@ -120,18 +124,34 @@ def _ordered(a: str, b: str) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
+def by_fingerprint(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes of ``rows`` (node, fp, bands) that connect all whose fingerprints are linked by BK-trees: the
+    edges of their forests, from the least node of each fingerprint, which the others of that fingerprint are paired with.
+    A set without shingles has no pair."""
+    nodes = staged(rows.filter(F.size("bands") > 0).select("node", "fp").distinct(), "node-fingerprints")
+    least = staged(nodes.groupBy("fp").agg(F.min("node").alias("least")), "fingerprints")
+    of = [least.select(F.col("fp").alias(f"_{n}"), F.col("least").alias(f"of_{n}")) for n in "ab"]
+    links = staged(simhash.linked(least.select("fp")).distinct(), "fingerprint-links")
+    trees = links.join(of[0], F.col("a") == F.col("_a")).join(of[1], F.col("b") == F.col("_b")).select(*_ordered("of_a", "of_b"))
+    equal = nodes.join(least.withColumnRenamed("fp", "_fp"), F.col("fp") == F.col("_fp")).filter("node <> least").select(*_ordered("node", "least"))
+    return trees.union(equal)
+
+
 def groups(docs: DataFrame, rows: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(node, root) for every node of ``rows`` that has a link."""
+    near = staged(by_fingerprint(rows), "near-fingerprints")
     buckets = rows.select(F.explode("bands").alias("bucket"), "node")
     shared = buckets.groupBy("bucket").agg(F.min("node").alias("_least"), F.max("node").alias("_most")).filter("_least <> _most").select("bucket")
     members = staged(buckets.join(shared, "bucket", "left_semi").distinct(), "buckets")
     sizes = staged(members.groupBy("bucket").agg(F.count("*").alias("_n")), "bucket-sizes")
     weights = staged(members.join(sizes, "bucket").groupBy("node").agg(F.sum("_n").alias("weight")), "weights")
     members = staged(members.join(weights, "node"), "members")
-    of_node = rows.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("row").alias("row"))
+    asked = members.select("node").union(near.select("a")).union(near.select("b")).distinct()
+    of_node = rows.join(asked, "node", "left_semi").groupBy("node").agg(F.min("row").alias("row"))
     texts = docs.select(row_key(doc_id, text).alias("row"), F.col(text).alias("text")).join(staged(of_node, "of-node"), "row")
     sets = staged(texts.select("node", "text").mapInArrow(_sets, "node long, shingles binary").dropDuplicates(["node"]), "sets")
-    edges, roots = members.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0), members.select("node", F.col("node").alias("root")).limit(0)
+    edges = staged(linked(near, sets), "links")
+    roots = staged(components(edges), "roots")
     for k in range(PIVOTS + 1):
         named = members.join(roots.select(F.col("node").alias("_node"), "root"), F.col("node") == F.col("_node"), "left").select("bucket", "node", "weight", F.coalesce("root", "node").alias("root"))
         named = staged(named, "named")
@@ -158,7 +178,7 @@ def keep_one_of_each_group(docs: DataFrame, doc_id: str = "doc_id", text: str =
     texts of any length are compared whole.
     """
     rows = docs.select(row_key(doc_id, text).alias("row"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    rows = staged(rows.mapInArrow(_sketch, "row binary, doc_id long, node long, bands array<long>"), "sketches")
+    rows = staged(rows.mapInArrow(_sketch, "row binary, doc_id long, node long, fp long, bands array<long>"), "sketches")
     roots = groups(docs, rows, doc_id, text).select(F.col("node").alias("_node"), "root")
     of_row = rows.join(roots, F.col("node") == F.col("_node"), "left").select("row", "doc_id", F.coalesce("root", "node").alias("root"))
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first")

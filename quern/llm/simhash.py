@@ -39,15 +39,19 @@ def shingle_hashes(data: bytes, width: int = WIDTH) -> np.ndarray:
     return np.fromiter((digest(join(s), 42) for s in zip(*(words[i:] for i in range(width)))), np.uint64, len(words) - width + 1)
 
 
-def fingerprint(data: bytes, width: int = WIDTH) -> int:
-    """A bit is 1 if it is set in over half of the shingles' hashes; no words: 0."""
-    h = shingle_hashes(data, width)
+def majority(h: np.ndarray) -> int:
+    """A bit is 1 if it is set in over half of the hashes; without any: 0."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(h), 1 << 16):  # bounded memory for very long texts
         ones += np.unpackbits(h[at : at + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * ones > len(h)).tobytes(), "big")
 
 
+def fingerprint(data: bytes, width: int = WIDTH) -> int:
+    """A bit is 1 if it is set in over half of the shingles' hashes; no words: 0."""
+    return majority(shingle_hashes(data, width))
+
+
 class BKTree:
     """Distinct 64-bit values; children are keyed by their Hamming distance to the parent."""
 

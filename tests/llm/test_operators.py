@@ -576,6 +576,38 @@ def near_texts() -> list[str]:
     return [" ".join(w) for w in own] + ["one two", "ONE  two", "", "  "]
 
 
+def test_pipeline_near_copies_go_through_fingerprints(spark, monkeypatch):
+    """The stage links SimHash fingerprints by BK-trees: its proposals connect just what brute force over 2 bits connects."""
+    import corpus_pipeline
+
+    texts_ = [f"{t} {tail}".strip() for t in near_texts() for tail in ("", "end")]
+    rows = spark.createDataFrame(list(enumerate(texts_)), "doc_id long, text string")
+    seen, found = [], near_copies.by_fingerprint
+    monkeypatch.setattr(near_copies, "by_fingerprint", lambda rows: seen.append((rows, found(rows))) or seen[0][1])
+    kept = corpus_pipeline.drop_near_copies(spark, rows, "").count()
+    (sketches, proposed), sets = seen[0], {t: near_copies.shingle_set(t.encode()) for t in texts_}
+    of = {r.doc_id: r.node for r in sketches.collect()}
+    prints = {of[k]: simhash.majority(sets[t]) for k, t in enumerate(texts_) if len(sets[t])}
+    assert {r.node: r.fp % (1 << 64) for r in sketches.collect() if r.bands} == prints
+    got = {(r.a, r.b) for r in proposed.collect()}
+    assert all((prints[a] ^ prints[b]).bit_count() <= 2 for a, b in got)
+
+    def classes(edges):
+        up = {n: n for n in prints}
+
+        def root(k):
+            while up[k] != k:
+                k = up[k]
+            return k
+
+        for a, b in edges:
+            up[root(a)] = root(b)
+        return {frozenset(m for m in prints if root(m) == r) for r in map(root, prints)}
+
+    want = {(a, b) for a in prints for b in prints if a < b and (prints[a] ^ prints[b]).bit_count() <= 2}
+    assert classes(got) == classes(want) and len(want) > 30 and kept < len(texts_) - 60
+
+
 @pytest.mark.parametrize("pivots", [2, 0])
 def test_pipeline_near_copies(spark, pivots, monkeypatch):
     import corpus_pipeline
