@@ -9,8 +9,8 @@ windows mostly share their anchor; such a run of windows with the bytes that it
    whole: all their windows occur elsewhere.
 3. Where a gram belongs to several different spans, windows can still agree, which happens at the ends of repeated
    passages. The windows of a gram's different spans are compared in one task, which gets at most GROUP spans with their
-   bytes. For a more frequent gram the digests of blocks of windows are counted across tasks, and windows one by one only
-   in blocks that this leaves open.
+   bytes. For a more frequent gram the digests of blocks of windows are counted across tasks; blocks that this leaves open
+   are cut into quarters, down to single windows.
 4. The covered bytes are removed; texts travel compressed and only for steps 3 and 4.
 
 The same steps over words instead of bytes (each a 64-bit hash) find passages: words in a string of 50 words that another
@@ -48,8 +48,8 @@ _R = 0x9E3779B97F4A7C15
 @dataclass(frozen=True)
 class Unit:
     """What strings consist of: ``length`` symbols in a string, ``gram`` (a power of two) in an anchor, ``width`` bytes in
-    a symbol, ``part`` symbols hashed at once (longer texts are cut with an overlap of length - 1), ``block`` windows that are
-    settled together in frequent grams. ``across`` counts only strings that another document has too; without it the same document's other places count as well."""
+    a symbol, ``part`` symbols hashed at once (longer texts are cut with an overlap of length - 1), ``block`` (a power of four) windows
+    that are settled together at first in frequent grams. ``across`` counts only strings that another document has too; without it the same document's other places count as well."""
 
     length: int
     gram: int
@@ -68,6 +68,11 @@ class Unit:
         digest, w = xxhash.xxh3_128_digest, self.width
         return [digest(symbols[w * a : w * b]) for a, b in zip(starts, ends)]
 
+    @property
+    def sizes(self) -> list[int]:
+        """Windows in a block: ``block``, then always a quarter, down to one."""
+        return [self.block >> k for k in range(0, self.block.bit_length(), 2)]
+
     @property
     def least_bytes(self) -> int:
         """A shorter text has no string."""
@@ -198,28 +203,31 @@ def _contexts(units: list[Unit]):
     return run
 
 
-def _blocks(unit: Unit):
-    """Spans with their symbols to one row per block of windows: doc_id, t, pos, block, single, c1, c2, u1, u2.
+def _blocks(unit: Unit, size: int):
+    """Spans with their symbols and the blocks to cut (null: all windows) to one row per block of ``size`` windows: doc_id, t,
+    pos, block, single, c1, c2, u1, u2.
 
-    Blocks take ``block`` windows each by their distance to the anchor, so that equal windows of two spans are in blocks of the
-    same number. ``block`` is the block's first window and size, coded as ``pos`` is; c is the digest of the symbols that
-    all its windows share, u of those that any covers, null for a block that the span cuts.
+    Blocks take ``size`` windows each by their distance to the anchor, so that equal windows of two spans are in blocks of the
+    same number, and smaller blocks lie inside larger ones. ``block`` is the block's first window and size, coded as ``pos``
+    is; c is the digest of the symbols that all its windows share, u of those that any covers, null for a block that the span cuts.
     """
     names = ["doc_id", "t", "pos", "block", "single", "c1", "c2", "u1", "u2"]
-    length, block = unit.length, unit.block
+    length = unit.length
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for doc, t, pos, gram, single, _, data in zip(*(b.column(k).to_pylist() for k in range(7))):
-                n = (pos & 511) + 1
+            for doc, t, pos, gram, single, data, inside in zip(*(b.column(k).to_pylist() for k in range(7))):
+                n, first = (pos & 511) + 1, pos >> 9
                 at = int(np.argmax(gram_hashes(unit.hashes(data), unit.gram).view(np.int64) == gram))
-                for q in range((at - n + 1) // block, at // block + 1):
-                    core = at - block * q  # the last window of the whole block starts here
-                    low, high = max(0, core - block + 1), min(n - 1, core)
-                    (c,) = unit.digests(data, [core], [core - block + 1 + length])
-                    u = unit.digests(data, [low], [high + length])[0] if high - low + 1 == block else None
-                    out.append((doc, t, pos, ((pos >> 9) + low) * 512 + high - low, single, c, u))
+                for x in [pos] if inside is None else inside:
+                    start = (x >> 9) - first
+                    for q in range((at - start - (x & 511)) // size, (at - start) // size + 1):
+                        core = at - size * q  # the last window of the whole block starts here
+                        low, high = max(0, core - size + 1), min(n - 1, core)
+                        (c,) = unit.digests(data, [core], [core - size + 1 + length])
+                        u = (unit.digests(data, [low], [high + length])[0] if size > 1 else c) if high - low + 1 == size else None
+                        out.append((doc, t, pos, (first + low) * 512 + high - low, single, c, u))
             cut = lambda k, side: [None if r[k] is None else int.from_bytes(r[k][8 * side : 8 * side + 8], "little", signed=True) for r in out]
             cols = [[r[k] for r in out] for k in range(5)] + [cut(5, 0), cut(5, 1), cut(6, 0), cut(6, 1)]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.bool_() if k == 4 else pa.int64()) for k, c in enumerate(cols)], names)
@@ -227,21 +235,6 @@ def _blocks(unit: Unit):
     return run
 
 
-def _windows(unit: Unit):
-    """Spans with their symbols and a list of blocks to one row per window of those: doc_id, t, pos, single, w1, w2."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for doc, t, pos, single, data, blocks in zip(*(b.column(k).to_pylist() for k in range(6))):
-                at = np.concatenate([np.arange(x >> 9, (x >> 9) + (x & 511) + 1) for x in blocks])
-                own = (at - (pos >> 9)).tolist()
-                w = np.frombuffer(b"".join(unit.digests(data, own, [k + unit.length for k in own])), "<i8").reshape(-1, 2)
-                n = len(at)
-                yield pa.RecordBatch.from_arrays([pa.array([doc] * n, pa.int64()), pa.array([t] * n, pa.int64()), pa.array(at * 512), pa.array([single] * n), pa.array(np.ascontiguousarray(w[:, 0])), pa.array(np.ascontiguousarray(w[:, 1]))], ["doc_id", "t", "pos", "single", "w1", "w2"])
-
-    return run
-
-
 def _compare(unit: Unit):
     """Spans in the order of gram, at most GROUP of each, to the runs of windows that another span of the gram has too: doc_id, t, pos."""
 
@@ -331,22 +324,38 @@ def _several(rows: DataFrame, keys: tuple[str, ...], across: bool) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count("*").alias("count"), F.min(d).alias("a"), F.max(d).alias("b")).filter("a <> b")
 
 
+def _places(whole: DataFrame, keys: tuple[str, ...], across: bool) -> DataFrame:
+    """Of the rows that are equal in ``keys`` and at several places one row, or two in different documents (a and b)."""
+    ends, own = (whole.filter(F.xxhash64("doc_id", "t").isin(F.col("a"), F.col("b"))), ["doc_id", "t"]) if across else (whole, [])
+    rest = [c for c in whole.columns if c not in (*keys, *own, "a", "b")]
+    one = ends.groupBy(*keys, *own).agg(F.first(F.struct(*rest)).alias("_x"))
+    return one.select(*keys, *own, *(F.col(f"_x.{c}").alias(c) for c in rest))
+
+
 def _frequent(hot: DataFrame, unit: Unit) -> DataFrame:
     """(doc_id, t, pos): windows of frequent grams' spans that another span has too. Whole blocks are settled by their
     digests: repeated if what they cover is, single if what their windows share is. Only blocks whose shared bytes also
-    occur where a block is not settled list their windows."""
-    blocks = staged(hot.mapInArrow(_blocks(unit), "doc_id long, t long, pos long, block long, single boolean, c1 long, c2 long, u1 long, u2 long"), "span-blocks")
-    covers = staged(_several(blocks.filter("u1 is not null"), ("u1", "u2"), unit.across), "block-covers").withColumn("whole", F.lit(True))
-    blocks = split_join(blocks, covers, ["u1", "u2"], "left").select("doc_id", "t", "pos", "block", "single", "c1", "c2", F.coalesce("whole", F.lit(False)).alias("whole"))
-    blocks = staged(blocks, "span-blocks")
-    open_ = blocks.groupBy("c1", "c2").agg(F.sum((~F.col("whole")).cast("int")).alias("open")).filter("open > 0")
-    cores = staged(_several(blocks, ("c1", "c2"), unit.across).join(open_, ["c1", "c2"], "left_semi"), "block-cores")
-    listed = staged(split_join(blocks, cores, ["c1", "c2"]).groupBy("doc_id", "t", "pos").agg(F.collect_set("block").alias("blocks")), "open-blocks")
-    pairs = hot.join(listed, _same(hot, listed) & (hot.pos == listed.pos)).select(hot.doc_id, hot.t, hot.pos, "single", "bytes", "blocks")
-    windows = staged(pairs.mapInArrow(_windows(unit), "doc_id long, t long, pos long, single boolean, w1 long, w2 long"), "windows")
-    twice = staged(_several(windows, ("w1", "w2"), unit.across), "twice")
-    single = split_join(windows, twice, ["w1", "w2"]).filter("single").select("doc_id", "t", "pos")
-    return single.union(blocks.filter("whole and single").select("doc_id", "t", F.col("block").alias("pos")))
+    occur where a block is not settled are cut into smaller ones, down to single windows; of equal blocks that are repeated
+    as a whole, one place (two in different documents) goes along to be compared with."""
+    found, spans_ = [], hot.select("doc_id", "t", "pos", "gram", "single", "bytes")
+    cut = spans_.withColumn("blocks", F.lit(None).cast("array<long>"))
+    for size in unit.sizes:
+        blocks = staged(cut.mapInArrow(_blocks(unit, size), "doc_id long, t long, pos long, block long, single boolean, c1 long, c2 long, u1 long, u2 long"), "span-blocks")
+        covers = staged(_several(blocks.filter("u1 is not null"), ("u1", "u2"), unit.across), "block-covers")
+        if size == 1:
+            found.append(split_join(blocks, covers, ["u1", "u2"]).filter("single").select("doc_id", "t", F.col("block").alias("pos")))
+            break
+        blocks = split_join(blocks, covers.withColumn("whole", F.lit(True)), ["u1", "u2"], "left").drop("count").withColumn("whole", F.coalesce("whole", F.lit(False)))
+        blocks = staged(blocks, "told-blocks")
+        found.append(blocks.filter("whole and single").select("doc_id", "t", F.col("block").alias("pos")))
+        names = ["doc_id", "t", "pos", "block", "c1", "c2", "whole"]
+        left = blocks.filter("not whole").select(*names).union(_places(blocks.filter("whole").drop("single"), ("u1", "u2"), unit.across).select(*names))
+        left = staged(left, "left-blocks")
+        open_ = left.groupBy("c1", "c2").agg(F.sum((~F.col("whole")).cast("int")).alias("open")).filter("open > 0")
+        cores = staged(_several(left, ("c1", "c2"), unit.across).join(open_, ["c1", "c2"], "left_semi"), "block-cores")
+        listed = staged(split_join(left, cores, ["c1", "c2"]).groupBy("doc_id", "t", "pos").agg(F.collect_set("block").alias("blocks")), "open-blocks")
+        cut = spans_.join(listed, _same(spans_, listed) & (spans_.pos == listed.pos)).select(*(spans_[c] for c in spans_.columns), "blocks")
+    return reduce(lambda a, b: a.union(b), found)
 
 
 def _open(pairs: DataFrame, unit: Unit) -> tuple[DataFrame, DataFrame]:
@@ -359,8 +368,7 @@ def _open(pairs: DataFrame, unit: Unit) -> tuple[DataFrame, DataFrame]:
     rows = staged(split_join(rows, digests, ["h1", "h2"], "left").withColumn("whole", F.coalesce("whole", F.lit(False))).drop("count"), "told")
     whole, single = rows.filter("whole"), rows.filter("not whole")
     # one of the places of each repeated span, or two in different documents, to be compared with the spans that share its gram
-    ends, own = (whole.filter(F.xxhash64("doc_id", "t").isin(F.col("a"), F.col("b"))), ["doc_id", "t"]) if unit.across else (whole, [])
-    one = ends.groupBy("h1", "h2", *own).agg(*(F.first(c).alias(c) for c in ("doc_id", "t", "pos", "gram") if c not in own))
+    one = _places(whole, ("h1", "h2"), unit.across)
     names = ["doc_id", "t", "pos", "gram", "h1"]
     each = staged(single.select(*names, F.lit(True).alias("single")).union(one.select(*names, F.lit(False))), "each")
     differ = each.groupBy("gram").agg(F.count("*").alias("count"), F.min("h1").alias("_x"), F.max("h1").alias("_y")).filter("_x <> _y")

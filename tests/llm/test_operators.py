@@ -327,6 +327,30 @@ def test_repeats_planted_passages(spark, group, hot, monkeypatch):
     assert all(r.n_removed == r.passage_words == 0 for k, r in by_id.items() if k >= 1000)
 
 
+def test_repeats_lists_few_windows_of_a_large_group(spark, monkeypatch):
+    """Many near copies of a text, each with a word of its own: settled blocks are compared with by one or two places only,
+    so the blocks and windows that are listed stay within a small multiple of the spans to compare."""
+    monkeypatch.setattr(repeats, "GROUP", 4)
+    rng = random.Random(16)
+    base = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 5))) for _ in range(160)]
+    rows = []
+    for k in range(150):
+        new = list(base)
+        new[rng.randrange(160)] = f"x{k}"
+        rows.append((k, " ".join(new)))
+    made, write = defaultdict(list), repeats.staged
+
+    def counted(df, name):
+        out = write(df, name)
+        made[name].append(out.count())
+        return out
+
+    monkeypatch.setattr(repeats, "staged", counted)
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    same_as_brute(table, repeats.remove_repeats(table))
+    assert sum(made["span-blocks"] + made["windows"]) < 12 * sum(made["contexts"])
+
+
 def test_words_of_long_texts():
     rng = random.Random(11)
     text = "".join(rng.choice(["word ", "x", " ", "\n", "longer-", "é"]) for _ in range(5000)).encode()
