@@ -30,7 +30,8 @@ import hashlib
 import heapq
 import re
 import struct
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from itertools import chain, pairwise
 
@@ -318,7 +319,7 @@ class _Splitter:
             seen.update(self.fields(t))
         return seen
 
-    def by_bucket(self, fields: set[bytes]) -> dict[int, list[bytes]]:
+    def by_bucket(self, fields: Iterable[bytes]) -> dict[int, list[bytes]]:
         """The fields in order by bucket; those that differ in closing marks only share one."""
         out: dict[int, list[bytes]] = {}
         marks, n, digest = self.marks.encode(), self.buckets, xxhash.xxh64_intdigest
@@ -350,7 +351,11 @@ def _ask(split: _Splitter, size: int):
 
 def _words(split: _Splitter, fields) -> list[str]:
     """The different words of the fields that are not too long, in order."""
-    return sorted({w for f in fields for w in split.words(f) if len(w) <= LONG})
+    return _short(map(split.words, fields))
+
+
+def _short(found) -> list[str]:
+    return sorted({w for ws in found for w in ws if len(w) <= LONG})
 
 
 def _merge_asked(split: _Splitter):
@@ -385,9 +390,9 @@ def _answer(table: Pieces, split: _Splitter):
         now, asked, cuts = None, [], []
 
         def settle():
-            fields = {f for _, x in asked for f in x}
-            ids = {w: table.bounds_to_ids(w, [k for k in range(at.bit_length()) if at >> k & 1]) for w, at in zip(_words(split, fields), cuts)}
-            known = {f: [k for w in split.words(f) for k in (ids[w] if w in ids else table.encode_word(w))] for f in fields}
+            parts = {f: split.words(f) for f in {f for _, x in asked for f in x}}
+            ids = {w: table.bounds_to_ids(w, [k for k in range(at.bit_length()) if at >> k & 1]) for w, at in zip(_short(parts.values()), cuts)}
+            known = {f: [k for w in ws for k in (ids[w] if w in ids else table.encode_word(w))] for f, ws in parts.items()}
             out = []
             for block, x in asked:
                 got = [known[f] for f in x]
@@ -413,37 +418,52 @@ def _answer(table: Pieces, split: _Splitter):
 
 def _join(table: Pieces, split: _Splitter, want_ids: bool):
     surfaces, blank = table.surface, BLANK.encode()
+    widths = np.array(list(map(len, surfaces)), np.int64)
 
     def run(batches):
         for b in batches:
             for row in range(len(b)):
                 doc_ids, texts = unpack_texts(b.column(1)[row].as_py())
-                every = split.distinct(texts)
-                coded: dict[bytes, bytes] = {}
-                other: dict[bytes, bytes] = {}  # fields that decode to something else
+                number: defaultdict[bytes, int] = defaultdict()
+                number.default_factory = number.__len__  # the next field's number
+                codes = [np.array(list(map(number.__getitem__, split.fields(t))), np.int32) for t in texts]
+                number.default_factory = None
+                start, size, flats, base = np.zeros(len(number), np.int64), np.zeros(len(number), np.int64), [np.zeros(0, "<u4")], 0
+                shown = [b" " + f for f in number]  # what each field decodes to
                 answers = {a["bucket"]: a for a in b.column(2)[row].as_py() or ()}
-                for bucket, fields in split.by_bucket(every).items():
+                for bucket, fields in split.by_bucket(number).items():
                     a = answers.pop(bucket, None)
-                    if a and a["check"] == _check(fields):
-                        flat, cuts = unpack_numbers(a["ids"]).astype("<u4"), np.r_[0, np.cumsum(unpack_numbers(a["sizes"]))].astype(np.int64).tolist()
-                        data, seen = flat.tobytes(), list(map(surfaces.__getitem__, flat.tolist()))
-                        for f, x, y in zip(fields, cuts, cuts[1:]):
-                            coded[f] = data[4 * x : 4 * y]
-                            if (back := b"".join(seen[x:y])) != blank + f or blank in f:
-                                other[f] = back.replace(blank, b" ")
-                    else:
+                    if not a or a["check"] != _check(fields):
                         raise RuntimeError("the documents were dealt to tasks in another way when they were read again: write them first")
-                every = set()
-                at = 0
+                    flat, n, code = unpack_numbers(a["ids"]).astype("<u4"), unpack_numbers(a["sizes"]).astype(np.int64), [number[f] for f in fields]
+                    ends = np.cumsum(n)
+                    size[code], start[code] = n, base + ends - n
+                    base += len(flat)
+                    flats.append(flat)
+                    seen = list(map(surfaces.__getitem__, flat.tolist()))
+                    far = np.r_[0, np.cumsum(widths[flat])]
+                    marked_ = blank + blank.join(fields)
+                    alike = b"".join(seen) == marked_ and np.array_equal(far[ends] - far[ends - n], np.fromiter(map(len, fields), np.int64, len(fields)) + len(blank))
+                    if not alike or marked_.count(blank) > len(fields):  # some decode to something else
+                        for f, c, x, y in zip(fields, code, (ends - n).tolist(), ends.tolist()):
+                            if (back := b"".join(seen[x:y])) != blank + f or blank in f:
+                                shown[c] = back.replace(blank, b" ")
+                flat, at = np.concatenate(flats), 0
+                number.clear()
                 while at < len(texts):  # rows of bounded size
-                    rows, size = [], 0
-                    while at < len(texts) and size < 4 << 20:
-                        parts = split.fields(texts[at])
-                        ids = b"".join(map(coded.__getitem__, parts))
-                        back = b"".join([other[f] if f in other else b" " + f for f in parts])[1:] if other else b" ".join(parts)
-                        digest = hashlib.sha256(ids).hexdigest()
-                        rows.append((doc_ids[at], len(ids) // 4, digest, hashlib.sha256(back).hexdigest(), back == texts[at], np.frombuffer(ids, "<u4").astype(np.int32) if want_ids else None))
-                        size, at = size + len(ids), at + 1
+                    first, length = at, 0
+                    while at < len(texts) and length < 4 << 20:
+                        length, at = length + len(texts[at]), at + 1
+                    every = np.concatenate(codes[first:at])
+                    n = size[every]
+                    ends = np.cumsum(n)
+                    ids = flat[np.repeat(start[every] - ends + n, n) + np.arange(n.sum())]
+                    cuts = np.r_[0, ends][np.r_[0, np.cumsum([len(c) for c in codes[first:at]])]].tolist()
+                    rows = []
+                    for k, x, y in zip(range(first, at), cuts, cuts[1:]):
+                        back = b"".join(map(shown.__getitem__, codes[k].tolist()))[1:]
+                        digest = hashlib.sha256(ids[x:y].tobytes()).hexdigest()
+                        rows.append((doc_ids[k], y - x, digest, hashlib.sha256(back).hexdigest(), back == texts[k], ids[x:y].astype(np.int32) if want_ids else None))
                     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.bool_()] + [pa.list_(pa.int32())] * want_ids
                     yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["doc_id", "n_pieces", "ids_sha256", "decoded_sha256", "round_trip"] + ["ids"] * want_ids)
 

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quern.llm import bwt, components, exact_dedup, langid, lm, matroska, mixing, near_copies, pieces, quality, repeats, simhash, tables, token_counts
+from quern.llm import blocks, bwt, components, exact_dedup, langid, lm, matroska, mixing, near_copies, pieces, quality, repeats, simhash, tables, token_counts
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, digest string, size int, _id int"
 WORDS = "the of river stone light water green house walk small mountain open letter garden winter".split()
@@ -234,6 +234,38 @@ def test_pieces_match_the_library(docs, spark):
     assert Counter((r.doc_id, r.shown) for r in shown) == Counter((k, t.replace("▁", " ")) for k, t in pairs(table))
 
 
+def test_pieces_split_each_field_and_text_once():
+    """Answering a bucket splits each different field once, and a block's texts are cut into fields once."""
+
+    class Counting(pieces._Splitter):
+        asked: list = []
+
+        def words(self, field):
+            self.asked.append(field)
+            return super().words(field)
+
+        def fields(self, text):
+            self.asked.append(text)
+            return super().fields(text)
+
+    table = pieces.load()
+    split, made = Counting(table, 1), [f"word{k} (other{k})! d\u00e9j\u00e0".encode() for k in range(40)]
+    fields = split.by_bucket(split.distinct(made))[0]
+    words = pieces._words(split, fields)
+    at = [sum(1 << k for k in table._merge(w)) for w in words]
+    columns = [[0] * (len(at) + 1), [-1, *range(len(at))], [None, *at], [5] + [None] * len(at), [pieces.pack_fields(fields)] + [None] * len(at)]
+    batch = pieces.pa.RecordBatch.from_arrays([pieces.pa.array(c) for c in columns], ["bucket", "k", "at", "block", "fields"])
+    Counting.asked = []
+    (answer,) = pieces._answer(table, split)([batch])
+    assert sorted(Counting.asked) == sorted(fields)
+    answers = [{n: answer.column(n)[0].as_py() for n in ("bucket", "check", "sizes", "ids")}]
+    block = pieces.pa.RecordBatch.from_arrays([pieces.pa.array(c) for c in ([5], [blocks.pack_texts(range(40), made)], [answers])], ["block", "blob", "answers"])
+    Counting.asked = []
+    (out,) = pieces._join(table, split, True)([block])
+    assert Counting.asked == made and all(out.column("round_trip").to_pylist())
+    assert [table.decode(x).encode() for x in out.column("ids").to_pylist()] == made
+
+
 def test_unigram_lattice_is_viterbi(spark):
     rng = random.Random(5)
     scores = {"".join(p): -rng.random() * 9 for n in (1, 2, 3) for p in [rng.choices("abc", k=n) for _ in range(12)]}
