@@ -150,6 +150,10 @@ class Pieces:
         return "".join(c for c in map(chr, range(33, 127)) if not letter(c) and c not in after)
 
     def bounds_to_ids(self, word: str, bounds: list[int]) -> list[int]:
+        get = self.ids.get
+        found = [get(word[a:b]) for a, b in pairwise(bounds)]
+        if None not in found:
+            return found
         out = []
         for a, b in zip(bounds, bounds[1:]):
             k = self.ids.get(word[a:b])
@@ -391,7 +395,9 @@ def _answer(table: Pieces, split: _Splitter):
 
         def settle():
             parts = {f: split.words(f) for f in {f for _, x in asked for f in x}}
-            ids = {w: table.bounds_to_ids(w, [k for k in range(at.bit_length()) if at >> k & 1]) for w, at in zip(_short(parts.values()), cuts)}
+            bits = np.unpackbits(np.array(cuts, "<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            bounds, ends = np.nonzero(bits)[1].tolist(), np.r_[0, np.cumsum(bits.sum(axis=1, dtype=np.int64))].tolist()
+            ids = {w: table.bounds_to_ids(w, bounds[x:y]) for w, x, y in zip(_short(parts.values()), ends, ends[1:])}
             known = {f: [k for w in ws for k in (ids[w] if w in ids else table.encode_word(w))] for f, ws in parts.items()}
             out = []
             for block, x in asked:
