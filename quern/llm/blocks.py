@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +37,35 @@ def unpack_sorted(data: bytes) -> np.ndarray:
     return np.cumsum(unpack_numbers(data), dtype=np.uint64)
 
 
-def blocks_of(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[int, int, list, list[bytes]]]:
-    """(block, part, ids, texts) from rows (doc_id, text, part) of a task, as :func:`bundle` numbers them."""
+def released(run: Callable) -> Callable:
+    """``run`` for ``mapInArrow``, giving the memory it has freed back to the system at the end of a task: workers stay for
+    later tasks, and count to their executor's memory meanwhile."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of glibc
+            trim(0)
+
+    return task
+
+
+def acyclic(run: Callable) -> Callable:
+    """``run`` for ``mapInArrow``, which makes many lists and no cycles: Python need not search them again and again."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()
+        try:
+            yield from run(batches)
+        finally:
+            gc.enable()
+
+    return task
+
+
+def blocks_of(batches: Iterator[pa.RecordBatch], size: int, hold: Callable = lambda t: t) -> Iterator[tuple[int, int, list, list]]:
+    """(block, part, ids, texts) from rows (doc_id, text, part) of a task, as :func:`bundle` numbers them; ``hold`` makes of
+    each text what is held of it until its block is full."""
     task, made = TaskContext.get().partitionId(), 0
     held: dict[int, list] = {}
     full: dict[int, int] = {}
@@ -48,9 +77,9 @@ def blocks_of(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[in
         ids, texts = zip(*held.pop(p))
         return task * (1 << 24) + made - 1, p, ids, texts
 
-    for b in batches:
+    for b in (b.slice(k, 256) for b in batches for k in range(0, len(b), 256)):
         for k, t, p in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), b.column(2).to_pylist()):
-            held.setdefault(p, []).append((k, t or b""))
+            held.setdefault(p, []).append((k, hold(t or b"")))
             full[p] = full.get(p, 0) + len(t or b"") + 64
             if full[p] >= size:
                 yield out(p)
@@ -66,14 +95,15 @@ def bundle(docs: DataFrame, size: int = SIZE, part: str = "0", level: int = 3) -
         for block, p, ids, texts in blocks_of(batches, size):
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([p], pa.int32()), pa.array([pack_texts(ids, texts, level)], pa.binary())], ["block", "part", "blob"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text", F.expr(part).cast("int").alias("part")).mapInArrow(run, "block long, part int, blob binary")
+    return docs.select(F.col("doc_id").cast("long"), "text", F.expr(part).cast("int").alias("part")).mapInArrow(released(run), "block long, part int, blob binary")
 
 
 def pack_texts(ids, texts: list[bytes], level: int = 3) -> bytes:
     """Ids (None allowed) and texts."""
     n = len(ids)
     head = struct.pack("<q", n) + np.array([k is None for k in ids], np.uint8).tobytes() + np.array([k or 0 for k in ids], "<i8").tobytes() + np.array([len(t) for t in texts], "<i8").tobytes()
-    return zstandard.ZstdCompressor(level=level).compress(head + b"".join(texts))
+    out = zstandard.ZstdCompressor(level=level).compressobj(size=len(head) + sum(map(len, texts)))  # no second copy of the texts
+    return b"".join([out.compress(head), *(out.compress(b"".join(texts[k : k + 256])) for k in range(0, n, 256)), out.flush()])
 
 
 def unpack_texts(blob: bytes) -> tuple[list, list[bytes]]:
@@ -84,3 +114,12 @@ def unpack_texts(blob: bytes) -> tuple[list, list[bytes]]:
     sizes = np.frombuffer(data, "<i8", n, 8 + 9 * n)
     at = np.r_[0, np.cumsum(sizes)] + 8 + 17 * n
     return [None if x else k for k, x in zip(ids, none)], [data[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+
+
+def each_text(blob) -> Iterator[tuple[int | None, bytes]]:
+    """(id, text) of what :func:`pack_texts` made, one after the other and decompressed as they are taken."""
+    with zstandard.ZstdDecompressor().stream_reader(blob) as data:
+        (n,) = struct.unpack("<q", data.read(8))
+        none, ids, sizes = (np.frombuffer(data.read(n * np.dtype(kind).itemsize), kind).tolist() for kind in ("u1", "<i8", "<i8"))
+        for x, k, size in zip(none, ids, sizes):
+            yield None if x else k, data.read(size)

@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.blocks import blocks_of, bundle, pack_numbers, unpack_numbers, unpack_texts
+from quern.llm.blocks import acyclic, blocks_of, bundle, each_text, pack_numbers, released, unpack_numbers
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
@@ -325,10 +325,12 @@ class _Splitter:
 
     def by_bucket(self, fields: Iterable[bytes]) -> dict[int, list[bytes]]:
         """The fields in order by bucket; those that differ in closing marks only share one."""
-        out: dict[int, list[bytes]] = {}
+        out: defaultdict[int, list[bytes]] = defaultdict(list)
         marks, n, digest = self.marks.encode(), self.buckets, xxhash.xxh64_intdigest
-        for f in sorted(fields):
-            out.setdefault(digest(f.rstrip(marks) if marks else f) % n, []).append(f)
+        for f in fields:
+            out[digest(f.rstrip(marks) if marks else f) % n].append(f)
+        for some in out.values():
+            some.sort()
         return out
 
 
@@ -346,8 +348,10 @@ def unpack_fields(data: bytes) -> list[bytes]:
 
 def _ask(split: _Splitter, size: int):
     def run(batches):
-        for block, _, _, texts in blocks_of(batches, size):
-            rows = [(k, block, pack_fields(f)) for k, f in split.by_bucket(split.distinct(texts)).items()]
+        seen: set[bytes] = set()  # of the block that is being filled; there is one part only
+        for block, *_ in blocks_of(batches, size, lambda t: seen.update(split.fields(t))):
+            rows = [(k, block, pack_fields(f)) for k, f in split.by_bucket(seen).items()]
+            seen.clear()
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["bucket", "block", "fields"])
 
     return run
@@ -429,10 +433,10 @@ def _join(table: Pieces, split: _Splitter, want_ids: bool):
     def run(batches):
         for b in batches:
             for row in range(len(b)):
-                doc_ids, texts = unpack_texts(b.column(1)[row].as_py())
+                blob = b.column(1)[row].as_buffer()  # read twice: a block's texts are never in memory all at once
                 number: defaultdict[bytes, int] = defaultdict()
                 number.default_factory = number.__len__  # the next field's number
-                codes = [np.array(list(map(number.__getitem__, split.fields(t))), np.int32) for t in texts]
+                codes = [np.fromiter(map(number.__getitem__, f), np.int32, len(f)) for f in (split.fields(t) for _, t in each_text(blob))]
                 number.default_factory = None
                 start, size, flats, base = np.zeros(len(number), np.int64), np.zeros(len(number), np.int64), [np.zeros(0, "<u4")], 0
                 shown = [b" " + f for f in number]  # what each field decodes to
@@ -454,22 +458,21 @@ def _join(table: Pieces, split: _Splitter, want_ids: bool):
                         for f, c, x, y in zip(fields, code, (ends - n).tolist(), ends.tolist()):
                             if (back := b"".join(seen[x:y])) != blank + f or blank in f:
                                 shown[c] = back.replace(blank, b" ")
-                flat, at = np.concatenate(flats), 0
+                flat, at, docs = np.concatenate(flats), 0, each_text(blob)
                 number.clear()
-                while at < len(texts):  # rows of bounded size
-                    first, length = at, 0
-                    while at < len(texts) and length < 4 << 20:
-                        length, at = length + len(texts[at]), at + 1
-                    every = np.concatenate(codes[first:at])
-                    n = size[every]
-                    ends = np.cumsum(n)
-                    ids = flat[np.repeat(start[every] - ends + n, n) + np.arange(n.sum())]
-                    cuts = np.r_[0, ends][np.r_[0, np.cumsum([len(c) for c in codes[first:at]])]].tolist()
+                while at < len(codes):  # rows of bounded size
+                    first, length, some = at, 0, []
+                    while at < len(codes) and length < 4 << 20:
+                        some.append(next(docs))
+                        length, at = length + len(some[-1][1]), at + 1
                     rows = []
-                    for k, x, y in zip(range(first, at), cuts, cuts[1:]):
-                        back = b"".join(map(shown.__getitem__, codes[k].tolist()))[1:]
-                        digest = hashlib.sha256(ids[x:y].tobytes()).hexdigest()
-                        rows.append((doc_ids[k], y - x, digest, hashlib.sha256(back).hexdigest(), back == texts[k], ids[x:y].astype(np.int32) if want_ids else None))
+                    for (doc_id, text), code in zip(some, codes[first:at]):
+                        n = size.take(code)
+                        places = (start.take(code) - n.cumsum() + n).repeat(n)
+                        places += np.arange(len(places))
+                        found = flat.take(places)
+                        back = b"".join(map(shown.__getitem__, code.tolist()))[1:]
+                        rows.append((doc_id, len(found), hashlib.sha256(found).hexdigest(), hashlib.sha256(back).hexdigest(), back == text, found.view(np.int32) if want_ids else None))
                     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.bool_()] + [pa.list_(pa.int32())] * want_ids
                     yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["doc_id", "n_pieces", "ids_sha256", "decoded_sha256", "round_trip"] + ["ids"] * want_ids)
 
@@ -492,14 +495,14 @@ def encode(docs: DataFrame, table: Pieces | None = None, ids: bool = False, doc_
     table = table or load()
     pairs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     split = _Splitter(table, max(8, pairs.count() // PER_BUCKET))
-    asked = pairs.select(F.col("doc_id").cast("long"), "text", F.lit(0).alias("part")).mapInArrow(_ask(split, size), "bucket long, block long, fields binary")
-    merged = asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_merge_asked(split), "bucket long, k long, word string, block long, fields binary")
+    asked = pairs.select(F.col("doc_id").cast("long"), "text", F.lit(0).alias("part")).mapInArrow(released(acyclic(_ask(split, size))), "bucket long, block long, fields binary")
+    merged = asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(acyclic(_merge_asked(split)), "bucket long, k long, word string, block long, fields binary")
     cut = lattice_bits(merged.repartition(split.buckets, "bucket"), table, keys=("k", "bucket"), also=("block", "fields"))
-    answers = cut.select("bucket", "k", "at", "block", "fields").sortWithinPartitions("bucket", "k").mapInArrow(_answer(table, split), "block long, bucket long, check long, sizes binary, ids binary")
+    answers = cut.select("bucket", "k", "at", "block", "fields").sortWithinPartitions("bucket", "k").mapInArrow(acyclic(_answer(table, split)), "block long, bucket long, check long, sizes binary, ids binary")
     answers = answers.groupBy(F.col("block").alias("_block")).agg(F.collect_list(F.struct("bucket", "check", "sizes", "ids")).alias("answers"))
     joined = bundle(pairs, size, level=3).join(answers, F.col("block") == F.col("_block"), "left").select("block", "blob", "answers")
     schema = "doc_id long, n_pieces long, ids_sha256 string, decoded_sha256 string, round_trip boolean" + ", ids array<int>" * ids
-    return joined.mapInArrow(_join(table, split, ids), schema)
+    return joined.mapInArrow(released(acyclic(_join(table, split, ids))), schema)
 
 
 def decode(df: DataFrame, table: Pieces | None = None, ids: str = "ids", column: str = "decoded") -> DataFrame:

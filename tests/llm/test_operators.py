@@ -5,6 +5,7 @@ from __future__ import annotations
 import dataclasses
 import hashlib
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -266,6 +267,37 @@ def test_pieces_split_each_field_and_text_once():
     assert [table.decode(x).encode() for x in out.column("ids").to_pylist()] == made
 
 
+def test_pieces_hold_a_block_s_texts_once_at_most(monkeypatch):
+    """Bundling, asking and joining copy a block's texts by and by: what they allocate beyond them is bounded by parts of them."""
+    rng, table = random.Random(8), pieces.load()
+    split, known = pieces._Splitter(table, 1), ["".join(rng.choices("abcdefgh", k=5)) for _ in range(2000)]
+    made = [" ".join(rng.choices(known, k=600)).encode() for _ in range(4000)]
+    total, fields = sum(map(len, made)), split.by_bucket(split.distinct(made))[0]
+
+    def peak(run):
+        tracemalloc.start()
+        try:
+            return run(), tracemalloc.get_traced_memory()[1] / total
+        finally:
+            tracemalloc.stop()
+
+    blob, most = peak(lambda: blocks.pack_texts(range(4000), made))
+    assert list(blocks.each_text(blob)) == list(enumerate(made)) and blocks.unpack_texts(blob)[1] == made
+    assert most < 1.2  # the packed form twice while its chunks are joined; the texts joined as well would be 2
+    monkeypatch.setattr(blocks, "TaskContext", type("Task", (), {"get": classmethod(lambda cls: cls), "partitionId": classmethod(lambda cls: 0)}))
+    rows = pieces.pa.table([pieces.pa.array(c) for c in (list(range(4000)), [t.decode() for t in made], [0] * 4000)], ["doc_id", "text", "part"]).to_batches()
+    asked, most = peak(lambda: list(pieces._ask(split, 1 << 30)(iter(rows))))
+    assert pieces.unpack_fields(asked[0].column("fields")[0].as_py()) == fields
+    assert most < 0.3  # the distinct fields, not the texts
+    got = [[k for w in split.words(f) for k in table.encode_word(w)] for f in fields]
+    answer = {"bucket": 0, "check": pieces._check(fields), "sizes": pieces.pack_numbers(np.array(list(map(len, got)), np.uint64)), "ids": pieces.pack_numbers(np.array(sum(got, []), np.uint64))}
+    block = pieces.pa.RecordBatch.from_arrays([pieces.pa.array(c) for c in ([5], [blob], [[answer]])], ["block", "blob", "answers"])
+    counts, most = peak(lambda: [(sum(b.column("n_pieces").to_pylist()), all(b.column("round_trip").to_pylist())) for b in pieces._join(table, split, False)([block])])
+    sizes = dict(zip(fields, map(len, got)))
+    assert sum(n for n, _ in counts) == sum(sizes[f] for t in made for f in t.split()) and all(x for _, x in counts)
+    assert most < 2  # the fields' numbers and the texts whose rows are being made
+
+
 def test_unigram_lattice_is_viterbi(spark):
     rng = random.Random(5)
     scores = {"".join(p): -rng.random() * 9 for n in (1, 2, 3) for p in [rng.choices("abc", k=n) for _ in range(12)]}
