@@ -5,11 +5,11 @@ from __future__ import annotations
 import re
 import unicodedata
 from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 FOLDED = "".join(chr(c) for c in range(0xC0, 0x250) if len(unicodedata.normalize("NFD", chr(c))) > 1)
@@ -185,14 +185,65 @@ def porter(w: str) -> str:
     return w[:-1] if _measure(w) > 1 and _double(w) and w.endswith("l") else w
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def stem_all(s: pd.Series) -> pd.Series:
-    """Stems of token arrays; each different token of a batch is stemmed once."""
-    known: dict[str, str] = {}
+# The same algorithm as expressions of one word: no token leaves the JVM. In the patterns, a run of consonants or vowels is
+# taken whole (possessively), so "y" is what the letter before it makes of it, and a stem too short can't borrow from the suffix.
+_LEAD, _V, _C = "^(?:[^aeiou][^aeiouy]*+)?+", "[aeiouy][aeiou]*+", "[^aeiou][^aeiouy]*+"
+_SOME, _MORE, _SPOKEN = f"{_LEAD}{_V}[^aeiou].*", f"{_LEAD}{_V}{_C}{_V}[^aeiou].*", f"{_LEAD}[aeiouy].*"  # measure over 0, over 1, with a vowel
+_SHORT = "[^aeiou][^aeiouy]*+[aeiouy][^aeiouwxy]"  # of measure 1, and ends in consonant, vowel, consonant
+_TWICE = r"([^aeioulszy])\1$|(?<![^aeiou])y(?:yy)++$|(?<=[^aeiouy])(?:yy)++$"  # a double consonant at the end, but for l, s, z
 
-    def stem(t):
-        if t not in known:
-            known[t] = porter(t)
-        return known[t]
 
-    return s.map(lambda x: None if x is None else [stem(t) for t in x])
+def let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is worked out once however often ``body`` names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _mended(w: Column) -> Column:
+    """A word that has lost -ed or -ing."""
+    shorter = F.substring(w, F.lit(1), F.length(w) - 1)
+    return F.when(w.rlike("(?:at|bl|iz)$"), F.concat(w, F.lit("e"))).when(w.rlike(_TWICE), shorter).when(w.rlike(f"^{_SHORT}$"), F.concat(w, F.lit("e"))).otherwise(w)
+
+
+def _past(w: Column) -> Column:
+    cut = F.regexp_replace(w, "(?:ed|ing)$", "")
+    return F.when(w.endswith("eed"), F.regexp_replace(w, f"({_SOME})eed$", "$1ee")).when(w.rlike(f"{_SPOKEN}(?:ed|ing)$"), let(cut, _mended)).otherwise(w)
+
+
+def _ruled(w: Column, rules: str) -> Column:
+    out = F  # when() of nothing yet
+    for suffix, new in sorted((r.split(":") for r in rules.split()), key=lambda r: -len(r[0])):
+        out = out.when(w.endswith(suffix), F.regexp_replace(w, f"({_SOME}){suffix}$", f"$1{new}"))
+    return out.otherwise(w)
+
+
+def stemmed(w: Column) -> Column:
+    """:func:`porter` of a word."""
+    ends = "|".join([*_STEP4, "(?<=[st])ion"])
+
+    def run(w: Column) -> Column:
+        out = F.regexp_replace(w, "(?:(?<=ss|i)es|(?<!s)s)$", "")
+        out = F.regexp_replace(let(out, _past), f"({_SPOKEN})y$", "$1i")
+        out = let(let(out, lambda x: _ruled(x, _STEP2)), lambda x: _ruled(x, _STEP3))
+        out = F.regexp_replace(out, f"^(?={_MORE})(?=.*?({ends})$)({_MORE})\\1$", "$2")  # the first place found has the longest ending
+        out = F.regexp_replace(out, f"^(?!{_SHORT}e$)({_SOME})e$", "$1")
+        return F.regexp_replace(out, f"^(?={_MORE})(.*l)l$", "$1")
+
+    return let(w, lambda w: F.when(w.rlike("^[A-Za-z]{3,}\\z"), run(w)).otherwise(w))
+
+
+def _kept(s: str) -> str:
+    """What of a stem, or of the start of one, every word with this stem starts with. Only the last step that changed the
+    word puts letters where it had others: -e behind two letters at least, -le (an -l later) behind three, -i behind one."""
+    if s.endswith("le") and len(s) > 4:
+        return s[:-2]
+    return s[:-1] if any(s.endswith(tail) and len(s) >= least for tail, least in (("e", 3), ("l", 4), ("i", 2))) else s
+
+
+def stem_all(toks: Column, terms: list[Term] | None = None) -> Column:
+    """Token arrays with stems. With ``terms``, only tokens that can be found by these are stemmed; others stay, and no term finds them."""
+    if terms is None:
+        return F.transform(toks, stemmed)
+    heads = sorted({_kept(w) for t in terms for w in t.words})
+    if not heads:
+        return toks
+    return F.transform(toks, lambda t: F.when(reduce(lambda a, b: a | b, (t.startswith(h) for h in heads)), stemmed(t)).otherwise(t))

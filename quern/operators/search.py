@@ -45,7 +45,8 @@ def scores(df: DataFrame, specs: list[Spec]) -> list[DataFrame]:
     toks, cols = {}, [F.col("uid")]
     for n, (field, fold, stem) in enumerate(kinds):
         t = X.tokens(F.col(field), fold)
-        toks[f"_t{n}"] = X.stem_all(t) if stem else t
+        asked = [w for s in specs if s.op != "trigram" and (s.field, s.fold, OPS[s.op][1]) == kinds[n] for w in s.terms]
+        toks[f"_t{n}"] = X.stem_all(t, asked) if stem else t
         cols.append(F.when(F.col(field).isNotNull(), F.size(f"_t{n}")).alias(f"_len{n}"))
     for k, s in enumerate(specs):
         if s.op == "trigram":

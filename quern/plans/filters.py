@@ -47,8 +47,8 @@ def condition(c: Column, op: str, value, vacuous: bool = False, numeric_strings:
         return geo.intersects(c, value)
     if op in TEXT:
         every, stem = TEXT[op]
-        toks = text.tokens(c)
-        return text.matches(text.stem_all(toks) if stem else toks, text.parse_query(value, stem=stem), every)
+        toks, terms = text.tokens(c), text.parse_query(value, stem=stem)
+        return text.let(text.stem_all(toks, terms), lambda x: text.matches(x, terms, every)) if stem else text.matches(toks, terms, every)
     if op == "trigram":
         return two_valued(F.contains(F.lower(c), F.lit(value.lower()))) if len(value) >= 3 else F.lit(False)
     raise SchemaError(f"unknown operator {op}")

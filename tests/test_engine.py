@@ -340,3 +340,38 @@ def test_insert_unique_gets_the_whole_table_again(spark, monkeypatch):
     monkeypatch.setattr(writes, "insert", lambda s, t, rows: seen.append(rows) or insert(s, t, rows))
     assert [r.c_name for r in QUERIES["insert_unique"](spark, sf).collect()] == ["fresh"]
     assert seen[0].count() == spark.read.parquet(f"{sf}/customer.parquet").count() + 2
+
+
+def test_stems_are_made_without_python(spark):
+    from itertools import product
+
+    from quern.plans.catalogue import QUERIES
+
+    made = QUERIES["text_stemmed"](spark, "/root/testdata/sf0.001")
+    assert "Python" not in made._jdf.queryExecution().executedPlan().toString()
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", F.explode(X.tokens(F.col("text"))).alias("t")).distinct().collect()
+    assert sorted(uids(made)) == sorted({r.doc_id for r in docs if X.porter(r.t) in ("thing", "run")})
+
+    ends = "s es sses ies y ly e l ll ed ing eed at bl iz sion tion ational izer abli alli ization iveness aliti biliti icate alize iciti ful ness ement ance able ent ism ous".split()
+    starts = "b y ab ya ay yy bay syy ayy ayyy trib babab yttr".split()
+    words = sorted({r.t for r in docs} | {"".join(x) for n in range(1, 6) for x in product("ayble", repeat=n)} | {a + b + c for a, b, c in product(starts, ends, ["", *ends])} | {"", "é", "running9", "Ünding"})
+    df = spark.createDataFrame([(words[k : k + 200],) for k in range(0, len(words), 200)], "w array<string>")
+    got = [(x.w, x.s) for r in df.select(F.arrays_zip("w", X.stem_all(F.col("w")).alias("s")).alias("z")).collect() for x in r.z]
+    assert len(got) == len(words) and [x for x in got if X.porter(x[0]) != x[1]] == []
+    # only tokens that a term can find are stemmed: every word starts with what is kept of its stem and of the stem's starts
+    assert [w for w in words for n in range(1, len(X.porter(w)) + 1) if not w.startswith(X._kept(X.porter(w)[:n]))] == []
+
+
+def test_stemmed_conditions_on_odd_texts(spark):
+    from quern.plans import filters
+
+    rows = [(1, "The things are RUNNING"), (2, "an ability, enabled"), (3, None), (4, ""), (5, "runnable happily"), (6, "y" * 3000 + "ing runs " + "ab" * 20_000 + "ying"), (7, "relations of cafés"), (8, "things run, a thing runs")]
+    df = spark.createDataFrame(rows, "uid long, t string")
+    for q in ("things running", "abilities", "happy", '"thing run"', "relat*", "abl*", "cafés the", "ab*", "!!"):
+        for op, every in (("anyoftext", False), ("alloftext", True)):
+            terms = X.parse_query(q, stem=True)
+            stems = {k: [X.porter(w) if len(w) < 1000 else w for w in X.python_tokens(t)] for k, t in rows if t is not None}
+            has = lambda ws, t: any(w.startswith(t.words[0]) for w in ws) if t.prefix else any(tuple(ws[k : k + len(t.words)]) == t.words for k in range(len(ws)))
+            want = sorted(k for k, ws in stems.items() if terms and (all if every else any)(has(ws, t) for t in terms))
+            assert sorted(uids(df.filter(filters.condition(F.col("t"), op, q)))) == want, (q, op)
+            assert sorted(uids(search.search(df, search.Spec("t", op, q)))) == want, (q, op)
